@@ -1,0 +1 @@
+"""No streaming operators: all inputs are read once, so there is no stream state to keep."""
