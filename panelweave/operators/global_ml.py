@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.calendar import CALENDAR_NUMERIC, SCALED_COLUMNS, calendar_columns
 from panelweave.functions.steps import MONTH, Freq
-from panelweave.operators.features import ROLL_PERIOD, ROLL_SOURCE_LAG, lag_features, prepared_rows, varying_columns
+from panelweave.operators.features import ROLL_PERIOD, ROLL_SOURCE_LAG, lag_features, prepared_rows
 from panelweave.operators.panel import by_time
 from panelweave.operators.scoring import mae, metric_summary, rmse
 from panelweave.session import materialize
@@ -136,14 +136,37 @@ def predictor_columns(spec: FeatureSet) -> list[str]:
     return cols
 
 
-def id_encoder(train: DataFrame, max_one_hot: int = MAX_ONE_HOT) -> Model | FeatureHasher:
+@dataclass(frozen=True)
+class Profile:
+    """What fitting needs to know about the training rows, from one pass over them."""
+
+    columns: list[str]
+    scaling: dict[str, tuple[float, float]]
+    n_ids: int
+
+
+def profile(features: DataFrame, spec: FeatureSet) -> Profile:
+    """Varying predictors, mean and deviation of the scaled ones, and about how many ids there are."""
+    names = predictor_columns(spec)
+    scaled = [c for c in SCALED_COLUMNS if c in names]
+    row = features.agg(
+        F.approx_count_distinct("id", 0.02).alias("ids"),
+        *[(F.min(c) < F.max(c)).alias(f"v_{c}") for c in names],
+        *[F.avg(c).alias(f"m_{c}") for c in scaled],
+        *[F.stddev_samp(c).alias(f"s_{c}") for c in scaled],
+    ).first()
+    columns = [c for c in names if row[f"v_{c}"]]
+    scaling = {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in scaled if c in columns}
+    return Profile(columns, scaling, row["ids"])
+
+
+def id_encoder(train: DataFrame, n_ids: int, max_one_hot: int = MAX_ONE_HOT) -> Model | FeatureHasher:
     """One column per id while their number is small, a fixed-width hash beyond.
 
-    The check reads at most ``max_one_hot + 1`` ids, so the indexer never brings
-    an unbounded label list to the driver; the hashed form keeps every row.
+    The label list the indexer brings to the driver is bounded by the check; the
+    hashed form keeps every row.
     """
-    few = train.select("id").distinct().limit(max_one_hot + 1).count() <= max_one_hot
-    if few:
+    if n_ids <= max_one_hot:
         indexer = StringIndexer(inputCol="id", outputCol="id_index", handleInvalid="keep", stringOrderType="alphabetAsc")
         return Pipeline(stages=[indexer, OneHotEncoder(inputCol="id_index", outputCol="id_vec")]).fit(train)
     return FeatureHasher(inputCols=["id"], outputCol="id_vec", numFeatures=HASHED_WIDTH, categoricalCols=["id"])
@@ -187,16 +210,10 @@ def fit_global(
     features: DataFrame, spec: FeatureSet, estimator: Estimator, model_id: str, max_one_hot: int = MAX_ONE_HOT
 ) -> GlobalModel:
     """Fit one regressor on all series; constant predictors dropped, index and year scaled on train."""
-    columns = varying_columns(features, predictor_columns(spec))
-    to_scale = [c for c in SCALED_COLUMNS if c in columns]
-    scaling = {}
-    if to_scale:
-        row = features.agg(
-            *[F.avg(c).alias(f"m_{c}") for c in to_scale], *[F.stddev_samp(c).alias(f"s_{c}") for c in to_scale]
-        ).first()
-        scaling = {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in to_scale}
-    shell = GlobalModel(model_id, spec, id_encoder(features, max_one_hot), columns, scaling, None)
-    scaled = shell.with_id_vector(features).withColumns({c: (F.col(c) - m) / s for c, (m, s) in scaling.items()})
+    seen = profile(features, spec)
+    encoder = id_encoder(features, seen.n_ids, max_one_hot)
+    shell = GlobalModel(model_id, spec, encoder, seen.columns, seen.scaling, None)
+    scaled = shell.with_id_vector(features).withColumns({c: (F.col(c) - m) / s for c, (m, s) in seen.scaling.items()})
     shell.regressor = estimator.fit(shell.assembler.transform(scaled).select("value", "features"))
     return shell
 

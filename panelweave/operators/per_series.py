@@ -200,19 +200,25 @@ def fit_per_series(
     freq: Freq = MONTH,
     season: int | None = None,
     include_fitted: bool = False,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Forecasts of every candidate for every series, failures as rows.
 
     ``include_fitted`` adds the in-sample one-step values as rows with step <= 0.
+    ``only`` (``id, model_id``) restricts each series to its chosen model: the
+    refit after selection.
     """
     m = season or freq.season
-    chosen = {name: CANDIDATES[name] for name in candidates}
+    fits = {name: CANDIDATES[name] for name in candidates}
+    one_each = only is not None
 
     def one_series(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("date")
         y = rows["value"].to_numpy(dtype=float)
         n, parts = len(y), []
-        for name, fit in chosen.items():
+        wanted = [rows["chosen"].iloc[0]] if one_each else list(fits)
+        for name in wanted:
+            fit = fits[name]
             try:
                 if np.isnan(y).any():
                     raise ValueError("series has missing values")
@@ -242,7 +248,11 @@ def fit_per_series(
         "step bigint, prediction double, model_id string, variant string, params string, status string, "
         "error string, id string, last_date date"
     )
-    fitted = train.select("id", "date", "value").groupBy("id").applyInPandas(one_series, raw_schema)
+    series = train.select("id", "date", "value")
+    if only is not None:
+        known = only.filter(F.col("model_id").isin(*fits)).select("id", F.col("model_id").alias("chosen"))
+        series = series.join(known, "id")
+    fitted = series.groupBy("id").applyInPandas(one_series, raw_schema)
     date: Column = F.when(F.col("status") == "ok", freq.add(F.col("last_date"), F.col("step")))
     return fitted.select(
         "id", "model_id", "variant", "step", date.alias("date"),
