@@ -10,9 +10,9 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import FeatureHasher, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.calendar import CALENDAR_NUMERIC, SCALED_COLUMNS, calendar_columns
@@ -103,9 +103,9 @@ def hybrid_set(lags: int = 24) -> FeatureSet:
     return FeatureSet("hybrid", lags, True, True)
 
 
-def _calendar_predictors() -> dict:
+def _calendar_predictors(date: Column | None = None) -> dict[str, Column]:
     """Calendar integers plus 0/1 columns for month and weekday names."""
-    date = F.col("date")
+    date = F.col("date") if date is None else date
     cols = {n: c.cast("double") for n, c in calendar_columns(date).items() if n in CALENDAR_NUMERIC}
     cols |= {f"date_month_is_{k}": (F.month(date) == k).cast("double") for k in MONTH_LABELS}
     cols |= {f"date_wday_is_{k}": (F.dayofweek(date) == k).cast("double") for k in WEEKDAY_LABELS}
@@ -239,39 +239,57 @@ def series_tails(train: DataFrame, length: int) -> DataFrame:
     )
 
 
+def _roll(tail: Column) -> Column:
+    """Mean of the lagged window, over as much of it as the tail holds."""
+    window = F.slice(tail, F.lit(ROLL_SOURCE_LAG), F.lit(ROLL_PERIOD))
+    return F.aggregate(window, F.lit(0.0), lambda s, v: s + v) / F.size(window)
+
+
+def _tail_predictors(model: GlobalModel, tail: Column) -> Column:
+    """The lag and rolling predictors of one step, as expressions over the tail."""
+    spec = model.spec
+    lags = [k for k in spec.lag_numbers if f"value_lag{k}" in model.columns]
+    values = F.slice(tail, 1, spec.lags) if len(lags) == spec.lags else F.array(*[F.get(tail, F.lit(k - 1)) for k in lags])
+    rolls = f"value_lag{ROLL_SOURCE_LAG}_roll_{ROLL_PERIOD}" in model.columns
+    return F.concat(values, F.array(_roll(tail))) if rolls else values
+
+
+def _calendar_steps(model: GlobalModel, horizon: int, freq: Freq) -> Column:
+    """Scaled calendar predictors of every step ahead: an array of arrays, built once per series."""
+
+    def one_step(j: Column) -> Column:
+        exprs = _calendar_predictors(freq.add(F.col("last_date"), j))
+        parts = []
+        for name in model.columns:
+            if name in exprs:
+                mean, sd = model.scaling.get(name, (0.0, 1.0))
+                parts.append((exprs[name] - F.lit(mean)) / F.lit(sd))
+        return F.array(*parts) if parts else F.array().cast("array<double>")
+
+    return F.transform(F.sequence(F.lit(1), F.lit(horizon)), one_step)
+
+
 def recursive_forecast(
     model: GlobalModel, train: DataFrame, horizon: int, freq: Freq = MONTH, steps_per_write: int = STEPS_PER_WRITE
 ) -> DataFrame:
     """Predict one step for every id, put it in front of the tail, repeat.
 
-    The state is one row per id; a step is projections only. Every few steps the
-    state is written so the plan stays short and a lost executor does not replay
-    the whole chain. Series too short for the lags have no forecast (they show
-    up in ``missing_forecasts``).
+    The state is one row per id and no step shuffles. A linear model needs no
+    loop: its steps are a fold over the tail inside one projection. Tree models
+    chain their transforms; every few steps the state is written, so the plan
+    stays short and a lost executor does not replay the whole chain. Series too
+    short for the lags have no forecast (``missing_forecasts`` shows them).
     """
     spec = model.spec
     if not spec.use_lags:
         return direct_forecast(model, train, horizon, freq)
-    keep = spec.tail_length
-    state = model.with_id_vector(series_tails(train, keep).filter(F.size("tail") >= spec.lags))
-    state = state.withColumn("path", F.array().cast("array<double>"))
-    kept = ["id", "id_vec", "last_date"]
-    for step in range(1, horizon + 1):
-        predictors = {f"value_lag{k}": F.get("tail", F.lit(k - 1)) for k in spec.lag_numbers}
-        if spec.rolls:
-            window = F.slice("tail", F.lit(ROLL_SOURCE_LAG), F.lit(ROLL_PERIOD))
-            total = F.aggregate(window, F.lit(0.0), lambda s, v: s + v)
-            predictors[f"value_lag{ROLL_SOURCE_LAG}_roll_{ROLL_PERIOD}"] = total / F.size(window)
-        ahead = state.withColumns(predictors).withColumn("date", freq.add(F.col("last_date"), step))
-        if spec.use_calendar:
-            ahead = ahead.withColumns(_calendar_predictors())
-        newest = F.array("prediction")
-        state = model.predict(ahead).select(
-            *kept, F.slice(F.concat(newest, "tail"), 1, keep).alias("tail"), F.concat("path", newest).alias("path")
-        )
-        if step % steps_per_write == 0 and step < horizon:
-            state = materialize(state, "recursion")
-    return state.select("id", "last_date", F.posexplode("path").alias("_pos", "prediction")).select(
+    tails = series_tails(train, spec.tail_length).filter(F.size("tail") >= spec.lags)
+    state = model.with_id_vector(tails).withColumn("calendar", _calendar_steps(model, horizon, freq))
+    if isinstance(model.regressor, LinearRegressionModel):
+        done = _linear_path(model, state)
+    else:
+        done = _chained_path(model, state, horizon, steps_per_write)
+    return done.select("id", "last_date", F.posexplode("path").alias("_pos", "prediction")).select(
         "id",
         F.lit(model.model_id).alias("model_id"),
         (F.col("_pos") + 1).cast("bigint").alias("step"),
@@ -280,6 +298,51 @@ def recursive_forecast(
     )
 
 
+def _chained_path(model: GlobalModel, state: DataFrame, horizon: int, steps_per_write: int) -> DataFrame:
+    keep = model.spec.tail_length
+    assembler = VectorAssembler(inputCols=["id_vec", "dense"], outputCol="features")
+    state = state.withColumn("path", F.array().cast("array<double>"))
+    newest = F.array("prediction")
+    for step in range(1, horizon + 1):
+        dense = F.concat(_tail_predictors(model, F.col("tail")), F.get("calendar", F.lit(step - 1)))
+        ahead = assembler.transform(state.withColumn("dense", array_to_vector(dense)))
+        state = model.regressor.transform(ahead).select(
+            "id", "id_vec", "last_date", "calendar",
+            F.slice(F.concat(newest, "tail"), 1, keep).alias("tail"),
+            F.concat("path", newest).alias("path"),
+        )
+        if step % steps_per_write == 0 and step < horizon:
+            state = materialize(state, "recursion")
+    return state
+
+
+def _linear_path(model: GlobalModel, state: DataFrame) -> DataFrame:
+    """Intercept and id part from the model itself, the steps as a fold of dot products."""
+    keep = model.spec.tail_length
+    weights = model.regressor.coefficients.toArray()
+    weights = weights[len(weights) - len(model.columns) :]
+    n_tail = sum(c.startswith("value_lag") for c in model.columns)
+    zeros = array_to_vector(F.array(*[F.lit(0.0)] * len(model.columns)))
+    base = VectorAssembler(inputCols=["id_vec", "dense"], outputCol="features").transform(state.withColumn("dense", zeros))
+    based = model.regressor.transform(base)
+
+    def dot(values: Column, coefficients) -> Column:
+        if not len(coefficients):
+            return F.lit(0.0)
+        fixed = F.array(*[F.lit(float(c)) for c in coefficients])
+        return F.aggregate(F.zip_with(values, fixed, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+    def advance(acc: Column, step: Column) -> Column:
+        value = F.col("prediction") + dot(_tail_predictors(model, acc["tail"]), weights[:n_tail]) + dot(step, weights[n_tail:])
+        newest = F.array(value)
+        return F.struct(
+            F.slice(F.concat(newest, acc["tail"]), 1, keep).alias("tail"), F.concat(acc["path"], newest).alias("path")
+        )
+
+    start = F.struct(F.col("tail").alias("tail"), F.array().cast("array<double>").alias("path"))
+    return based.select("id", "last_date", F.aggregate("calendar", start, advance)["path"].alias("path"))
+
+
 def future_calendar(train: DataFrame, horizon: int, freq: Freq = MONTH) -> DataFrame:
     """The next ``horizon`` periods of every id."""
     return (

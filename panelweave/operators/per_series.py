@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.steps import MONTH, Freq
+from panelweave.session import spread
 
 ALPHAS = tuple(round(0.05 * i, 2) for i in range(1, 20))
 TREND_RATES = (0.05, 0.1, 0.2, 0.4)
@@ -252,7 +253,7 @@ def fit_per_series(
     if only is not None:
         known = only.filter(F.col("model_id").isin(*fits)).select("id", F.col("model_id").alias("chosen"))
         series = series.join(known, "id")
-    fitted = series.groupBy("id").applyInPandas(one_series, raw_schema)
+    fitted = spread(series, "id").groupBy("id").applyInPandas(one_series, raw_schema)
     date: Column = F.when(F.col("status") == "ok", freq.add(F.col("last_date"), F.col("step")))
     return fitted.select(
         "id", "model_id", "variant", "step", date.alias("date"),
@@ -276,7 +277,7 @@ def level_smoothing(train: DataFrame, horizon: int, freq: Freq = MONTH, alphas:
     Squared one-step errors start at the second point; ties take the smaller rate.
     """
     values = F.transform(F.sort_array(F.collect_list(F.struct("date", "value"))), lambda p: p["value"])
-    series = train.groupBy("id").agg(values.alias("values"), F.max("date").alias("_last"))
+    series = spread(train, "id").groupBy("id").agg(values.alias("values"), F.max("date").alias("_last"))
     rest = F.slice("values", F.lit(2), F.greatest(F.size("values") - 1, F.lit(0)))
     start = F.struct(F.lit(0.0).alias("sse"), F.get("values", F.lit(0)).alias("level"))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.quantiles import exact_quantiles
 from panelweave.operators.panel import by_time
+from panelweave.session import materialize
 
 METRICS = ("mae", "mape", "mase", "smape", "rmse", "rsq")
 
@@ -98,10 +99,11 @@ def _rsq_from(cov: Column, var_a: Column, var_p: Column) -> Column:
 
 def accuracy_by_series(calibrated: DataFrame, keys: Sequence[str] = ("model_id", "id")) -> DataFrame:
     """Six metrics per model and series."""
-    return _series_metrics(series_sums(calibrated, keys), keys)
+    return series_metrics(series_sums(calibrated, keys), keys)
 
 
-def _series_metrics(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+def series_metrics(sums: DataFrame, keys: Sequence[str] = ("model_id", "id")) -> DataFrame:
+    """Six metrics from :func:`series_sums`."""
     mean_abs = F.col("abs_sum") / F.col("n")
     return sums.select(
         *keys,
@@ -159,25 +161,24 @@ def mase_rowwise(truth: DataFrame) -> DataFrame:
     """Mean one-step change over all rows taken in (date, id) order, series mixed.
 
     Only a check against published pooled scores that used this denominator. The
-    step between two dates joins the last id of one to the first of the next, so
-    dates (bounded by the calendar) are chained, rows within a date are windowed.
+    rows are range-partitioned by (date, id) and written with their part number;
+    steps are taken inside a part, and the parts' first and last values are
+    chained afterwards, so no date (it holds every series) sits in one task.
     """
-    within = by_time(("date",)).orderBy("id")
-    steps = truth.select("date", "id", "value", F.abs(F.col("value") - F.lag("value").over(within)).alias("step"))
-    per_date = steps.groupBy("date").agg(
-        F.sum("step").alias("inner_sum"),
-        F.count("step").alias("inner_n"),
-        F.min_by("value", "id").alias("head"),
-        F.max_by("value", "id").alias("tail"),
-    )
-    chained = by_time(()).orderBy("date")
-    joined = per_date.withColumn("bridge", F.abs(F.col("head") - F.lag("tail").over(chained)))
-    return joined.agg(
-        (
-            (F.coalesce(F.sum("inner_sum"), F.lit(0.0)) + F.coalesce(F.sum("bridge"), F.lit(0.0)))
-            / (F.sum("inner_n") + F.count("bridge"))
-        ).alias("naive_step")
+    ordered = truth.select("date", "id", "value").orderBy("date", "id")
+    rows = materialize(ordered.withColumn("part", F.spark_partition_id()), "row_order")
+    inside = Window.partitionBy("part").orderBy("date", "id")
+    steps = rows.withColumn("step", F.abs(F.col("value") - F.lag("value").over(inside)))
+    place = F.struct("date", "id")
+    parts = steps.groupBy("part").agg(
+        F.sum("step").alias("total"),
+        F.count("step").alias("n"),
+        F.min_by("value", place).alias("head"),
+        F.max_by("value", place).alias("tail"),
     )
+    bridged = parts.withColumn("bridge", F.abs(F.col("head") - F.lag("tail").over(Window.orderBy("part"))))
+    total = F.coalesce(F.sum("total"), F.lit(0.0)) + F.coalesce(F.sum("bridge"), F.lit(0.0))
+    return bridged.agg(F.try_divide(total, F.sum("n") + F.count("bridge")).alias("naive_step"))
 
 
 def external_accuracy(calibrated: DataFrame, by: Sequence[str] = ("model_id",)) -> DataFrame:

@@ -52,8 +52,13 @@ def user_day(spark: SparkSession, sf: str) -> DataFrame:
     return bucket_sum(read_table(spark, sf, "events"), [user], "ts", "value", DAY)
 
 
-def regular(spark: SparkSession, sf: str, panel: str) -> DataFrame:
-    """A gap-free panel, written once because its users read it more than once."""
+def lazy(spark: SparkSession, sf: str, panel: str) -> DataFrame:
+    """A gap-free panel as a plan, for a single reader."""
     build = {"PM": brand_month, "PT": type_month, "PS": supplier_month, "PD": user_day}[panel]
     freq = DAY if panel == "PD" else MONTH
-    return materialize(regular_panel(build(spark, sf), freq).select("id", "date", "value"), f"panel_{panel}")
+    return regular_panel(build(spark, sf), freq).select("id", "date", "value")
+
+
+def regular(spark: SparkSession, sf: str, panel: str) -> DataFrame:
+    """A gap-free panel, written once because its users read it more than once."""
+    return materialize(lazy(spark, sf, panel), f"panel_{panel}")

@@ -9,7 +9,7 @@ from panelweave.operators import diagnostics as D
 from panelweave.operators import splits
 from panelweave.operators.panel import bucket_sum
 from panelweave.operators.per_series import level_smoothing
-from panelweave.plans.panels import brand_month, regular, shipments
+from panelweave.plans.panels import brand_month, lazy, regular, shipments
 from panelweave.plans.registry import query, rounded
 from panelweave.plans.twins import HORIZON, twin
 from panelweave.sources.tables import read_table
@@ -42,7 +42,7 @@ def series_overview(spark, sf):
   (PARTITION BY id ORDER BY date ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING), 6) AS smooth FROM ps_full"""),
 )
 def trend_smooth(spark, sf):
-    return rounded(D.trend_smooth(regular(spark, sf, "PS")), 6, "value", "smooth")
+    return rounded(D.trend_smooth(lazy(spark, sf, "PS")), 6, "value", "smooth")
 
 
 @query(
@@ -54,7 +54,7 @@ def trend_smooth(spark, sf):
         UNION ALL SELECT id, value, 'year', year(date) FROM ps_full) GROUP BY 1, 2, 3"""),
 )
 def seasonal_boxplot(spark, sf):
-    return rounded(D.seasonal_boxplot(regular(spark, sf, "PS")), 6, "lower", "q1", "median", "q3", "upper")
+    return rounded(D.seasonal_boxplot(lazy(spark, sf, "PS")), 6, "lower", "q1", "median", "q3", "upper")
 
 
 @query(
@@ -66,12 +66,12 @@ def seasonal_boxplot(spark, sf):
   JOIN (SELECT id, var_pop(value) * count(*) AS ss, count(*) AS n FROM pt_full GROUP BY id) v ON v.id = a.id GROUP BY 1, 2"""),
 )
 def acf(spark, sf):
-    return rounded(D.acf(regular(spark, sf, "PT")), 8, "acf", "band")
+    return rounded(D.acf(lazy(spark, sf, "PT")), 8, "acf", "band")
 
 
 @query("pacf")
 def pacf(spark, sf):
-    return D.pacf(regular(spark, sf, "PT"))
+    return D.pacf(lazy(spark, sf, "PT"))
 
 
 _MONTH_CELL = "month(date)"
@@ -94,7 +94,7 @@ def decompose_sql(panel: str, trend: str, cell: str) -> str:
 @query("decompose", twin("ps_full", f"""SELECT id, date, round(value, 6) AS value, round(trend, 6) AS trend, round(season / value, 9) AS season_share,
   round(remainder / value, 9) AS remainder_share, round(seasadj / value, 9) AS seasadj_share FROM ({decompose_sql('ps_full', _TREND_12, _MONTH_CELL)})"""))
 def decompose(spark, sf):
-    parts = D.decompose(regular(spark, sf, "PS"))
+    parts = D.decompose(lazy(spark, sf, "PS"))
     shares = [F.round(F.col(c) / F.col("value"), 9).alias(f"{c}_share") for c in ("season", "remainder", "seasadj")]
     return rounded(parts.select("id", "date", "value", "trend", *shares), 6, "value", "trend")
 
@@ -108,7 +108,7 @@ def decompose(spark, sf):
     JOIN (SELECT id, quantile_cont(remainder, 0.25) AS q1, quantile_cont(remainder, 0.75) AS q3
           FROM ({decompose_sql('pd_full', _TREND_7, "(date_diff('day', DATE '1970-01-01', date) % 7)")}) GROUP BY id) q ON q.id = r.id))"""))
 def anomalies(spark, sf):
-    found = D.anomalies(regular(spark, sf, "PD"), DAY, 7)
+    found = D.anomalies(lazy(spark, sf, "PD"), DAY, 7)
     return rounded(found.select("id", "date", "remainder", "lo", "hi", "is_anomaly"), 6, "remainder", "lo", "hi")
 
 

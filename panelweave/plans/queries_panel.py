@@ -12,7 +12,7 @@ from panelweave.operators import splits
 from panelweave.operators.baselines import forecast_calendar
 from panelweave.operators.features import future_rows, lag_features, add_lags, add_rolling_mean, prepared_rows
 from panelweave.operators.ranking import count_sorted, first_present
-from panelweave.plans.panels import EVENT_RULES, brand_month, regular, shipments, supplier_month, user_day
+from panelweave.plans.panels import EVENT_RULES, brand_month, lazy, regular, shipments, supplier_month, user_day
 from panelweave.plans.registry import query, rounded
 from panelweave.plans.twins import HORIZON, twin
 from panelweave.session import materialize
@@ -227,7 +227,7 @@ def impute_linear(spark, sf):
     ),
 )
 def future_frame(spark, sf):
-    return P.extend(P.regular_panel(supplier_month(spark, sf)).select("id", "date", "value"), HORIZON)
+    return P.extend(lazy(spark, sf, "PS"), HORIZON)
 
 
 _LAGS_SQL = ", ".join(f"lag(value, {k}) OVER (PARTITION BY id ORDER BY date) AS value_lag{k}" for k in range(1, 25))
@@ -237,8 +237,7 @@ _ROLL_SQL = "avg(value_lag12) OVER (PARTITION BY id ORDER BY date ROWS BETWEEN 1
 
 
 def _extended(spark: SparkSession, sf: str) -> DataFrame:
-    full = P.regular_panel(supplier_month(spark, sf)).select("id", "date", "value")
-    return P.extend(full, 24).drop("is_future")
+    return P.extend(lazy(spark, sf, "PS"), 24).drop("is_future")
 
 
 @query("lags_1_to_h", twin("ps_full", f"SELECT id, date, value, {_LAGS_SQL} FROM {_EXTENDED_SQL}"))
@@ -347,7 +346,7 @@ def panel_tail(spark, sf):
     ),
 )
 def nest_series(spark, sf):
-    nested = splits.nest_series(P.extend(regular(spark, sf, "PS"), HORIZON), HORIZON)
+    nested = splits.nest_series(P.extend(lazy(spark, sf, "PS"), HORIZON), HORIZON)
     return nested.select(
         "id",
         F.size("actual_data").cast("bigint").alias("n_actual"),
@@ -367,7 +366,7 @@ def nest_series(spark, sf):
     ),
 )
 def split_nested(spark, sf):
-    nested = splits.nest_series(P.extend(regular(spark, sf, "PS"), HORIZON), HORIZON)
+    nested = splits.nest_series(P.extend(lazy(spark, sf, "PS"), HORIZON), HORIZON)
     return splits.split_nested(nested, HORIZON)
 
 

@@ -400,7 +400,7 @@ def best_per_series(spark, sf):
 def union_benchmarks(spark, sf):
     sums = materialize(S.series_sums(calibrated(spark, sf)), "sums")
     pooled = S.pool_series(sums).select("model_id", "rmse", "mase")
-    by_id = S._series_metrics(sums, ("model_id", "id")).select("model_id", "id", "rmse")
+    by_id = S.series_metrics(sums).select("model_id", "id", "rmse")
     return rounded(rounded(R.union_benchmarks([pooled, by_id]), 4, "rmse"), 8, "mase").select("model_id", "id", "rmse", "mase")
 
 
@@ -437,7 +437,7 @@ def global_and_local(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
     """By-series scores of the best global model, each series' own best, and the pooled table."""
     sums = materialize(S.series_sums(calibrated(spark, sf)), "sums")
     pooled = S.pool_series(sums)
-    by_id = S._series_metrics(sums, ("model_id", "id"))
+    by_id = S.series_metrics(sums)
     chosen = R.top_1(pooled.filter(F.col("model_id").isin(*GLOBAL_MODELS)), "rmse")
     local = R.best_per_series(by_id.filter(F.col("model_id").isin(*LOCAL_MODELS)))
     return R.keep_models(by_id, chosen), local, pooled
