@@ -148,6 +148,14 @@ def season_index(freq: Freq, season: int) -> Column:
     return F.pmod(freq.between(F.lit("1970-01-01").cast("date"), F.col("date")), F.lit(season))
 
 
+def _season_trend(m: int) -> Column:
+    """Centred average over one whole season (two averages if it is even), null at the ends."""
+    half, w = m // 2, by_time()
+    frames = [w.rowsBetween(-half, half)] if m % 2 else [w.rowsBetween(-half, half - 1), w.rowsBetween(1 - half, half)]
+    averages = [F.when(F.count("value").over(f) == m, F.avg("value").over(f)) for f in frames]
+    return averages[0] if m % 2 else (averages[0] + averages[1]) / 2
+
+
 def decompose(panel: DataFrame, freq: Freq = MONTH, season: int | None = None) -> DataFrame:
     """Trend, season, remainder and seasonally adjusted value of every row.
 
@@ -155,16 +163,11 @@ def decompose(panel: DataFrame, freq: Freq = MONTH, season: int | None = None) -
     season), empty at the ends; seasonal means are centred to sum to zero.
     """
     m = season or freq.season
-    half = m // 2
-    w = by_time()
-    frames = [w.rowsBetween(-half, half)] if m % 2 else [w.rowsBetween(-half, half - 1), w.rowsBetween(1 - half, half)]
-    averages = [F.when(F.count("value").over(f) == m, F.avg("value").over(f)) for f in frames]
-    trend = averages[0] if m % 2 else (averages[0] + averages[1]) / 2
     cell = Window.partitionBy("id", "_season_index")
     first_of_cell = F.row_number().over(cell.orderBy("date")) == 1
     return (
         panel.select("id", "date", "value")
-        .withColumn("trend", trend)
+        .withColumn("trend", _season_trend(m))
         .withColumn("_season_index", season_index(freq, m))
         .withColumn("_cell_mean", F.avg(F.col("value") - F.col("trend")).over(cell))
         .withColumn("_cell_head", F.when(first_of_cell, F.col("_cell_mean")))
@@ -208,18 +211,24 @@ def anomalies(
 def outlier_clean(train: DataFrame, freq: Freq = MONTH, season: int | None = None, alpha: float = 0.05) -> DataFrame:
     """Replace outliers of the training rows by interpolation; ``value_raw`` keeps the original.
 
-    Remainder = value - centred moving average - seasonal median, fenced by its
-    quartiles. Learned on, and applied to, training rows only.
+    The season is the median deviation from the seasonal average, so an outlier
+    does not bend it. What is left is compared with a straight line fitted to
+    the rows around it, which has no bias at the ends of a trending series; rows
+    outside the quartile fence of those differences are replaced. Learned on,
+    and applied to, training rows only.
     """
     m = season or freq.season
     lo, hi = _fence("_rest", alpha)
-    smooth = F.avg("value").over(by_time().rowsBetween(-(m // 2), m // 2))
     cell = Window.partitionBy("id", "_season_index")
+    around = by_time().rowsBetween(-(m // 2), m // 2)
+    line = F.regr_intercept("_adjusted", "_pos").over(around) + F.regr_slope("_adjusted", "_pos").over(around) * F.col("_pos")
     flagged = (
         train.select("id", "date", F.col("value").alias("value_raw"), "value")
-        .withColumn("_detrended", F.col("value") - smooth)
+        .withColumn("_off_trend", F.col("value") - _season_trend(m))
+        .withColumn("_pos", F.row_number().over(by_time()).cast("double"))
         .withColumn("_season_index", season_index(freq, m))
-        .withColumn("_rest", F.col("_detrended") - F.median("_detrended").over(cell))
+        .withColumn("_adjusted", F.col("value") - F.coalesce(F.median("_off_trend").over(cell), F.lit(0.0)))
+        .withColumn("_rest", F.col("_adjusted") - line)
         .withColumn("_lo", lo)
         .withColumn("_hi", hi)
         .withColumn("is_cleaned", F.coalesce(~F.col("_rest").between(F.col("_lo"), F.col("_hi")), F.lit(False)))
