@@ -211,24 +211,26 @@ def anomalies(
 def outlier_clean(train: DataFrame, freq: Freq = MONTH, season: int | None = None, alpha: float = 0.05) -> DataFrame:
     """Replace outliers of the training rows by interpolation; ``value_raw`` keeps the original.
 
-    The season is the median deviation from the seasonal average, so an outlier
-    does not bend it. What is left is compared with a straight line fitted to
-    the rows around it, which has no bias at the ends of a trending series; rows
-    outside the quartile fence of those differences are replaced. Learned on,
-    and applied to, training rows only.
+    The season is the median deviation from the seasonal average. What is left
+    is taken off the series' straight line (no bias at the ends of a trend) and
+    compared with the median of the rows around it, so that a spike bends
+    neither its season nor its neighbours. Rows outside the quartile fence of
+    those differences are replaced. Learned on, and applied to, training rows.
     """
     m = season or freq.season
     lo, hi = _fence("_rest", alpha)
     cell = Window.partitionBy("id", "_season_index")
     around = by_time().rowsBetween(-(m // 2), m // 2)
-    line = F.regr_intercept("_adjusted", "_pos").over(around) + F.regr_slope("_adjusted", "_pos").over(around) * F.col("_pos")
+    whole = Window.partitionBy("id")
+    line = F.regr_intercept("_adjusted", "_pos").over(whole) + F.regr_slope("_adjusted", "_pos").over(whole) * F.col("_pos")
     flagged = (
         train.select("id", "date", F.col("value").alias("value_raw"), "value")
         .withColumn("_off_trend", F.col("value") - _season_trend(m))
         .withColumn("_pos", F.row_number().over(by_time()).cast("double"))
         .withColumn("_season_index", season_index(freq, m))
         .withColumn("_adjusted", F.col("value") - F.coalesce(F.median("_off_trend").over(cell), F.lit(0.0)))
-        .withColumn("_rest", F.col("_adjusted") - line)
+        .withColumn("_off_line", F.col("_adjusted") - F.coalesce(line, F.col("_adjusted")))
+        .withColumn("_rest", F.col("_off_line") - F.percentile("_off_line", F.lit(0.5)).over(around))
         .withColumn("_lo", lo)
         .withColumn("_hi", hi)
         .withColumn("is_cleaned", F.coalesce(~F.col("_rest").between(F.col("_lo"), F.col("_hi")), F.lit(False)))

@@ -112,11 +112,11 @@ def anomalies(spark, sf):
     return rounded(found.select("id", "date", "remainder", "lo", "hi", "is_anomaly"), 6, "remainder", "lo", "hi")
 
 
-_AROUND = "OVER (PARTITION BY id ORDER BY date ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)"
-_REST = f"""SELECT id, date, value, a - (regr_intercept(a, pos) {_AROUND} + regr_slope(a, pos) {_AROUND} * pos) AS rest FROM
+_REST = f"""SELECT id, date, value, r - median(r) OVER (PARTITION BY id ORDER BY date ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS rest
+  FROM (SELECT id, date, value, a - (regr_intercept(a, pos) OVER (PARTITION BY id) + regr_slope(a, pos) OVER (PARTITION BY id) * pos) AS r FROM
   (SELECT id, date, value, pos, value - median(off) OVER (PARTITION BY id, cell) AS a FROM
    (SELECT id, date, value, row_number() OVER (PARTITION BY id ORDER BY date) AS pos, {_MONTH_CELL} AS cell,
-      value - {_TREND_12} AS off FROM ps_train))"""
+      value - {_TREND_12} AS off FROM ps_train)))"""
 _FLAGGED = f"""SELECT r.id, r.date, r.value AS value_raw, NOT (r.rest BETWEEN q.q1 - 3 * (q.q3 - q.q1) AND q.q3 + 3 * (q.q3 - q.q1)) AS is_cleaned,
   row_number() OVER (PARTITION BY r.id ORDER BY r.date) AS pos FROM ({_REST}) r
   JOIN (SELECT id, quantile_cont(rest, 0.25) AS q1, quantile_cont(rest, 0.75) AS q3 FROM ({_REST}) GROUP BY id) q ON q.id = r.id"""
