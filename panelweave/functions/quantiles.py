@@ -17,7 +17,9 @@ def exact_quantiles(
     cut into value ranges (bounds from a mergeable sketch, whose error only
     shifts the bounds), ranks are running counts inside a range plus the total
     of the ranges below, and only the rows holding a wanted rank go on. The
-    ranks are exact; no range depends on one key alone.
+    ranks are exact. Bounds and offsets are one row per group and per range, so
+    for few large groups the joins with them turn into broadcasts by size, and
+    for many small groups they are ordinary joins on spread keys.
     """
     by = list(by)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))

@@ -42,7 +42,7 @@ def combine(members: DataFrame, candidates: DataFrame, how: str, allow_partial:
     holds one row per member, so its count and weights are small by nature.
     """
     if how == "weighted":
-        members = members.join(ensemble_weights(candidates), "model_id")
+        members = members.join(F.broadcast(ensemble_weights(candidates)), "model_id")
         value = F.sum(F.col("weight") * F.col("prediction")) / F.sum(F.when(F.col("prediction").isNotNull(), F.col("weight")))
     else:
         value = {"mean": F.avg("prediction"), "median": F.median("prediction")}[how]

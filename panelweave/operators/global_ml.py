@@ -440,9 +440,9 @@ def tune_grid(
     return out
 
 
-def tune_metrics(per_slice: DataFrame) -> DataFrame:
+def tune_metrics(per_slice: DataFrame, params: Sequence[str] = ("tree_depth", "learn_rate")) -> DataFrame:
     """Mean, count and standard error per grid point and metric."""
-    return metric_summary(per_slice, ["config", "tree_depth", "learn_rate"])
+    return metric_summary(per_slice, ["config", *params])
 
 
 def show_best(metrics: DataFrame, metric: str = "rmse", n: int = 5) -> DataFrame:
@@ -450,9 +450,9 @@ def show_best(metrics: DataFrame, metric: str = "rmse", n: int = 5) -> DataFrame
     return metrics.filter(F.col("metric") == metric).orderBy("mean", "config").limit(n)
 
 
-def select_best(metrics: DataFrame, metric: str = "rmse") -> DataFrame:
+def select_best(metrics: DataFrame, metric: str = "rmse", params: Sequence[str] = ("tree_depth", "learn_rate")) -> DataFrame:
     """The best grid point."""
-    return show_best(metrics, metric, 1).select("tree_depth", "learn_rate", "config")
+    return show_best(metrics, metric, 1).select(*params, "config")
 
 
 def finalize_and_fit(

@@ -50,9 +50,13 @@ def best_per_series(accuracy: DataFrame, metric: str = "rmse", minimize: bool =
     return accuracy.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def keep_models(rows: DataFrame, chosen: DataFrame, keys: Sequence[str] = ("model_id",)) -> DataFrame:
-    """Rows whose model is among the chosen ones."""
-    return rows.join(chosen.select(*keys).distinct(), list(keys), "left_semi")
+def keep_models(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows whose model is among the chosen ones.
+
+    ``chosen`` has one row per model: bounded by the model list, not the data,
+    hence broadcast; a shuffle on the few model ids would be all skew.
+    """
+    return rows.join(F.broadcast(chosen.select("model_id").distinct()), "model_id", "left_semi")
 
 
 def union_benchmarks(tables: Sequence[DataFrame]) -> DataFrame:

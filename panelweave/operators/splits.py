@@ -90,8 +90,13 @@ def plan_dates(panel: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def cv_rows(panel: DataFrame, plan: DataFrame) -> DataFrame:
-    """Panel rows of every slice with their role: an equi-join on ``date``."""
-    return panel.join(plan_dates(panel, plan), "date")
+    """Panel rows of every slice with their role: an equi-join on ``date``.
+
+    A shuffle on ``date`` would leave one task per period, each with every
+    series. The date side holds at most slices times calendar periods whatever
+    the data size, so it is broadcast.
+    """
+    return panel.join(F.broadcast(plan_dates(panel, plan)), "date")
 
 
 def panel_tail(panel: DataFrame, n: int, keys: Sequence[str] = ("id",)) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from panelweave.functions.calendar import CALENDAR_LABELS, CALENDAR_NUMERIC, with_calendar
@@ -54,33 +55,58 @@ def drop_by_pattern(spark, sf):
     return rounded(left, 6, "value_lag12_roll_12")
 
 
-def _train_features(spark, sf, spec: G.FeatureSet):
-    train = splits.train_rows(regular(spark, sf, "PM"), HORIZON)
-    return materialize(G.feature_table(train, spec), f"features_{spec.name}")
-
-
 def _assembled(spark, sf, spec: G.FeatureSet):
-    """Predictor vectors as a regressor sees them: encoded id, varying columns, scaled index and year."""
-    table = _train_features(spark, sf, spec)
+    """Predictor vectors as a regressor sees them (encoded id, varying columns, scaled index and
+    year), shown by their width and the sum of their entries."""
+    train = splits.train_rows(regular(spark, sf, "PM"), HORIZON)
+    table = materialize(G.feature_table(train, spec), f"features_{spec.name}")
     seen = G.profile(table, spec)
     rows = X.normalize(table, list(seen.scaling), table) if seen.scaling else table
-    vectors = G.VectorAssembler(inputCols=["id_vec", *seen.columns], outputCol="features").transform(
-        G.id_encoder(table, seen.n_ids).transform(rows)
+    encoded = G.id_encoder(table, seen.n_ids).transform(rows)
+    vectors = G.VectorAssembler(inputCols=["id_vec", *seen.columns], outputCol="features").transform(encoded)
+    entries = vector_to_array("features")
+    total = F.aggregate(entries, F.lit(0.0), lambda s, v: s + v)
+    return vectors.select(
+        "id", "date", big(F.size(entries)).alias("width"), F.round(total, 5).alias("total")
+    )
+
+
+_LAG_SUM = " + ".join(f"value_lag{k}" for k in range(1, 13))
+_CAL_COLUMNS = ("date_half", "date_quarter", "date_month", "date_wday_sun1", "date_qday", "date_yday", "date_week", "date_week2", "date_week3", "date_week4")
+
+
+def _assembled_sql(lags: bool, calendar: bool) -> str:
+    """Width and sum of the predictors; constant calendar columns (day, week of month) are left out."""
+    lag_columns = ", ".join(f"lag(value, {k}) OVER (PARTITION BY id ORDER BY date) AS value_lag{k}" for k in range(1, 13))
+    table = f"SELECT id, date, {lag_columns} FROM pm_train"
+    rolled = "SELECT *, avg(value_lag12) OVER (PARTITION BY id ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS roll FROM ({})"
+    rows = f"SELECT * FROM ({rolled.format(table)}) WHERE value_lag12 IS NOT NULL" if lags else table
+    parts, width = ["1"], ["(SELECT count(DISTINCT id) FROM pm_train)"]
+    if lags:
+        parts.append(f"{_LAG_SUM} + roll")
+        width.append("13")
+    if calendar:
+        parts.append(" + ".join(_CAL_COLUMNS) + " + 2")
+        parts += [f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()" for c in ("date_index_num", "date_year")]
+        width.append(f"{len(_CAL_COLUMNS)} + 12 + 7 + 2")
+    return twin(
+        "pm_train",
+        f"""SELECT id, date, ({' + '.join(width)})::BIGINT AS width, round({' + '.join(parts)}, 5) AS total
+  FROM (SELECT *, {_CALENDAR_SQL} FROM ({rows}))""",
     )
-    return vectors.select("id", "date", "value", "features")
 
 
-@query("feat_lag")
+@query("feat_lag", _assembled_sql(True, False))
 def feat_lag(spark, sf):
     return _assembled(spark, sf, G.lag_set(HORIZON))
 
 
-@query("feat_calendar")
+@query("feat_calendar", _assembled_sql(False, True))
 def feat_calendar(spark, sf):
     return _assembled(spark, sf, G.calendar_set())
 
 
-@query("feat_hybrid")
+@query("feat_hybrid", _assembled_sql(True, True))
 def feat_hybrid(spark, sf):
     return _assembled(spark, sf, G.hybrid_set(HORIZON))
 

@@ -10,17 +10,18 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.functions.steps import DAY
 from panelweave.operators import global_ml as G
 from panelweave.operators import per_series as U
 from panelweave.operators import ranking as R
 from panelweave.operators import scoring as S
 from panelweave.operators import splits
 from panelweave.operators.baselines import baseline_forecasts, with_history
-from panelweave.plans.panels import brand_month, regular
+from panelweave.plans.panels import regular
 from panelweave.plans.queries_panel import rolling_plan
-from panelweave.plans.queries_scoring import backtest_rows, train_test
-from panelweave.plans.registry import query
-from panelweave.plans.twins import HORIZON
+from panelweave.plans.queries_scoring import WINDOWS, backtest_rows, slice_long_sql, train_test
+from panelweave.plans.registry import query, rounded
+from panelweave.plans.twins import HORIZON, twin
 from panelweave.session import materialize
 
 TREES, DEPTH = 10, 4
@@ -121,9 +122,9 @@ def fit_candidates_per_series(spark, sf):
 
 @query("fit_error_report")
 def fit_error_report(spark, sf):
-    """Candidates that cannot be fitted, on the unpadded brand panel cut to its first two years."""
-    short = brand_month(spark, sf).filter(F.col("date") < F.lit("1996-06-01").cast("date"))
-    return U.fit_errors(U.fit_per_series(short, HORIZON, list(U.CANDIDATES)))
+    """Candidates that cannot be fitted: a month of days per user is too short for a four-week cycle."""
+    days = regular(spark, sf, "PD")
+    return U.fit_errors(U.fit_per_series(days, 7, list(U.CANDIDATES), DAY, season=28))
 
 
 @query("refit_best")
@@ -153,14 +154,27 @@ def tune_grid(spark, sf):
     return _tuning(spark, sf)[1]
 
 
-@query("tune_metrics")
+def _window_scores(spark, sf) -> DataFrame:
+    """Slice scores of a grid over the rolling-mean window, in the layout of a tuning run."""
+    rows = backtest_rows(spark, sf, windows=WINDOWS, season=None)
+    window = F.regexp_extract("model_id", "[0-9]+", 0).cast("bigint")
+    return rows.groupBy(F.col("model_id").alias("config"), window.alias("window"), "slice_id").agg(
+        S.mae().alias("mae"), S.rmse().alias("rmse")
+    )
+
+
+_WINDOW_METRICS = f"""SELECT model_id AS config, regexp_extract(model_id, '[0-9]+')::BIGINT AS "window", metric, avg(estimate) AS mean,
+  count(*) AS n, stddev_samp(estimate) / sqrt(count(*)) AS std_err FROM ({slice_long_sql(WINDOWS, None)}) GROUP BY 1, 2, 3"""
+
+
+@query("tune_metrics", twin("ps_train steps", f"""SELECT config, "window", metric, round(mean, 4) AS mean, n, round(std_err, 4) AS std_err FROM ({_WINDOW_METRICS})"""))
 def tune_metrics(spark, sf):
-    return G.tune_metrics(_tuning(spark, sf)[1])
+    return rounded(G.tune_metrics(_window_scores(spark, sf), ["window"]), 4, "mean", "std_err")
 
 
-@query("select_best")
+@query("select_best", twin("ps_train steps", f"""SELECT "window", config FROM ({_WINDOW_METRICS}) WHERE metric = 'rmse' ORDER BY mean, config LIMIT 1"""))
 def select_best(spark, sf):
-    return G.select_best(G.tune_metrics(_tuning(spark, sf)[1]))
+    return G.select_best(G.tune_metrics(_window_scores(spark, sf), ["window"]), params=["window"])
 
 
 @query("finalize_and_fit")

@@ -224,7 +224,7 @@ def forecast_interval(spark, sf):
     ahead = cal.select("model_id", "id", "date", "prediction")
     own = S.forecast_interval(ahead, cal)
     pooled = S.residual_bands(cal, by_id=False).withColumnRenamed("half_width", "pooled")
-    both = own.join(pooled, "model_id").withColumn("pooled_lo", F.col("prediction") - F.col("pooled")).drop("pooled")
+    both = own.join(F.broadcast(pooled), "model_id").withColumn("pooled_lo", F.col("prediction") - F.col("pooled")).drop("pooled")
     return rounded(rounded(both, 6, "prediction"), 7, "lo", "hi", "pooled_lo")
 
 
@@ -234,19 +234,26 @@ _SLICE_TAIL = f"""SELECT s.slice_id, t.id, t.date, t.value,
   row_number() OVER (PARTITION BY s.slice_id, t.id ORDER BY t.date DESC) AS rn,
   max(t.date) OVER (PARTITION BY s.slice_id, t.id) AS last_date, count(*) OVER (PARTITION BY s.slice_id, t.id) AS n_rows
   FROM ps_train t JOIN {plan_sql('ps_train')} s ON t.date BETWEEN s.train_start AND s.train_end"""
-_BACKTEST = f"""SELECT f.slice_id, f.model_id, f.id, f.date, f.prediction, t.value AS actual FROM (
-  WITH bt_tail AS ({_SLICE_TAIL}) {baseline_sql('bt_tail', (6, 12), 12, 'slice_id, id')}) f
+
+
+def backtest_sql(windows: tuple[int, ...], season: int | None) -> str:
+    """Out-of-sample rows of the baselines on every slice."""
+    return f"""SELECT f.slice_id, f.model_id, f.id, f.date, f.prediction, t.value AS actual FROM (
+  WITH bt_tail AS ({_SLICE_TAIL}) {baseline_sql('bt_tail', windows, season, 'slice_id, id')}) f
   JOIN {plan_sql('ps_train')} s ON s.slice_id = f.slice_id AND f.date BETWEEN s.test_start AND s.test_end
   JOIN ps_train t ON t.id = f.id AND t.date = f.date"""
 
 
-def backtest_rows(spark: SparkSession, sf: str, panel: str = "PS") -> DataFrame:
+_BACKTEST = backtest_sql((6, 12), 12)
+
+
+def backtest_rows(spark: SparkSession, sf: str, windows: tuple[int, ...] = (6, 12), season: int | None = SEASON) -> DataFrame:
     """Out-of-sample rows of the baselines on every slice, in one query."""
-    train = materialize(train_test(spark, sf, panel)[0], "train")
+    train = materialize(train_test(spark, sf)[0], "train")
     rows = splits.cv_rows(train, rolling_plan(train))
     fitted_on = rows.filter(F.col("role") == "training")
     truth = rows.filter(F.col("role") == "testing").select("slice_id", "id", "date", F.col("value").alias("actual"))
-    ahead = baseline_forecasts(fitted_on, HORIZON, keys=("slice_id", "id"))
+    ahead = baseline_forecasts(fitted_on, HORIZON, windows=windows, season=season, keys=("slice_id", "id"))
     return ahead.join(truth, ["slice_id", "id", "date"])
 
 
@@ -260,10 +267,15 @@ def backtest(spark, sf):
     return rounded(rows, 6, "prediction", "actual")
 
 
-_SLICE_SCORES = f"""SELECT slice_id, model_id, sqrt(avg(power(actual - prediction, 2))) AS rmse, avg(abs(actual - prediction)) AS mae
-  FROM ({_BACKTEST}) GROUP BY 1, 2"""
-_SLICE_LONG = f"""SELECT model_id, 'rmse' AS metric, rmse AS estimate FROM ({_SLICE_SCORES})
-  UNION ALL SELECT model_id, 'mae', mae FROM ({_SLICE_SCORES})"""
+def slice_long_sql(windows: tuple[int, ...], season: int | None) -> str:
+    """One row per slice, model and metric."""
+    scores = f"""SELECT slice_id, model_id, sqrt(avg(power(actual - prediction, 2))) AS rmse, avg(abs(actual - prediction)) AS mae
+  FROM ({backtest_sql(windows, season)}) GROUP BY 1, 2"""
+    return f"""SELECT model_id, 'rmse' AS metric, rmse AS estimate FROM ({scores})
+  UNION ALL SELECT model_id, 'mae', mae FROM ({scores})"""
+
+
+_SLICE_LONG = slice_long_sql((6, 12), 12)
 
 
 @query(

@@ -29,8 +29,8 @@ def write_comparison(comparison: DataFrame, path: str) -> None:
 
 
 def write_forecasts(forecasts: DataFrame, path: str) -> None:
-    """Forecast table by model."""
-    forecasts.write.mode("overwrite").partitionBy("model_id").parquet(path)
+    """Forecast table by model; rebalancing gives each model a few full files and splits a large one."""
+    forecasts.hint("rebalance", "model_id").write.mode("overwrite").partitionBy("model_id").parquet(path)
 
 
 def write_handover(panel: DataFrame, path: str) -> None:
