@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str], cuts: int = 64
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    probs: Sequence[float],
+    names: Sequence[str],
+    cuts: int = 64,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per ``by``, without gathering a group.
 
@@ -17,15 +23,16 @@ def exact_quantiles(
     cut into value ranges (bounds from a mergeable sketch, whose error only
     shifts the bounds), ranks are running counts inside a range plus the total
     of the ranges below, and only the rows holding a wanted rank go on. The
-    ranks are exact. Bounds and offsets are one row per group and per range, so
-    for few large groups the joins with them turn into broadcasts by size, and
-    for many small groups they are ordinary joins on spread keys.
+    ranks are exact. Bounds and offsets are one row per group and per range: with
+    ``few_groups`` (models, say) they are broadcast, as a shuffle on such keys
+    would be all skew; with many groups they are ordinary joins on spread keys.
     """
     by = list(by)
+    small = F.broadcast if few_groups else (lambda table: table)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     grid = [i / cuts for i in range(1, cuts)]
     bounds = counted.groupBy(*by).agg(F.percentile_approx("_v", grid, 1000).alias("_cuts"))
-    ranged = counted.join(bounds, by).select(
+    ranged = counted.join(small(bounds), by).select(
         *by, "_v", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_range")
     )
     below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -42,7 +49,7 @@ def exact_quantiles(
     )
     running = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        ranged.join(offsets, [*by, "_range"])
+        ranged.join(small(offsets), [*by, "_range"])
         .withColumn("_last", F.col("_offset") + F.sum("_n").over(running) - 1)
         .withColumn("_first", F.col("_last") - F.col("_n") + 1)
     )

@@ -195,7 +195,7 @@ def residual_bands(calibrated: DataFrame, level: float = 0.95, by_id: bool = Tru
     size = calibrated.withColumn("_abs", F.abs("residual"))
     if by_id:
         return size.groupBy("model_id", "id").agg(F.percentile("_abs", F.lit(level)).alias("half_width"))
-    return exact_quantiles(size, ["model_id"], "_abs", [level], ["half_width"])
+    return exact_quantiles(size, ["model_id"], "_abs", [level], ["half_width"], few_groups=True)
 
 
 def forecast_interval(forecasts: DataFrame, calibrated: DataFrame, level: float = 0.95, by_id: bool = True) -> DataFrame:

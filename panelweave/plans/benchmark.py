@@ -21,7 +21,7 @@ from panelweave.operators import scoring as S
 from panelweave.operators import splits
 from panelweave.operators.baselines import ROLLING_WINDOWS, baseline_forecasts, with_history
 from panelweave.operators.panel import regular_panel
-from panelweave.session import materialize, new_path
+from panelweave.session import materialize, materialize_by, new_path
 from panelweave.sources import sinks
 from panelweave.sources.external import external_forecasts
 
@@ -58,6 +58,10 @@ class BenchmarkRun:
         self.tables[name] = materialize(df, name)
         return self.tables[name]
 
+    def keep_by_id(self, name: str, df: DataFrame) -> DataFrame:
+        self.tables[name] = materialize_by(df, name)
+        return self.tables[name]
+
 
 Forecaster = Callable[[DataFrame], DataFrame]
 
@@ -135,11 +139,11 @@ def run_benchmark(bucketed: DataFrame, cfg: BenchmarkConfig = BenchmarkConfig(),
     every later step reads them: one holdout for all models, one calibration.
     """
     run = BenchmarkRun(new_path(bucketed.sparkSession, "run"))
-    panel = run.keep("panel", regular_panel(bucketed, cfg.freq, cfg.zero_is_missing).select("id", "date", "value"))
+    panel = run.keep_by_id("panel", regular_panel(bucketed, cfg.freq, cfg.zero_is_missing).select("id", "date", "value"))
     truth = run.keep("truth", splits.test_rows(panel, cfg.horizon))
     raw_train = splits.train_rows(panel, cfg.horizon)
     cleaned = D.outlier_clean(raw_train, cfg.freq).select("id", "date", "value") if cfg.clean_train else raw_train
-    train = run.keep("train", cleaned)
+    train = run.keep_by_id("train", cleaned)
     sinks.write_handover(raw_train, f"{run.path}/handover/context")
     sinks.write_handover(truth, f"{run.path}/handover/truth")
 

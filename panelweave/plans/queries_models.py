@@ -19,7 +19,7 @@ from panelweave.operators import splits
 from panelweave.operators.baselines import baseline_forecasts, with_history
 from panelweave.plans.panels import regular
 from panelweave.plans.queries_panel import rolling_plan
-from panelweave.plans.queries_scoring import WINDOWS, backtest_rows, slice_long_sql, train_test
+from panelweave.plans.queries_scoring import WINDOWS, backtest_on, backtest_rows, slice_long_sql, train_test
 from panelweave.plans.registry import query, rounded
 from panelweave.plans.twins import HORIZON, twin
 from panelweave.session import materialize
@@ -143,15 +143,14 @@ def refit_best(spark, sf):
 SMALL_GRID = ((2, 0.1), (4, 0.3))
 
 
-def _tuning(spark, sf) -> tuple[DataFrame, DataFrame]:
-    train, _ = _stored_train(spark, sf)
+def _tuning(train: DataFrame) -> tuple[DataFrame, DataFrame]:
     table = materialize(G.feature_table(train, G.calendar_set()), "features_calendar")
     return table, G.tune_grid(table, rolling_plan(train), G.calendar_set(), SMALL_GRID, trees=5)
 
 
 @query("tune_grid")
 def tune_grid(spark, sf):
-    return _tuning(spark, sf)[1]
+    return _tuning(_stored_train(spark, sf)[0])[1]
 
 
 def _window_scores(spark, sf) -> DataFrame:
@@ -179,9 +178,9 @@ def select_best(spark, sf):
 
 @query("finalize_and_fit")
 def finalize_and_fit(spark, sf):
-    table, per_slice = _tuning(spark, sf)
+    train, test = _stored_train(spark, sf)
+    table, per_slice = _tuning(train)
     model = G.finalize_and_fit(table, G.select_best(G.tune_metrics(per_slice)), G.calendar_set(), trees=5)
-    train, test = train_test(spark, sf, "PM")
     return S.calibrate(G.direct_forecast(model, train, HORIZON), test)
 
 
@@ -191,6 +190,6 @@ STACKED = ("rolling_mean_6", "rolling_mean_12", "seasonal_naive_12")
 @query("ensemble_stacked")
 def ensemble_stacked(spark, sf):
     """Meta model on the slices' out-of-sample rows, applied to the members' holdout forecasts."""
-    meta = G.fit_stack(backtest_rows(spark, sf), STACKED)
-    train, test = train_test(spark, sf)
+    train, test = _stored_train(spark, sf, "PS")
+    meta = G.fit_stack(backtest_on(train), STACKED)
     return S.calibrate(G.stacked_forecast(meta, baseline_forecasts(train, HORIZON), STACKED), test)

@@ -45,7 +45,10 @@ def train_test(spark: SparkSession, sf: str, panel: str = "PS") -> tuple[DataFra
 
 
 def calibrated(spark: SparkSession, sf: str, panel: str = "PS") -> DataFrame:
-    train, test = train_test(spark, sf, panel)
+    return calibrated_on(*train_test(spark, sf, panel))
+
+
+def calibrated_on(train: DataFrame, test: DataFrame) -> DataFrame:
     return S.calibrate(baseline_forecasts(train, HORIZON, windows=WINDOWS, season=SEASON), test)
 
 
@@ -151,9 +154,8 @@ def metric_mase(spark, sf):
     return rounded(S.accuracy_by_series(calibrated(spark, sf)), 8, "mase").select("model_id", "id", "mase")
 
 
-def outside_forecast(spark: SparkSession, sf: str) -> DataFrame:
+def outside_forecast(train: DataFrame) -> DataFrame:
     """A forecast in the layout outside models deliver: median and two quantiles by name."""
-    train, _ = train_test(spark, sf)
     tail = splits.panel_tail(train, SEASON)
     ranges = tail.groupBy("id").agg(F.min("value").alias("0.1"), F.max("value").alias("0.9"))
     middle = rolling_mean_forecast(train, HORIZON, SEASON).select("id", "date", F.col("prediction").alias("0.5"))
@@ -175,7 +177,8 @@ _OUTSIDE_SQL = """SELECT f.id, f.date, f.prediction, r.lo, r.hi, t.value AS actu
     ),
 )
 def external_forecasts_query(spark, sf):
-    return rounded(external_forecasts(outside_forecast(spark, sf), "outside"), 6, "prediction")
+    train, _ = train_test(spark, sf)
+    return rounded(external_forecasts(outside_forecast(train), "outside"), 6, "prediction")
 
 
 @query(
@@ -188,8 +191,8 @@ def external_forecasts_query(spark, sf):
     ),
 )
 def external_accuracy(spark, sf):
-    _, test = train_test(spark, sf)
-    scored = materialize(S.calibrate(external_forecasts(outside_forecast(spark, sf), "outside"), test), "outside")
+    train, test = train_test(spark, sf)
+    scored = materialize(S.calibrate(external_forecasts(outside_forecast(train), "outside"), test), "outside")
     overall = S.external_accuracy(scored).withColumn("id", F.lit("all"))
     return rounded_metrics(overall.unionByName(S.external_accuracy(scored, ["model_id", "id"])))
 
@@ -203,8 +206,8 @@ def external_accuracy(spark, sf):
     ),
 )
 def coverage_check(spark, sf):
-    _, test = train_test(spark, sf)
-    scored = S.calibrate(external_forecasts(outside_forecast(spark, sf), "outside"), test)
+    train, test = train_test(spark, sf)
+    scored = S.calibrate(external_forecasts(outside_forecast(train), "outside"), test)
     return rounded(S.coverage(scored), 8, "coverage")
 
 
@@ -249,7 +252,10 @@ _BACKTEST = backtest_sql((6, 12), 12)
 
 def backtest_rows(spark: SparkSession, sf: str, windows: tuple[int, ...] = (6, 12), season: int | None = SEASON) -> DataFrame:
     """Out-of-sample rows of the baselines on every slice, in one query."""
-    train = materialize(train_test(spark, sf)[0], "train")
+    return backtest_on(materialize(train_test(spark, sf)[0], "train"), windows, season)
+
+
+def backtest_on(train: DataFrame, windows: tuple[int, ...] = (6, 12), season: int | None = SEASON) -> DataFrame:
     rows = splits.cv_rows(train, rolling_plan(train))
     fitted_on = rows.filter(F.col("role") == "training")
     truth = rows.filter(F.col("role") == "testing").select("slice_id", "id", "date", F.col("value").alias("actual"))
@@ -534,9 +540,9 @@ def gap_long(spark, sf):
    SELECT 'outside', sqrt(avg(power(actual - prediction, 2))), avg(abs(actual - prediction)),
      100 * avg(abs((actual - prediction) / nullif(actual, 0))) FROM ({_OUTSIDE_SQL}))"""))
 def final_benchmark(spark, sf):
-    _, test = train_test(spark, sf)
-    outside = S.external_accuracy(S.calibrate(external_forecasts(outside_forecast(spark, sf), "outside"), test))
-    board = C.final_benchmark([S.accuracy_pooled(calibrated(spark, sf)), outside])
+    train, test = train_test(spark, sf)
+    outside = S.external_accuracy(S.calibrate(external_forecasts(outside_forecast(train), "outside"), test))
+    board = C.final_benchmark([S.accuracy_pooled(calibrated_on(train, test)), outside])
     return rounded_metrics(board.orderBy("rmse", "model_id").limit(15))
 
 

@@ -91,7 +91,7 @@ def sink_context_truth(spark, sf):
 @query("sink_tuning")
 def sink_tuning(spark, sf):
     path = new_path(spark, "tuning")
-    metrics = materialize(G.tune_metrics(_tuning(spark, sf)[1]), "metrics")
+    metrics = materialize(G.tune_metrics(_tuning(_stored_train(spark, sf)[0])[1]), "metrics")
     sinks.write_tuning(metrics, G.select_best(metrics), path)
     schema = "config string, tree_depth bigint, learn_rate double, metric string, mean double, n bigint, std_err double"
     best = read_csv(spark, f"{path}/best", "tree_depth bigint, learn_rate double, config string")

@@ -66,6 +66,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, label: str, key: str = "id") -> DataFrame:
+    """Like :func:`materialize`, but bucketed by ``key``.
+
+    For tables that many steps window, group or fit by the same key: their scans
+    come partitioned by it, so none of those steps shuffles. The buckets follow
+    the session's shuffle width; rows already hashed to it are written as they lie.
+    The table is registered in the session catalog, its files stay in the work folder.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(width, key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys`` into the session's shuffle width.
 

@@ -118,6 +118,17 @@ def test_pad_impute_extend_lag_take_one_exchange(spark, make_panel):
     assert text.count("Exchange hashpartitioning") == 1
 
 
+def test_bucketed_table_needs_no_exchange(make_panel):
+    from panelweave.operators.features import lag_features
+    from panelweave.operators.splits import panel_tail
+    from panelweave.session import materialize_by
+
+    stored = materialize_by(make_panel({"a": range(30), "b": range(30)}), "stored")
+    for plan in (lag_features(stored, range(1, 13)), panel_tail(stored, 3), stored.groupBy("id").agg(F.max("date"))):
+        assert "Exchange hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert stored.count() == 60
+
+
 def test_freq_between(spark):
     row = spark.range(1).select(
         MONTH.between(F.lit("2010-01-01").cast("date"), F.lit("2011-03-01").cast("date")).alias("m"),

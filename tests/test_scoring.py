@@ -184,14 +184,14 @@ def test_interval_by_id(spark):
     assert row["hi"] - row["prediction"] == pytest.approx(19.0)
 
 
-@pytest.mark.parametrize("cuts", [2, 64])
-def test_exact_quantiles_match_numpy(spark, cuts):
+@pytest.mark.parametrize("cuts,few", [(2, False), (64, True)])
+def test_exact_quantiles_match_numpy(spark, cuts, few):
     rng = np.random.default_rng(3)
     hot = np.concatenate([np.full(400, 5.0), rng.normal(0, 10, 800)])
     cold = rng.normal(0, 1, 7)
     data = [("hot", float(v)) for v in hot] + [("cold", float(v)) for v in cold] + [("one", 2.0), ("hot", None)]
     df = spark.createDataFrame(data, "g string, v double")
-    out = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", [0.0, 0.25, 0.95, 1.0], ["a", "b", "c", "d"], cuts).collect()}
+    out = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", [0.0, 0.25, 0.95, 1.0], ["a", "b", "c", "d"], cuts, few).collect()}
     for name, values in (("hot", hot), ("cold", cold), ("one", np.array([2.0]))):
         want = np.quantile(values, [0.0, 0.25, 0.95, 1.0])
         assert [out[name][k] for k in "abcd"] == pytest.approx(list(want))
