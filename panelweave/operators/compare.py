@@ -64,6 +64,12 @@ def hybrid_policy(global_by_id: DataFrame, local_best: DataFrame) -> DataFrame:
     )
 
 
+def policy_rows(policy: DataFrame, calibrated: DataFrame, name: str = "hybrid_policy") -> DataFrame:
+    """The calibrated rows a policy picks, as one model to be scored like any other."""
+    picked = calibrated.join(policy.select("id", "model_id"), ["id", "model_id"], "left_semi")
+    return picked.withColumn("model_id", F.lit(name))
+
+
 def final_benchmark(tables: list[DataFrame]) -> DataFrame:
     """All models on the same four columns."""
     cols = ["model_id", "rmse", "mae", "mape"]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
@@ -20,7 +19,7 @@ from panelweave.functions.steps import MONTH, Freq
 from panelweave.operators.features import ROLL_PERIOD, ROLL_SOURCE_LAG, lag_features, prepared_rows
 from panelweave.operators.panel import by_time
 from panelweave.operators.scoring import mae, metric_summary, rmse
-from panelweave.session import materialize
+from panelweave.session import materialize, side_by_side
 
 SEED = 123
 MAX_ONE_HOT = 4096
@@ -432,8 +431,7 @@ def tune_grid(
         )
 
     tasks = [(i, point, cut) for i, point in enumerate(grid, 1) for cut in slices]
-    with ThreadPoolExecutor(parallelism) as pool:
-        parts = list(pool.map(one, tasks))
+    parts = side_by_side(one, tasks, parallelism)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

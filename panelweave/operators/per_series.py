@@ -202,12 +202,13 @@ def fit_per_series(
     season: int | None = None,
     include_fitted: bool = False,
     only: DataFrame | None = None,
+    by_id: bool = False,
 ) -> DataFrame:
     """Forecasts of every candidate for every series, failures as rows.
 
     ``include_fitted`` adds the in-sample one-step values as rows with step <= 0.
     ``only`` (``id, model_id``) restricts each series to its chosen model: the
-    refit after selection.
+    refit after selection. ``by_id`` says the rows already lie bucketed by id.
     """
     m = season or freq.season
     fits = {name: CANDIDATES[name] for name in candidates}
@@ -253,7 +254,7 @@ def fit_per_series(
     if only is not None:
         known = only.filter(F.col("model_id").isin(*fits)).select("id", F.col("model_id").alias("chosen"))
         series = series.join(known, "id")
-    fitted = spread(series, "id").groupBy("id").applyInPandas(one_series, raw_schema)
+    fitted = (series if by_id else spread(series, "id")).groupBy("id").applyInPandas(one_series, raw_schema)
     date: Column = F.when(F.col("status") == "ok", freq.add(F.col("last_date"), F.col("step")))
     return fitted.select(
         "id", "model_id", "variant", "step", date.alias("date"),

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml import Estimator
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from panelweave.operators import scoring as S
 from panelweave.operators import splits
 from panelweave.operators.baselines import ROLLING_WINDOWS, baseline_forecasts, with_history
 from panelweave.operators.panel import regular_panel
-from panelweave.session import materialize, materialize_by, new_path
+from panelweave.session import materialize, materialize_by, new_path, side_by_side
 from panelweave.sources import sinks
 from panelweave.sources.external import external_forecasts
 
@@ -45,6 +46,7 @@ class BenchmarkConfig:
     tuning_trees: int = G.TUNING_TREES
     tuning_grid: tuple = G.TUNING_GRID
     series_candidates: tuple = U.LOCAL_CANDIDATES
+    fits_at_once: int = 4
 
 
 @dataclass
@@ -64,6 +66,7 @@ class BenchmarkRun:
 
 
 Forecaster = Callable[[DataFrame], DataFrame]
+TUNED, STACKED = "leaf_boosting_tuned", "ensemble_stacked"
 
 
 def baseline_forecaster(model_id: str, cfg: BenchmarkConfig) -> Forecaster:
@@ -109,26 +112,34 @@ def global_forecasts(train: DataFrame, cfg: BenchmarkConfig) -> DataFrame:
     """All baselines in one query; the regressors share one feature table per set."""
     every = baseline_forecasts(train, cfg.horizon, cfg.freq, season=cfg.freq.season)
     parts = [every.select("id", "model_id", "step", "date", "prediction")]
-    tables: dict[str, DataFrame] = {}
-    for model_id, (spec, estimator) in regressors(cfg).items():
-        if spec.name not in tables:
-            tables[spec.name] = materialize(G.feature_table(train, spec), f"features_{spec.name}")
-        model = G.fit_global(tables[spec.name], spec, estimator, model_id)
-        parts.append(G.recursive_forecast(model, train, cfg.horizon, cfg.freq))
-    return reduce(DataFrame.unionByName, parts)
+    recipes = regressors(cfg)
+    specs = {spec.name: spec for spec, _ in recipes.values()}
+    tables = {name: materialize(G.feature_table(train, spec), f"features_{name}") for name, spec in specs.items()}
 
+    def one(recipe) -> DataFrame:
+        model_id, (spec, estimator) = recipe
+        model = G.fit_global(tables[spec.name], spec, estimator.copy(), model_id)
+        return G.recursive_forecast(model, train, cfg.horizon, cfg.freq)
 
-def tuned_forecast(train: DataFrame, cfg: BenchmarkConfig, run: BenchmarkRun) -> DataFrame:
-    """Boosting with tuned depth and rate on calendar predictors."""
+    return reduce(DataFrame.unionByName, [*parts, *side_by_side(one, recipes.items(), cfg.fits_at_once)])
+
+
+def tuned_forecaster(train: DataFrame, cfg: BenchmarkConfig, run: BenchmarkRun) -> Forecaster:
+    """Boosting on calendar predictors with the depth and rate that won on the rolling slices."""
     spec = G.calendar_set()
     features = materialize(G.feature_table(train, spec), "features_calendar")
     plan = splits.cv_plan(train, **cfg.plan)
     metrics = run.keep("tuning", G.tune_metrics(G.tune_grid(features, plan, spec, cfg.tuning_grid, cfg.tuning_trees)))
     best = run.keep("tuning_best", G.select_best(metrics))
     sinks.write_tuning(metrics, best, f"{run.path}/tuning")
-    model = G.finalize_and_fit(features, best, spec, cfg.tuning_trees)
-    sinks.save_model(model, f"{run.path}/models/{model.model_id}")
-    return G.direct_forecast(model, train, cfg.horizon, cfg.freq)
+
+    def forecast(rows: DataFrame) -> DataFrame:
+        table = materialize(G.feature_table(rows, spec), "features_calendar")
+        model = G.finalize_and_fit(table, best, spec, cfg.tuning_trees, TUNED)
+        sinks.save_model(model, new_path(rows.sparkSession, TUNED))
+        return G.direct_forecast(model, rows, cfg.horizon, cfg.freq)
+
+    return forecast
 
 
 def run_benchmark(bucketed: DataFrame, cfg: BenchmarkConfig = BenchmarkConfig(), outside: Mapping[str, DataFrame] | None = None) -> BenchmarkRun:
@@ -150,7 +161,8 @@ def run_benchmark(bucketed: DataFrame, cfg: BenchmarkConfig = BenchmarkConfig(),
     book = forecaster_book(cfg)
     parts = [global_forecasts(train, cfg)]
     if cfg.run_tuning:
-        parts.append(tuned_forecast(train, cfg, run))
+        book[TUNED] = tuned_forecaster(train, cfg, run)
+        parts.append(book[TUNED](train))
     forecasts = run.keep("forecasts", reduce(DataFrame.unionByName, parts))
     calibrated = run.keep("calibrated", S.calibrate(forecasts, truth))
     sums = run.keep("series_sums", S.series_sums(calibrated))
@@ -158,9 +170,11 @@ def run_benchmark(bucketed: DataFrame, cfg: BenchmarkConfig = BenchmarkConfig(),
 
     candidates = run.keep("ensemble_members", E.ensemble_candidates(pooled))
     members = E.member_forecasts(calibrated, candidates)
+    stack = None
     combined = [E.combine(members, candidates, how).drop("n_members") for how in ("mean", "median", "weighted")]
     if cfg.run_stacking:
-        combined.append(_stacked(train, forecasts, pooled, book, cfg, run))
+        stack = fit_stack(train, pooled, book, cfg, run)
+        combined.append(stack(forecasts))
     ensembles = run.keep("ensembles", reduce(DataFrame.unionByName, combined))
     ensemble_sums = run.keep("ensemble_sums", S.series_sums(S.calibrate(ensembles, truth)))
     all_sums = sums.unionByName(ensemble_sums)
@@ -170,9 +184,8 @@ def run_benchmark(bucketed: DataFrame, cfg: BenchmarkConfig = BenchmarkConfig(),
 
     best = run.keep("best_global", R.top_1(everyone, "rmse"))
     best_by_id = run.keep("best_global_by_series", R.keep_models(S.series_metrics(all_sums), best))
-    ahead = refit_global(panel, best, candidates, book)
-    if ahead is not None:
-        run.keep("global_future_forecast", with_history(panel, ahead))
+    ahead = refit_global(panel, best, candidates, book, stack)
+    run.keep("global_future_forecast", with_history(panel, ahead))
     boards = [everyone]
     for name, delivered in (outside or {}).items():
         scored = materialize(S.calibrate(external_forecasts(delivered, name), truth), name)
@@ -182,61 +195,81 @@ def run_benchmark(bucketed: DataFrame, cfg: BenchmarkConfig = BenchmarkConfig(),
     sinks.write_comparison(R.head_n(board, "rmse", 10), f"{run.path}/top_models")
 
     if cfg.run_series_models:
-        _series_models(panel, raw_train, truth, best_by_id, board, cfg, run)
+        everything = calibrated.unionByName(S.calibrate(ensembles, truth), allowMissingColumns=True)
+        _series_models(panel, raw_train, truth, best_by_id, board, everything, cfg, run)
     return run
 
 
 def replay(train: DataFrame, plan: DataFrame, models: Sequence[str], book: Mapping[str, Forecaster]) -> DataFrame:
     """Out-of-sample rows of the named models: refitted on every slice, kept inside its test dates."""
-    parts = []
-    for cut in plan.collect():
+
+    def one(task) -> DataFrame:
+        cut, name = task
         seen = train.filter(F.col("date").between(F.lit(cut["train_start"]), F.lit(cut["train_end"])))
         later = train.filter(F.col("date").between(F.lit(cut["test_start"]), F.lit(cut["test_end"])))
-        for name in models:
-            scored = S.calibrate(book[name](seen), later)
-            parts.append(scored.withColumn("slice_id", F.lit(cut["slice_id"]).cast("bigint")))
-    return reduce(DataFrame.unionByName, parts)
+        return S.calibrate(book[name](seen), later).withColumn("slice_id", F.lit(cut["slice_id"]).cast("bigint"))
+
+    tasks = [(cut, name) for cut in plan.collect() for name in models]
+    return reduce(DataFrame.unionByName, side_by_side(one, tasks))
 
 
-def _stacked(train: DataFrame, forecasts: DataFrame, pooled: DataFrame, book: Mapping[str, Forecaster], cfg: BenchmarkConfig, run: BenchmarkRun) -> DataFrame:
+@dataclass(frozen=True)
+class Stack:
+    """A meta model and its members; call it on forecasts that hold the members."""
+
+    meta: LinearRegressionModel
+    members: list[str]
+
+    def __call__(self, forecasts: DataFrame) -> DataFrame:
+        return G.stacked_forecast(self.meta, forecasts, self.members)
+
+
+def fit_stack(train: DataFrame, pooled: DataFrame, book: Mapping[str, Forecaster], cfg: BenchmarkConfig, run: BenchmarkRun) -> Stack:
     """Meta model over the best models that can be refitted on the slices."""
     eligible = E.stack_base(pooled.filter(F.col("model_id").isin(*book)), desc="model_id")
     chosen = sorted(r["model_id"] for r in eligible.select("model_id").collect())
     replayed = run.keep("stack_rows", replay(train, splits.cv_plan(train, **cfg.plan), chosen, book))
     run.keep("stack_accuracy", S.backtest_accuracy(replayed))
-    return G.stacked_forecast(G.fit_stack(replayed, chosen), forecasts, chosen)
-
+    return Stack(G.fit_stack(replayed, chosen), chosen)
 
-def refit_global(panel: DataFrame, best: DataFrame, members: DataFrame, book: Mapping[str, Forecaster]) -> DataFrame | None:
-    """Future forecast of the winner refitted on all rows; an ensemble refits its members.
 
-    None for a winner that is not refitted here (stacked or tuned).
-    """
+def refit_global(panel: DataFrame, best: DataFrame, members: DataFrame, book: Mapping[str, Forecaster], stack: Stack | None) -> DataFrame:
+    """Future forecast of the winner fitted again on all rows; an ensemble fits its members again."""
     winner = best.first()["model_id"]
     if winner in book:
         return book[winner](panel)
-    how = winner.removeprefix("ensemble_")
-    names = [r["model_id"] for r in members.select("model_id").collect()]
-    if how not in ("mean", "median", "weighted") or not all(n in book for n in names):
-        return None
+    stacked = stack is not None and winner == STACKED
+    names = stack.members if stacked else [r["model_id"] for r in members.select("model_id").collect()]
     refitted = reduce(DataFrame.unionByName, [book[n](panel) for n in names])
-    return E.combine(refitted, members, how).drop("n_members")
+    if stacked:
+        return stack(refitted)
+    return E.combine(refitted, members, winner.removeprefix("ensemble_")).drop("n_members")
 
 
 def _series_models(
-    panel: DataFrame, train: DataFrame, truth: DataFrame, best_by_id: DataFrame, board: DataFrame, cfg: BenchmarkConfig, run: BenchmarkRun
+    panel: DataFrame,
+    train: DataFrame,
+    truth: DataFrame,
+    best_by_id: DataFrame,
+    board: DataFrame,
+    global_rows: DataFrame,
+    cfg: BenchmarkConfig,
+    run: BenchmarkRun,
 ) -> None:
     """Per-series candidates, their comparison with the global winner, and refitted future forecasts."""
     fits = run.keep("series_fits", U.fit_per_series(train, cfg.horizon, cfg.series_candidates, cfg.freq))
     run.keep("series_errors", U.fit_errors(fits))
     sinks.save_series_models(fits, f"{run.path}/models/series")
-    scores = run.keep("series_accuracy", S.accuracy_by_series(S.calibrate(U.ok_forecasts(fits), truth)))
+    own_rows = run.keep("series_calibrated", S.calibrate(U.ok_forecasts(fits).select("id", "model_id", "step", "date", "prediction"), truth))
+    scores = run.keep("series_accuracy", S.accuracy_by_series(own_rows))
     local = run.keep("best_local", R.best_per_series(scores))
     compared = run.keep("global_vs_local", C.global_vs_local(best_by_id, local))
     sinks.write_comparison(compared, f"{run.path}/global_vs_local")
     sinks.write_comparison(R.count_sorted(compared, "winner"), f"{run.path}/global_vs_local_summary")
-    run.keep("hybrid_policy", C.hybrid_policy(best_by_id, local))
+    policy = run.keep("hybrid_policy", C.hybrid_policy(best_by_id, local))
+    rows = global_rows.unionByName(own_rows, allowMissingColumns=True)
+    run.keep("hybrid_accuracy", S.accuracy_pooled(C.policy_rows(policy, rows)))
     run.keep("summary", C.run_summary(board, compared))
-    refitted = U.ok_forecasts(U.fit_per_series(panel, cfg.horizon, cfg.series_candidates, cfg.freq, only=local))
+    refitted = U.ok_forecasts(U.fit_per_series(panel, cfg.horizon, cfg.series_candidates, cfg.freq, only=local, by_id=True))
     future = run.keep("local_future_forecast", with_history(panel, refitted))
     sinks.write_forecasts(future.filter(F.col("key") == "prediction").drop("key"), f"{run.path}/local_future_forecast")

@@ -22,7 +22,7 @@ from panelweave.plans.queries_panel import rolling_plan
 from panelweave.plans.queries_scoring import WINDOWS, backtest_on, backtest_rows, slice_long_sql, train_test
 from panelweave.plans.registry import query, rounded
 from panelweave.plans.twins import HORIZON, twin
-from panelweave.session import materialize
+from panelweave.session import materialize, side_by_side
 
 TREES, DEPTH = 10, 4
 FEATURE_SETS = (G.lag_set(HORIZON), G.calendar_set(), G.hybrid_set(HORIZON))
@@ -36,12 +36,13 @@ def _stored_train(spark, sf, panel: str = "PM") -> tuple[DataFrame, DataFrame]:
 def _on_every_feature_set(spark, sf, name: str, estimator) -> DataFrame:
     """Holdout forecasts of one kind of model on the lag, calendar and hybrid predictors."""
     train, test = _stored_train(spark, sf)
-    parts = []
-    for spec in FEATURE_SETS:
+
+    def one(spec: G.FeatureSet) -> DataFrame:
         table = materialize(G.feature_table(train, spec), f"features_{spec.name}")
-        model = G.fit_global(table, spec, estimator, f"{name}_{spec.name}")
-        parts.append(G.recursive_forecast(model, train, HORIZON))
-    return S.calibrate(reduce(DataFrame.unionByName, parts), test)
+        model = G.fit_global(table, spec, estimator.copy(), f"{name}_{spec.name}")
+        return G.recursive_forecast(model, train, HORIZON)
+
+    return S.calibrate(reduce(DataFrame.unionByName, side_by_side(one, FEATURE_SETS)), test)
 
 
 @query("fc_elastic_net")
@@ -105,12 +106,12 @@ def fc_residual_boost(spark, sf):
     fits = materialize(
         U.fit_per_series(train, HORIZON, ["harmonic", "autoregression"], include_fitted=True), "fits"
     )
-    parts = [
-        G.residual_boost(
-            train, fits.filter(F.col("model_id") == name), HORIZON, G.leaf_boosting(TREES, 0.1, DEPTH), f"{name}_boosted"
-        )
-        for name in ("harmonic", "autoregression")
-    ]
+
+    def one(name: str) -> DataFrame:
+        base = fits.filter(F.col("model_id") == name)
+        return G.residual_boost(train, base, HORIZON, G.leaf_boosting(TREES, 0.1, DEPTH), f"{name}_boosted")
+
+    parts = side_by_side(one, ("harmonic", "autoregression"))
     return S.calibrate(reduce(DataFrame.unionByName, parts), test)
 
 

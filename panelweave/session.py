@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -90,3 +92,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(width, *keys)
+
+
+def side_by_side(task: Callable, items: Iterable, width: int = 4) -> list:
+    """Run a few driver-side fits at once, results in order.
+
+    A fit is a chain of short jobs that leaves most executors idle between
+    stages; a small pool fills them without queueing dozens of jobs.
+    """
+    with ThreadPoolExecutor(width) as pool:
+        return list(pool.map(task, items))

@@ -59,7 +59,7 @@ def test_stored_model_predicts_the_same(spark, make_panel):
 def test_whole_benchmark(spark, make_panel):
     rng = np.random.default_rng(1)
     series = {k: [100 + 2 * t + 20 * np.sin(t * np.pi / 6) + rng.normal(0, 2) for t in range(72)] for k in ("a", "b", "c")}
-    del series["b"][10]
+    series["b"] = {t: v for t, v in enumerate(series["b"]) if t != 10}
     panel = make_panel(series)
     cfg = BenchmarkConfig(
         horizon=6, lags=12, plan={"initial": 30, "assess": 6, "skip": 6, "slice_limit": 2},
@@ -73,5 +73,8 @@ def test_whole_benchmark(spark, make_panel):
     assert len(board) == 3 + 12 + 1 + 4 + 1
     assert run.tables["global_vs_local"].count() == 3
     assert run.tables["local_future_forecast"].filter("key = 'prediction'").count() == 3 * 6
+    assert run.tables["global_future_forecast"].filter("key = 'prediction'").count() == 3 * 6
+    hybrid = run.tables["hybrid_accuracy"].first()
+    assert hybrid["n"] == 18 and hybrid["rmse"] <= run.tables["best_global"].first()["rmse"] + 1e-9
     assert run.tables["calibrated"].groupBy("model_id").count().select("count").distinct().count() == 1
     assert spark.read.parquet(f"{run.path}/accuracy").filter("run_id = 'ensembles'").count() == 4
