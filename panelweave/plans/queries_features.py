@@ -130,14 +130,10 @@ def one_hot(spark, sf):
 @query(
     "normalize",
     twin(
-        "ps_train",
-        """SELECT id, date, round((idx - (SELECT avg(idx) FROM s)) / (SELECT stddev_samp(idx) FROM s), 8) AS date_index_num,
-  round((yr - (SELECT avg(yr) FROM s)) / (SELECT stddev_samp(yr) FROM s), 8) AS date_year FROM
+        "ps_scale",
+        """SELECT id, date, round((idx - (SELECT avg(idx) FROM ps_scale)) / (SELECT stddev_samp(idx) FROM ps_scale), 8) AS date_index_num,
+  round((yr - (SELECT avg(yr) FROM ps_scale)) / (SELECT stddev_samp(yr) FROM ps_scale), 8) AS date_year FROM
   (SELECT id, date, date_diff('day', DATE '1970-01-01', date) * 86400 AS idx, year(date) AS yr FROM ps_full)""",
-    ).replace(
-        "ps_train AS (",
-        "s AS (SELECT date_diff('day', DATE '1970-01-01', date) * 86400 AS idx, year(date) AS yr FROM ps_full "
-        "WHERE date < (SELECT cut FROM ps_cut)), ps_train AS (",
     ),
 )
 def normalize(spark, sf):
@@ -164,10 +160,8 @@ def drop_zero_variance(spark, sf):
   regexp_matches(p_name, 'RING|BOLT', 'i') AS is_fastener,
   CASE p_type WHEN 'PROMO' THEN 'Promotion' WHEN 'STANDARD' THEN 'Normal' ELSE p_type END AS type_name,
   p_name || CASE WHEN k = 0 THEN '' ELSE '.' || k::VARCHAR END AS unique_name
-  FROM (SELECT *, row_number() OVER (PARTITION BY p_name, p_brand, p_type ORDER BY p_partkey) - 1 AS k FROM
-        (SELECT p_partkey, p_brand, p_size, p_type, p_name || '/' || p_brand || '/' || p_type || '/' || p_size::VARCHAR AS p_name FROM part))""".replace(
-        "PARTITION BY p_name, p_brand, p_type", "PARTITION BY p_name"
-    ),
+  FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS k FROM
+        (SELECT p_partkey, p_brand, p_size, p_type, p_name || '/' || p_brand || '/' || p_type || '/' || p_size::VARCHAR AS p_name FROM part))""",
 )
 def scalar_strings(spark, sf):
     part = read_table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")

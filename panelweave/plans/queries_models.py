@@ -121,7 +121,15 @@ def fit_candidates_per_series(spark, sf):
     return U.fit_per_series(train, HORIZON)
 
 
-@query("fit_error_report")
+@query(
+    "fit_error_report",
+    twin(
+        "pd_full",
+        """SELECT id, model_id, 'ValueError: needs ' || needs::VARCHAR || ' points, has ' || n::VARCHAR AS error
+  FROM (SELECT id, count(*) AS n FROM pd_full GROUP BY id)
+  JOIN (SELECT * FROM (VALUES ('seasonal_naive', 28), ('decomp_smoothing', 56), ('autoregression', 5)) AS t(model_id, needs)) ON n < needs""",
+    ),
+)
 def fit_error_report(spark, sf):
     """Candidates that cannot be fitted: a month of days per user is too short for a four-week cycle."""
     days = regular(spark, sf, "PD")
@@ -154,7 +162,7 @@ def tune_grid(spark, sf):
     return _tuning(_stored_train(spark, sf)[0])[1]
 
 
-def _window_scores(spark, sf) -> DataFrame:
+def window_scores(spark, sf) -> DataFrame:
     """Slice scores of a grid over the rolling-mean window, in the layout of a tuning run."""
     rows = backtest_rows(spark, sf, windows=WINDOWS, season=None)
     window = F.regexp_extract("model_id", "[0-9]+", 0).cast("bigint")
@@ -163,18 +171,18 @@ def _window_scores(spark, sf) -> DataFrame:
     )
 
 
-_WINDOW_METRICS = f"""SELECT model_id AS config, regexp_extract(model_id, '[0-9]+')::BIGINT AS "window", metric, avg(estimate) AS mean,
+WINDOW_METRICS_SQL = f"""SELECT model_id AS config, regexp_extract(model_id, '[0-9]+')::BIGINT AS "window", metric, avg(estimate) AS mean,
   count(*) AS n, stddev_samp(estimate) / sqrt(count(*)) AS std_err FROM ({slice_long_sql(WINDOWS, None)}) GROUP BY 1, 2, 3"""
 
 
-@query("tune_metrics", twin("ps_train steps", f"""SELECT config, "window", metric, round(mean, 4) AS mean, n, round(std_err, 4) AS std_err FROM ({_WINDOW_METRICS})"""))
+@query("tune_metrics", twin("ps_train steps", f"""SELECT config, "window", metric, round(mean, 4) AS mean, n, round(std_err, 4) AS std_err FROM ({WINDOW_METRICS_SQL})"""))
 def tune_metrics(spark, sf):
-    return rounded(G.tune_metrics(_window_scores(spark, sf), ["window"]), 4, "mean", "std_err")
+    return rounded(G.tune_metrics(window_scores(spark, sf), ["window"]), 4, "mean", "std_err")
 
 
-@query("select_best", twin("ps_train steps", f"""SELECT "window", config FROM ({_WINDOW_METRICS}) WHERE metric = 'rmse' ORDER BY mean, config LIMIT 1"""))
+@query("select_best", twin("ps_train steps", f"""SELECT "window", config FROM ({WINDOW_METRICS_SQL}) WHERE metric = 'rmse' ORDER BY mean, config LIMIT 1"""))
 def select_best(spark, sf):
-    return G.select_best(G.tune_metrics(_window_scores(spark, sf), ["window"]), params=["window"])
+    return G.select_best(G.tune_metrics(window_scores(spark, sf), ["window"]), params=["window"])
 
 
 @query("finalize_and_fit")

@@ -11,7 +11,7 @@ from panelweave.operators import scoring as S
 from panelweave.operators import splits
 from panelweave.operators.baselines import baseline_forecasts
 from panelweave.plans.panels import regular, supplier_month
-from panelweave.plans.queries_models import SMALL_GRID, _stored_train, _tuning
+from panelweave.plans.queries_models import SMALL_GRID, WINDOW_METRICS_SQL, _stored_train, window_scores
 from panelweave.plans.queries_scoring import (
     _GVL, _GVL_ROUNDED, GVL_PLACES, WINDOWS, _round_by, calibrated, comparison, rounded_metrics, rounded_sql, train_test,
 )
@@ -88,16 +88,22 @@ def sink_context_truth(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-@query("sink_tuning")
+@query(
+    "sink_tuning",
+    twin(
+        "ps_train steps",
+        f"""SELECT config, "window", metric, round(mean, 4) AS mean, n, round(std_err, 4) AS std_err, config = (SELECT config FROM
+  ({WINDOW_METRICS_SQL}) WHERE metric = 'rmse' ORDER BY mean, config LIMIT 1) AS chosen FROM ({WINDOW_METRICS_SQL})""",
+    ),
+)
 def sink_tuning(spark, sf):
+    """Tuning scores and the chosen point, written and read back side by side."""
     path = new_path(spark, "tuning")
-    metrics = materialize(G.tune_metrics(_tuning(_stored_train(spark, sf)[0])[1]), "metrics")
-    sinks.write_tuning(metrics, G.select_best(metrics), path)
-    schema = "config string, tree_depth bigint, learn_rate double, metric string, mean double, n bigint, std_err double"
-    best = read_csv(spark, f"{path}/best", "tree_depth bigint, learn_rate double, config string")
-    return read_csv(spark, f"{path}/results", schema).join(
-        best.select("config", F.lit(True).alias("chosen")), "config", "left"
-    )
+    metrics = materialize(G.tune_metrics(window_scores(spark, sf), ["window"]), "metrics")
+    sinks.write_tuning(metrics, G.select_best(metrics, params=["window"]), path)
+    results = read_csv(spark, f"{path}/results", "config string, window bigint, metric string, mean double, n bigint, std_err double")
+    best = read_csv(spark, f"{path}/best", "window bigint, config string").select("config").scalar()
+    return rounded(results, 4, "mean", "std_err").withColumn("chosen", F.col("config") == best)
 
 
 @query("save_model")

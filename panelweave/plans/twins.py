@@ -25,8 +25,7 @@ def twin(names: str, body: str) -> str:
     for name in names.split():
         visit(name)
     parts = ", ".join(f"{n} AS ({_CTES[n][1]})" for n in ordered)
-    recursive = "RECURSIVE " if any("UNION ALL SELECT" in _CTES[n][1] and n.endswith("_rec") for n in ordered) else ""
-    return f"WITH {recursive}{parts} {body}"
+    return f"WITH {parts} {body}"
 
 
 _BY_PART = """SELECT {c} AS id, date_trunc('month', l_shipdate)::DATE AS date,
@@ -77,6 +76,8 @@ for _p in ("pm", "pt", "ps"):
     _holdout(_p, HORIZON)
 _holdout("pd", 7)
 
+_cte("ps_scale", ("ps_train",), """
+  SELECT date_diff('day', DATE '1970-01-01', date) * 86400 AS idx, year(date) AS yr FROM ps_train""")
 _cte("steps", (), f"SELECT unnest(range(1, {HORIZON + 1})) AS step")
 
 
