@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.steps import MONTH, Freq
+from panelweave.session import fits_broadcast
 
 MONEY_SCALE = 2
 
@@ -61,6 +62,31 @@ def bucket_sum(
     return df.groupBy(*by, period).agg(exact_sum(F.col(value), scale).alias("value"))
 
 
+def bucket_sum_by_attribute(
+    facts: DataFrame,
+    dimension: DataFrame,
+    key: tuple[str, str],
+    attribute: str,
+    date: str,
+    value: str,
+    freq: Freq = MONTH,
+    scale: int | None = MONEY_SCALE,
+) -> DataFrame:
+    """Sum per attribute of a dimension and period, as ``(id, date, value)``; ``key`` pairs the join columns.
+
+    A dimension within the broadcast limit meets the raw rows without a shuffle.
+    Beyond it the facts are first summed per key and period on the map side, so
+    a key with a large share of the rows joins as one row per period.
+    """
+    fact_key, dim_key = key
+    names = dimension.select(F.col(dim_key).alias("_key"), F.col(attribute).alias("id"))
+    if fits_broadcast(names):
+        rows = facts.join(F.broadcast(names), F.col(fact_key) == F.col("_key"))
+        return bucket_sum(rows, [F.col("id")], date, value, freq, scale)
+    per_key = bucket_sum(facts, [F.col(fact_key).alias("_key")], date, value, freq, scale)
+    return per_key.join(names, "_key").groupBy("id", "date").agg(exact_sum(F.col("value"), scale).alias("value"))
+
+
 def hierarchy_levels(leaf: DataFrame, upper: Sequence[str], id_col: str = "id") -> DataFrame:
     """Total, upper levels and series of an already bucketed leaf panel.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.steps import DAY, MONTH
-from panelweave.operators.panel import bucket_sum, regular_panel
+from panelweave.operators.panel import bucket_sum, bucket_sum_by_attribute, regular_panel
 from panelweave.session import materialize
 from panelweave.sources.tables import read_table
 
@@ -19,15 +19,12 @@ def shipments(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
 
 
-def part_month(spark: SparkSession, sf: str, id_column: str) -> DataFrame:
-    """Monthly revenue by a part attribute.
-
-    The lines meet ``part`` on the part key (adaptive skew handling splits a hot
-    key there) and are summed on the map side before the exchange on (id, month).
-    """
-    part = read_table(spark, sf, "part").select("p_partkey", F.col(id_column).alias("id"))
-    joined = shipments(spark, sf).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return bucket_sum(joined, [F.col("id")], "l_shipdate", "l_extendedprice", MONTH)
+def part_month(spark: SparkSession, sf: str, attribute: str, part: DataFrame | None = None) -> DataFrame:
+    """Monthly revenue by a part attribute."""
+    part = read_table(spark, sf, "part") if part is None else part
+    return bucket_sum_by_attribute(
+        shipments(spark, sf), part, ("l_partkey", "p_partkey"), attribute, "l_shipdate", "l_extendedprice", MONTH
+    )
 
 
 def brand_month(spark: SparkSession, sf: str) -> DataFrame:

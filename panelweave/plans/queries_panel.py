@@ -12,7 +12,7 @@ from panelweave.operators import splits
 from panelweave.operators.baselines import forecast_calendar
 from panelweave.operators.features import future_rows, lag_features, add_lags, add_rolling_mean, prepared_rows
 from panelweave.operators.ranking import count_sorted, first_present
-from panelweave.plans.panels import EVENT_RULES, brand_month, lazy, regular, shipments, supplier_month, user_day
+from panelweave.plans.panels import EVENT_RULES, brand_month, lazy, part_month, regular, shipments, supplier_month, user_day
 from panelweave.plans.registry import query, rounded
 from panelweave.plans.twins import HORIZON, twin
 from panelweave.session import materialize
@@ -103,9 +103,8 @@ def filter_other(spark, sf):
 
 @query("filter_in_list", twin("pm", f"SELECT id, date, value FROM pm WHERE id IN ({_WATCHED_SQL})"))
 def filter_in_list(spark, sf):
-    part = read_table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("id"))
-    watched = shipments(spark, sf).join(part.filter(F.col("id").isin(*WATCHED)), F.col("l_partkey") == F.col("p_partkey"))
-    return P.bucket_sum(watched, [F.col("id")], "l_shipdate", "l_extendedprice", MONTH)
+    watched = read_table(spark, sf, "part").filter(F.col("p_brand").isin(*WATCHED))
+    return part_month(spark, sf, "p_brand", watched)
 
 
 @query(

@@ -90,6 +90,29 @@ def test_bucket_sum_is_exact_for_cents(spark):
     assert P.bucket_sum(raw, [F.col("id")], "d", "v").first()["value"] == 100.0
 
 
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_sum_by_attribute_with_small_and_large_dimension(spark, limit):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    facts = spark.range(900).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).alias("k"),
+        F.add_months(F.lit("2020-01-15").cast("date"), (F.col("id") % 5).cast("int")).alias("d"),
+        (F.col("id") / 100).alias("v"),
+    )
+    dim = spark.range(7).select(F.col("id").alias("pk"), F.concat(F.lit("g"), F.col("id") % 2).alias("g"))
+    want = {
+        (r["g"], r["m"]): r["s"]
+        for r in facts.join(dim, facts.k == dim.pk).groupBy("g", F.trunc("d", "month").alias("m")).agg(F.round(F.sum("v"), 2).alias("s")).collect()
+    }
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        out = P.bucket_sum_by_attribute(facts, dim, ("k", "pk"), "g", "d", "v")
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in text) == (limit != "-1")
+        assert {(r["id"], r["date"]): r["value"] for r in out.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_extend_appends_after_each_ids_own_end(make_panel):
     out = P.extend(make_panel({"a": [1, 2], "b": [1, 2, 3]}), 2)
     future = {(r["id"], r["date"]) for r in out.filter("is_future").collect()}
