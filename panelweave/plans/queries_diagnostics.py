@@ -12,7 +12,6 @@ from panelweave.operators.per_series import level_smoothing
 from panelweave.plans.panels import brand_month, lazy, regular, shipments
 from panelweave.plans.registry import query, rounded
 from panelweave.plans.twins import HORIZON, twin
-from panelweave.sources.tables import read_table
 
 
 @query(
@@ -57,21 +56,28 @@ def seasonal_boxplot(spark, sf):
     return rounded(D.seasonal_boxplot(lazy(spark, sf, "PS")), 6, "lower", "q1", "median", "q3", "upper")
 
 
-@query(
-    "acf",
-    twin("pt_full", """SELECT a.id, k.lag AS lag, round(sum(a.x * b.x) / max(v.ss), 8) AS acf, round(2.0 / sqrt(max(v.n)), 8) AS band
+_ACF = """SELECT a.id, k.lag AS lag, sum(a.x * b.x) / max(v.ss) AS acf, 2.0 / sqrt(max(v.n)) AS band
   FROM (SELECT unnest(range(0, 61)) AS lag) k CROSS JOIN
   (SELECT id, pos, value - avg(value) OVER (PARTITION BY id) AS x FROM pt_full) a JOIN
   (SELECT id, pos, value - avg(value) OVER (PARTITION BY id) AS x FROM pt_full) b ON b.id = a.id AND b.pos = a.pos - k.lag
-  JOIN (SELECT id, var_pop(value) * count(*) AS ss, count(*) AS n FROM pt_full GROUP BY id) v ON v.id = a.id GROUP BY 1, 2"""),
-)
+  JOIN (SELECT id, var_pop(value) * count(*) AS ss, count(*) AS n FROM pt_full GROUP BY id) v ON v.id = a.id GROUP BY 1, 2"""
+
+
+@query("acf", twin("pt_full", f"SELECT id, lag, round(acf, 8) AS acf, round(band, 8) AS band FROM ({_ACF})"))
 def acf(spark, sf):
     return rounded(D.acf(lazy(spark, sf, "PT")), 8, "acf", "band")
 
 
-@query("pacf")
+_EARLIER = "coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[{}])), 0)"
+
+
+@query("pacf", "WITH RECURSIVE " + twin("pt_full", f""", start AS (SELECT id, list(acf ORDER BY lag) AS r FROM ({_ACF}) GROUP BY id),
+  run AS (SELECT id, r, 0::BIGINT AS k, []::DOUBLE[] AS phi, NULL::DOUBLE AS pacf FROM start
+    UNION ALL SELECT id, r, k + 1, list_concat(list_transform(range(1, k + 1), lambda j: phi[j] - v * phi[k + 1 - j]), [v]), v
+    FROM (SELECT *, (r[k + 2] - {_EARLIER.format('k + 2 - j')}) / (1 - {_EARLIER.format('j + 1')}) AS v FROM run WHERE k < len(r) - 1))
+  SELECT id, k AS lag, round(pacf, 7) AS pacf FROM run WHERE k > 0""").removeprefix("WITH "))
 def pacf(spark, sf):
-    return D.pacf(lazy(spark, sf, "PT"))
+    return rounded(D.pacf(lazy(spark, sf, "PT")), 7, "pacf")
 
 
 _MONTH_CELL = "month(date)"

@@ -12,10 +12,10 @@ from panelweave.operators import ranking as R
 from panelweave.operators import scoring as S
 from panelweave.operators import splits
 from panelweave.operators.baselines import baseline_forecasts, rolling_mean_forecast, seasonal_naive_forecast, with_history
-from panelweave.plans.panels import brand_month, regular, supplier_month, user_day
+from panelweave.plans.panels import regular, supplier_month
 from panelweave.plans.queries_panel import plan_sql, rolling_plan
 from panelweave.plans.registry import query, rounded
-from panelweave.plans.twins import HORIZON, accuracy_sql, baseline_sql, twin
+from panelweave.plans.twins import HORIZON, baseline_sql, twin
 from panelweave.session import materialize
 from panelweave.sources.external import external_forecasts
 
