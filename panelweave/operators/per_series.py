@@ -8,18 +8,23 @@ A fit that fails becomes a row with ``status = 'error'``.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.steps import MONTH, Freq
 from panelweave.session import spread
 
+# The fits travel to the workers with the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ALPHAS = tuple(round(0.05 * i, 2) for i in range(1, 20))
 TREND_RATES = (0.05, 0.1, 0.2, 0.4)
 SEASON_RATES = (0.05, 0.1, 0.2, 0.4)

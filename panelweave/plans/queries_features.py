@@ -156,21 +156,19 @@ def drop_zero_variance(spark, sf):
 
 @query(
     "scalar_strings",
-    """SELECT p_partkey, p_brand || ' [' || p_size::VARCHAR || ']' AS label,
-  regexp_matches(p_name, 'RING|BOLT', 'i') AS is_fastener,
+    """SELECT p_brand || ' [' || n::VARCHAR || ']' AS label, regexp_matches(p_name, 'RING|BOLT', 'i') AS is_fastener,
   CASE p_type WHEN 'PROMO' THEN 'Promotion' WHEN 'STANDARD' THEN 'Normal' ELSE p_type END AS type_name,
   p_name || CASE WHEN k = 0 THEN '' ELSE '.' || k::VARCHAR END AS unique_name
-  FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS k FROM
-        (SELECT p_partkey, p_brand, p_size, p_type, p_name || '/' || p_brand || '/' || p_type || '/' || p_size::VARCHAR AS p_name FROM part))""",
+  FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_brand, p_type) - 1 AS k FROM
+        (SELECT p_name, p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2, 3))""",
 )
 def scalar_strings(spark, sf):
-    part = read_table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    named = part.withColumn("full_name", F.concat_ws("/", "p_name", "p_brand", "p_type", F.col("p_size").cast("string")))
-    unique = with_unique_label(named, "full_name", "unique_name", [F.col("p_partkey")])
+    """Over the distinct (name, brand, type) of all parts: numbering a name runs over its few variants."""
+    variants = read_table(spark, sf, "part").groupBy("p_name", "p_brand", "p_type").agg(F.count("*").alias("n"))
+    unique = with_unique_label(variants, "p_name", "unique_name", [F.col("p_brand"), F.col("p_type")])
     return unique.select(
-        "p_partkey",
-        numbered_label(F.col("p_brand"), F.col("p_size")).alias("label"),
-        matches(F.col("full_name"), "RING|BOLT").alias("is_fastener"),
+        numbered_label(F.col("p_brand"), F.col("n")).alias("label"),
+        matches(F.col("p_name"), "RING|BOLT").alias("is_fastener"),
         recode(F.col("p_type"), {"PROMO": "Promotion", "STANDARD": "Normal"}).alias("type_name"),
         "unique_name",
     )

@@ -1,9 +1,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import functions as F
 
@@ -110,6 +114,15 @@ def test_fitted_values_are_one_step_ahead():
         level = alpha * y[t] + (1 - alpha) * level
 
 
+def test_fits_travel_without_the_package(tmp_path):
+    """Workers have no copy of the package; the fits must load from the pickled task alone."""
+    (tmp_path / "fits").write_bytes(cloudpickle.dumps(U.CANDIDATES))
+    code = "import pickle, numpy as np; f = pickle.load(open('fits', 'rb')); print(len(f['exp_smoothing'](np.arange(1., 40.), 3, 12).path))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "3", done.stderr
+
+
 def test_failed_fit_is_a_row(make_panel):
     fits = U.fit_per_series(make_panel({"a": list(range(1, 41)), "tiny": [1, 2, 3]}), 4, ["seasonal_naive", "harmonic"])
     errors = U.fit_errors(fits).collect()
