@@ -19,7 +19,7 @@ from panelweave.operators import splits
 from panelweave.operators.baselines import baseline_forecasts, with_history
 from panelweave.plans.panels import regular
 from panelweave.plans.queries_panel import rolling_plan
-from panelweave.plans.queries_scoring import WINDOWS, backtest_on, backtest_rows, slice_long_sql, train_test
+from panelweave.plans.queries_scoring import WINDOWS, backtest_on, backtest_rows, calibrated_on, slice_long_sql, train_test
 from panelweave.plans.registry import query, rounded
 from panelweave.plans.twins import HORIZON, twin
 from panelweave.session import materialize, side_by_side
@@ -138,13 +138,15 @@ def fit_error_report(spark, sf):
 
 @query("refit_best")
 def refit_best(spark, sf):
-    """Each series' best candidate on the holdout, refitted on all its rows."""
+    """The best global baseline and each series' best candidate, chosen on the holdout, fitted again on all rows."""
     full = regular(spark, sf, "PS")
     train, test = splits.train_rows(full, HORIZON), splits.test_rows(full, HORIZON)
     scored = S.accuracy_by_series(S.calibrate(U.ok_forecasts(U.fit_per_series(train, HORIZON)), test))
     best = materialize(R.best_per_series(scored).select("id", "model_id"), "best")
-    refitted = U.ok_forecasts(U.fit_per_series(full, HORIZON, only=best))
-    return with_history(full, refitted)
+    local = U.ok_forecasts(U.fit_per_series(full, HORIZON, only=best)).select("id", "model_id", "date", "prediction")
+    chosen = R.top_1(S.accuracy_pooled(calibrated_on(train, test)), "rmse")
+    common = R.keep_models(baseline_forecasts(full, HORIZON, windows=WINDOWS), chosen)
+    return with_history(full, local.unionByName(common.select("id", "model_id", "date", "prediction")))
 
 
 # --- tuning and stacking ----------------------------------------------------------
