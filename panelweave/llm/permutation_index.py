@@ -31,7 +31,7 @@ SEED = 77
 MOST_PIVOTS = 8192
 POSTED = 4
 VISITED = 1 / 3
-RERANKED, LEAST_RERANKED = 0.12, 64
+RERANKED, LEAST_RERANKED = 0.2, 256
 CELL = 4096  # postings of a cell
 QUERIES = 2048  # queries of a cell
 ROW = "pivot int, salt int, chunk int, query boolean, id long, near binary, vec binary"
