@@ -49,6 +49,8 @@ def fold(spark: SparkSession, log: str, state: str, files_per_batch: int = 4096)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+    # Many small stores: without this each reserves megabytes of disk for its logs.
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     schema = spark.read.parquet(log).schema
     arrivals = own.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(log)
