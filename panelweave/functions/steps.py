@@ -36,10 +36,10 @@ class Freq:
         return F.sequence(start, stop, F.expr(unit))
 
     def between(self, start: Column, stop: Column) -> Column:
-        """Whole periods from ``start`` to ``stop``."""
+        """Whole periods from ``start`` to ``stop``, rounded down on either side of zero."""
         if self.months:
-            return (F.months_between(stop, start) / self.months).cast("bigint")
-        return (F.date_diff(stop, start) / self.days).cast("bigint")
+            return F.floor(F.months_between(stop, start) / self.months).cast("bigint")
+        return F.floor(F.date_diff(stop, start) / self.days).cast("bigint")
 
 
 DAY = Freq("day", 0, 1, 7)

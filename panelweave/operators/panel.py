@@ -16,9 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.steps import MONTH, Freq
-from panelweave.session import fits_broadcast
 
-MONEY_SCALE = 2
+MONEY_SCALE = 2  # for columns known to hold cents; never a default
 
 
 def by_time(keys: Sequence[str] = ("id",), newest_first: bool = False):
@@ -37,16 +36,21 @@ def filter_by_time(df: DataFrame, column: str, start: str | Date | None = None,
     return df
 
 
-def exact_sum(value: Column, scale: int | None = MONEY_SCALE) -> Column:
-    """Sum that does not depend on row order: whole units of the last decimal place, added as decimals.
+def exact_sum(value: Column, scale: int | None = None) -> Column:
+    """Sum of doubles as they are; with ``scale``, one that does not depend on row order.
 
-    Going through a whole number is about twice as fast as casting each double
-    to a decimal with places. ``scale=None`` sums doubles as they are.
+    A scale is the caller's statement that values have no more decimals: they are then
+    added as whole units of the last place. Going through a whole number is about twice
+    as fast as casting each double to a decimal with places. A NaN makes the sum NaN and
+    an infinity makes it infinite, with or without a scale; nulls are left out.
     """
     if scale is None:
         return F.sum(value)
     unit = 10**scale
-    return F.sum(F.rint(value * unit).cast("bigint").cast("decimal(18,0)")).cast("double") / unit
+    double = value.cast("double")
+    odd = F.isnan(double) | (F.abs(double) == float("inf"))
+    whole = F.when(~odd, F.rint(double * unit)).cast("bigint").cast("decimal(18,0)")
+    return F.when(F.bool_or(odd), F.sum(double)).otherwise(F.sum(whole).cast("double") / unit)
 
 
 def bucket_sum(
@@ -55,7 +59,7 @@ def bucket_sum(
     date: str,
     value: str,
     freq: Freq = MONTH,
-    scale: int | None = MONEY_SCALE,
+    scale: int | None = None,
 ) -> DataFrame:
     """Sum of ``value`` per key and period, as ``(keys…, date, value)``."""
     period = freq.floor(F.col(date)).alias("date")
@@ -70,24 +74,20 @@ def bucket_sum_by_attribute(
     date: str,
     value: str,
     freq: Freq = MONTH,
-    scale: int | None = MONEY_SCALE,
+    scale: int | None = None,
 ) -> DataFrame:
     """Sum per attribute of a dimension and period, as ``(id, date, value)``; ``key`` pairs the join columns.
 
-    A dimension within the broadcast limit meets the raw rows without a shuffle.
-    Beyond it the facts are first summed per key and period on the map side, so
-    a key with a large share of the rows joins as one row per period.
+    The facts are summed per key and period first, on the map side, so a key with a
+    large share of the rows joins as one row per period; how to join is the planner's choice.
     """
     fact_key, dim_key = key
     names = dimension.select(F.col(dim_key).alias("_key"), F.col(attribute).alias("id"))
-    if fits_broadcast(names):
-        rows = facts.join(F.broadcast(names), F.col(fact_key) == F.col("_key"))
-        return bucket_sum(rows, [F.col("id")], date, value, freq, scale)
     per_key = bucket_sum(facts, [F.col(fact_key).alias("_key")], date, value, freq, scale)
     return per_key.join(names, "_key").groupBy("id", "date").agg(exact_sum(F.col("value"), scale).alias("value"))
 
 
-def hierarchy_levels(leaf: DataFrame, upper: Sequence[str], id_col: str = "id") -> DataFrame:
+def hierarchy_levels(leaf: DataFrame, upper: Sequence[str], id_col: str = "id", scale: int | None = None) -> DataFrame:
     """Total, upper levels and series of an already bucketed leaf panel.
 
     The leaf is aggregated before it gets here, so the grouping sets expand
@@ -103,7 +103,7 @@ def hierarchy_levels(leaf: DataFrame, upper: Sequence[str], id_col: str = "id")
         [[F.col(c) for c in s] for s in sets], F.col("date"), *[F.col(c) for c in chain]
     )
     return grouped.agg(
-        exact_sum(F.col("value")).alias("value"), level.cast("bigint").alias("level")
+        exact_sum(F.col("value"), scale).alias("value"), level.cast("bigint").alias("level")
     )
 
 

@@ -122,7 +122,7 @@ def accuracy_pooled(calibrated: DataFrame, keys: Sequence[str] = ("model_id",),
     """Six metrics per model over all rows; MASE is the mean of the series' own values.
 
     Means, variances and covariances of the series combine to the pooled ones,
-    so the rows are read once.
+    so the rows are read once; the sums, one row per model and series, are stored.
     """
     return pool_series(series_sums(calibrated, (*keys, *series)), keys)
 
@@ -130,20 +130,21 @@ def accuracy_pooled(calibrated: DataFrame, keys: Sequence[str] = ("model_id",),
 def pool_series(sums: DataFrame, keys: Sequence[str] = ("model_id",)) -> DataFrame:
     """Roll :func:`series_sums` up to ``keys``."""
     n = F.col("n")
-    rolled = sums.withColumn("_mase", F.try_divide(F.col("abs_sum") / n, F.col("naive_step"))).groupBy(*keys).agg(
+    sums = materialize(sums, "series_sums")
+    # Spread within the series plus spread of their means around the grand mean: no large squares cancel.
+    grand = sums.groupBy(*keys).agg(
+        (F.sum(n * F.col("mean_a")) / F.sum("n")).alias("ma"), (F.sum(n * F.col("mean_p")) / F.sum("n")).alias("mp")
+    )
+    off_a, off_p = F.col("mean_a") - F.col("ma"), F.col("mean_p") - F.col("mp")
+    rolled = sums.join(grand, list(keys)).withColumn("_mase", F.try_divide(F.col("abs_sum") / n, F.col("naive_step"))).groupBy(*keys).agg(
         F.sum("n").alias("n"),
         F.sum("n_zero_actual").alias("n_zero_actual"),
         *[F.sum(c).alias(c) for c in ("abs_sum", "sq_sum", "pct_sum", "pct_n", "sym_sum", "sym_n")],
         F.avg("_mase").alias("mase"),
-        (F.sum(n * F.col("mean_a")) / F.sum("n")).alias("ma"),
-        (F.sum(n * F.col("mean_p")) / F.sum("n")).alias("mp"),
-        (F.sum(n * (F.col("var_a") + F.pow("mean_a", F.lit(2)))) / F.sum("n")).alias("aa"),
-        (F.sum(n * (F.col("var_p") + F.pow("mean_p", F.lit(2)))) / F.sum("n")).alias("pp"),
-        (F.sum(n * (F.col("cov") + F.col("mean_a") * F.col("mean_p"))) / F.sum("n")).alias("ap"),
+        F.sum(n * (F.col("var_a") + off_a * off_a)).alias("all_a"),
+        F.sum(n * (F.col("var_p") + off_p * off_p)).alias("all_p"),
+        F.sum(n * (F.col("cov") + off_a * off_p)).alias("all_ap"),
     )
-    cov = F.col("ap") - F.col("ma") * F.col("mp")
-    var_a = F.col("aa") - F.pow("ma", F.lit(2))
-    var_p = F.col("pp") - F.pow("mp", F.lit(2))
     return rolled.select(
         *keys,
         (F.col("abs_sum") / n).alias("mae"),
@@ -151,7 +152,7 @@ def pool_series(sums: DataFrame, keys: Sequence[str] = ("model_id",)) -> DataFra
         "mase",
         F.try_divide("sym_sum", "sym_n").alias("smape"),
         F.sqrt(F.col("sq_sum") / n).alias("rmse"),
-        _rsq_from(cov, var_a, var_p).alias("rsq"),
+        _rsq_from(F.col("all_ap"), F.col("all_a"), F.col("all_p")).alias("rsq"),
         "n",
         "n_zero_actual",
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.steps import DAY, MONTH
-from panelweave.operators.panel import bucket_sum, bucket_sum_by_attribute, regular_panel
+from panelweave.operators.panel import MONEY_SCALE, bucket_sum, bucket_sum_by_attribute, regular_panel
 from panelweave.session import materialize
 from panelweave.sources.tables import read_table
 
@@ -23,7 +23,7 @@ def part_month(spark: SparkSession, sf: str, attribute: str, part: DataFrame | N
     """Monthly revenue by a part attribute."""
     part = read_table(spark, sf, "part") if part is None else part
     return bucket_sum_by_attribute(
-        shipments(spark, sf), part, ("l_partkey", "p_partkey"), attribute, "l_shipdate", "l_extendedprice", MONTH
+        shipments(spark, sf), part, ("l_partkey", "p_partkey"), attribute, "l_shipdate", "l_extendedprice", MONTH, MONEY_SCALE
     )
 
 
@@ -40,13 +40,13 @@ def type_month(spark: SparkSession, sf: str) -> DataFrame:
 def supplier_month(spark: SparkSession, sf: str) -> DataFrame:
     """PS: revenue by supplier and month; the number of series grows with the data."""
     supplier = F.col("l_suppkey").cast("string").alias("id")
-    return bucket_sum(shipments(spark, sf), [supplier], "l_shipdate", "l_extendedprice", MONTH)
+    return bucket_sum(shipments(spark, sf), [supplier], "l_shipdate", "l_extendedprice", MONTH, MONEY_SCALE)
 
 
 def user_day(spark: SparkSession, sf: str) -> DataFrame:
     """PD: event value by user and day."""
     user = F.col("user_id").cast("string").alias("id")
-    return bucket_sum(read_table(spark, sf, "events"), [user], "ts", "value", DAY)
+    return bucket_sum(read_table(spark, sf, "events"), [user], "ts", "value", DAY, MONEY_SCALE)
 
 
 def lazy(spark: SparkSession, sf: str, panel: str) -> DataFrame:

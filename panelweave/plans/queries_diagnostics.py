@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.steps import DAY, MONTH
 from panelweave.operators import diagnostics as D
 from panelweave.operators import splits
-from panelweave.operators.panel import bucket_sum
+from panelweave.operators.panel import MONEY_SCALE, bucket_sum
 from panelweave.operators.per_series import level_smoothing
 from panelweave.plans.panels import brand_month, lazy, regular, shipments
 from panelweave.plans.registry import query, rounded
@@ -31,7 +31,7 @@ def ts_summary(spark, sf):
   SELECT 'all', date_trunc('month', l_shipdate)::DATE, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE FROM lineitem GROUP BY 2"""),
 )
 def series_overview(spark, sf):
-    total = bucket_sum(shipments(spark, sf), [], "l_shipdate", "l_extendedprice").select(F.lit("all").alias("id"), "date", "value")
+    total = bucket_sum(shipments(spark, sf), [], "l_shipdate", "l_extendedprice", scale=MONEY_SCALE).select(F.lit("all").alias("id"), "date", "value")
     return brand_month(spark, sf).unionByName(total)
 
 

@@ -221,11 +221,10 @@ def scalar_dates(spark, sf):
     twin(
         "pm",
         """SELECT id, total, row_number() OVER (ORDER BY total DESC, id) AS display_rank
-  FROM (SELECT id, round(sum(value), 2) AS total FROM pm GROUP BY id ORDER BY total DESC, id LIMIT 15)""",
+  FROM (SELECT id, round(sum(value), 2) AS total FROM pm GROUP BY id)""",
     ),
 )
 def ordered_labels(spark, sf):
     totals = brand_month(spark, sf).groupBy("id").agg(F.round(F.sum("value"), 2).alias("total"))
-    first = totals.orderBy(F.desc("total"), "id").limit(15)
-    ranked = display_rank(first.withColumn("_minus", -F.col("total")), "_minus", "id")
+    ranked = display_rank(totals.withColumn("_minus", -F.col("total")), "_minus", "id")
     return ranked.select("id", "total", big(F.col("display_rank")).alias("display_rank"))

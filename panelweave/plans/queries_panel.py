@@ -186,7 +186,7 @@ def probe_column(spark, sf):
   FROM lineitem GROUP BY 1""",
 )
 def bucket_sum_total(spark, sf):
-    return P.bucket_sum(shipments(spark, sf), [], "l_shipdate", "l_extendedprice")
+    return P.bucket_sum(shipments(spark, sf), [], "l_shipdate", "l_extendedprice", scale=P.MONEY_SCALE)
 
 
 @query(
@@ -195,7 +195,7 @@ def bucket_sum_total(spark, sf):
   FROM (SELECT {CATEGORY_SQL} AS category, ts::DATE AS date, value FROM events) WHERE category <> 'Other' GROUP BY 1, 2""",
 )
 def bucket_sum_category(spark, sf):
-    return P.bucket_sum(classified_events(spark, sf), [F.col("category")], "ts", "value", DAY)
+    return P.bucket_sum(classified_events(spark, sf), [F.col("category")], "ts", "value", DAY, P.MONEY_SCALE)
 
 
 @query("bucket_sum_series", twin("ps", "SELECT id, date, value FROM ps"))
@@ -480,7 +480,7 @@ def hierarchy_levels(spark, sf):
         F.col("s_suppkey").cast("string").alias("id"), "n_name", "r_name"
     )
     leaf = supplier_month(spark, sf).join(places, "id")
-    return P.hierarchy_levels(leaf, ["r_name", "n_name"])
+    return P.hierarchy_levels(leaf, ["r_name", "n_name"], scale=P.MONEY_SCALE)
 
 
 @query(

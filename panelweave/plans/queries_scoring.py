@@ -543,7 +543,7 @@ def final_benchmark(spark, sf):
     train, test = train_test(spark, sf)
     outside = S.external_accuracy(S.calibrate(external_forecasts(outside_forecast(train), "outside"), test))
     board = C.final_benchmark([S.accuracy_pooled(calibrated_on(train, test)), outside])
-    return rounded_metrics(board.orderBy("rmse", "model_id").limit(15))
+    return rounded_metrics(board)
 
 
 @query("leaderboard_chart_data", twin("ps_acc_id", """SELECT id || ' [' || model_id || ']' AS model_label, id || CASE WHEN k = 0 THEN '' ELSE '.' || k::VARCHAR END AS unique_label,

@@ -84,12 +84,6 @@ def materialize_by(df: DataFrame, label: str, key: str = "id") -> DataFrame:
     return spark.table(name)
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the planned size of ``df`` is within the session's broadcast limit."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys`` into the session's shuffle width.
 

@@ -87,7 +87,7 @@ def test_duplicate_periods_are_summed_and_reported(spark, values_of):
 
 def test_bucket_sum_is_exact_for_cents(spark):
     raw = spark.range(1000).select(F.lit("a").alias("id"), F.lit("2020-05-17").cast("date").alias("d"), F.lit(0.1).alias("v"))
-    assert P.bucket_sum(raw, [F.col("id")], "d", "v").first()["value"] == 100.0
+    assert P.bucket_sum(raw, [F.col("id")], "d", "v", scale=2).first()["value"] == 100.0
 
 
 @pytest.mark.parametrize("limit", ["10MB", "-1"])
@@ -105,7 +105,7 @@ def test_sum_by_attribute_with_small_and_large_dimension(spark, limit):
     }
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-        out = P.bucket_sum_by_attribute(facts, dim, ("k", "pk"), "g", "d", "v")
+        out = P.bucket_sum_by_attribute(facts, dim, ("k", "pk"), "g", "d", "v", scale=2)
         text = out._jdf.queryExecution().executedPlan().toString()
         assert ("BroadcastHashJoin" in text) == (limit != "-1")
         assert {(r["id"], r["date"]): r["value"] for r in out.collect()} == want
@@ -158,3 +158,30 @@ def test_freq_between(spark):
         DAY.between(F.lit("2010-01-01").cast("date"), F.lit("2010-01-31").cast("date")).alias("d"),
     ).first()
     assert (row["m"], row["d"]) == (14, 30)
+
+
+def test_sums_keep_every_decimal(spark, values_of):
+    import datetime as dt
+
+    raw = spark.createDataFrame([("a", dt.date(2020, 1, 1), 0.123456), ("a", dt.date(2020, 2, 1), 0.004321)], "k string, d date, v double")
+    assert values_of(P.bucket_sum(raw, [F.col("k").alias("id")], "d", "v")) == {"a": [0.123456, 0.004321]}
+    leaf = P.bucket_sum(raw, [F.col("k").alias("id")], "d", "v").withColumn("g", F.lit("x"))
+    got = {r["value"] for r in P.hierarchy_levels(leaf, ["g"]).filter("level = 2").collect()}
+    assert got == {0.123456, 0.004321}
+
+
+def test_nan_makes_the_sum_nan(spark):
+    import math
+
+    raw = spark.createDataFrame([("a", 1.25), ("a", float("nan")), ("b", float("inf")), ("b", 1.0), ("c", None), ("c", 0.1)], "k string, v double")
+    for scale in (None, 2):
+        got = {r["k"]: r["s"] for r in raw.groupBy("k").agg(P.exact_sum(F.col("v"), scale).alias("s")).collect()}
+        assert math.isnan(got["a"]) and got["b"] == math.inf and got["c"] == 0.1
+
+
+def test_weeks_before_the_epoch_have_their_own_index(spark):
+    from panelweave.functions.steps import WEEK
+
+    days = spark.sql("SELECT explode(sequence(date '1969-11-03', date '1970-02-02', interval 7 day)) AS d")
+    got = [r[0] for r in days.select(WEEK.between(F.lit("1970-01-01").cast("date"), F.col("d")).alias("i")).orderBy("d").collect()]
+    assert got == list(range(got[0], got[0] + len(got)))

@@ -219,3 +219,22 @@ def test_external_column_probe(spark):
     assert external_forecasts(both, "out").first()["prediction"] == 9.0
     with pytest.raises(ValueError, match="none of"):
         external_forecasts(base.drop("0.5"), "out")
+
+
+def test_pooled_rsq_of_large_values(spark):
+    import datetime as dt
+    import random
+
+    draw = random.Random(5)
+    rows = []
+    for s in range(20):
+        for i in range(24):
+            actual = 1e8 + draw.gauss(0, 10)
+            rows.append(("m", f"s{s}", dt.date(2020 + i // 12, i % 12 + 1, 1), actual, actual + draw.gauss(0, 0.3)))
+    calibrated = spark.createDataFrame(rows, "model_id string, id string, date date, actual double, prediction double")
+    got = S.accuracy_pooled(calibrated).first()["rsq"]
+    a, p = [r[3] - 1e8 for r in rows], [r[4] - 1e8 for r in rows]
+    n, ma, mp = len(a), sum(a) / len(a), sum(p) / len(p)
+    cov = sum((x - ma) * (y - mp) for x, y in zip(a, p)) / n
+    want = cov**2 / (sum((x - ma) ** 2 for x in a) / n) / (sum((y - mp) ** 2 for y in p) / n)
+    assert got <= 1 and abs(got - want) < 1e-6
