@@ -30,7 +30,7 @@ SAMPLE = 1500  # labelled documents per language, about
 SHARE = 2.0**-18
 LONGEST = 5  # letters of the longest n-gram
 SMOOTH = 0.5
-MEMO = 500_000  # words whose scores a task remembers
+MEMO = 200_000  # words whose scores a task remembers
 NONE = "und"
 LETTERS = r"\p{L}[\p{L}\p{M}]*"
 

@@ -17,7 +17,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-MEMO = 1_000_000  # pieces remembered before the memory starts afresh
+MEMO = 400_000  # pieces remembered before the memory starts afresh
 TOGETHER = 200_000  # pieces looked up at a time
 HEAD = "\x00"  # before a piece that no blank precedes
 PLAIN = bytes([9, 10, 13, *range(32, 127)])
