@@ -207,12 +207,12 @@ def mix_plan(
         """Words of the last pass that fall on this stretch."""
         return F.least(F.greatest(rest - F.col(start), F.lit(0)), F.col(size))
 
-    starts = starts.withColumns({"passes": passes, "last": reached("start", "size"), "block_last": reached("block_start", "block_size")})
+    starts = starts.withColumns({"passes": passes, "last": reached("start", "size"), "begun": F.col("block_start") < rest})
     starts = materialize(starts, "placed")
     # Permuted blocks are drawn from the front: position p of pass k is the source's draw k * blocks + p.
-    drawn = starts.select("rank", "block", "position", "passes", "block_last").distinct()
+    drawn = starts.select("rank", "block", "position", "passes", "begun").distinct()
     drawn = drawn.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("passes"))))
-    drawn = drawn.filter((F.col("pass") < F.col("passes")) | (F.col("block_last") > 0))
+    drawn = drawn.filter((F.col("pass") < F.col("passes")) | F.col("begun"))
     in_pass = drawn.groupBy("rank", "pass").agg(F.count("*").alias("n"))
     quotas = materialize(in_pass.groupBy("rank").agg(F.sum("n").alias("quota"), F.max(F.when(F.col("pass") == 0, F.col("n"))).alias("whole")), "quotas")
     runs = shard_table(quotas.select("rank", "quota"), shard_words, block_words)
