@@ -48,9 +48,11 @@ def learned_counts(docs: DataFrame, text: str, lang: str, doc_id: str, learn: Co
     """``(lang, kind, item, n)``: kind 0 words, otherwise n-grams of that length, over the sampled documents."""
     labelled = docs.select(quoted(lang).cast("string").alias("lang"), quoted(text).cast("string").alias("text"), id_key(quoted(doc_id)).alias("id"), learn.alias("learn"))
     labelled = labelled.filter("learn and lang is not null and text is not null")
-    shares = labelled.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
+    # One number per language; the texts of a language never meet in one task.
+    shares = [(r.lang, min(1.0, sample / r["count"])) for r in labelled.groupBy("lang").count().collect()]
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares for x in pair]), F.col("lang")) if shares else F.lit(0.0)
     point = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = labelled.join(shares, "lang").filter(point < F.col("share")).select("lang", "text")
+    chosen = labelled.filter(point < share).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables: dict[str, Counter] = {}
