@@ -90,7 +90,8 @@ def dictionary_of(docs: DataFrame, text: str, share: float = WORD_SHARE) -> set[
             if len(found) > 1_000_000:
                 yield pd.DataFrame({"word": list(found), "n": list(found.values())})
                 found.clear()
-        yield pd.DataFrame({"word": list(found), "n": list(found.values())})
+        if found:
+            yield pd.DataFrame({"word": list(found), "n": list(found.values())})
 
     words = docs.select(quoted(text).cast("string").alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = materialize(words.withColumn("word", F.regexp_extract("word", r"[\p{L}]+", 0)).filter("length(word) > 2"), "words")
@@ -115,7 +116,8 @@ def findings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path:
                         sure, features = describe(body, m.start(), m.end(), place or "", known)
                         digest = hashlib.sha256(m[0].encode("utf-8", "replace")).hexdigest()
                         out.append((key, m.start(), m.end() - m.start(), digest, sure, *features))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "sha256", "rule", *[f"f_{f}" for f in FEATURES]])
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "start", "length", "sha256", "rule", *[f"f_{f}" for f in FEATURES]])
 
     slim = docs.select(quoted(doc_id).cast("bigint").cast("string").alias("doc_id"), quoted(text).cast("string").alias("text"), where.alias("path"))
     return slim.mapInPandas(scan, SCHEMA)
