@@ -69,7 +69,7 @@ def category_levels(df: DataFrame, column: str, limit: int = 1000) -> list[str]:
     """The values of a nominal column, in order; refuses columns with too many."""
     found = [r[0] for r in df.select(column).distinct().limit(limit + 1).collect()]
     if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} levels; encode it with id_encoder instead")
+        raise ValueError(f"{column} has more than {limit} levels; describe them by numbers, as series_levels does")
     return sorted(v for v in found if v is not None)
 
 

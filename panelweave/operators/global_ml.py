@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.calendar import CALENDAR_NUMERIC, SCALED_COLUMNS, calendar_columns
@@ -22,8 +22,8 @@ from panelweave.operators.scoring import mae, metric_summary, rmse
 from panelweave.session import materialize, side_by_side
 
 SEED = 123
-MAX_ONE_HOT = 4096
-HASHED_WIDTH = 1 << 14
+LEVELS = ("id_mean", "id_spread", "id_recent")
+LEVEL_SEASON = 12  # newest rows of a series whose mean is ``id_recent``
 STEPS_PER_WRITE = 6
 MONTH_LABELS = tuple(range(1, 13))
 WEEKDAY_LABELS = tuple(range(1, 8))
@@ -141,85 +141,103 @@ class Profile:
 
     columns: list[str]
     scaling: dict[str, tuple[float, float]]
-    n_ids: int
 
 
 def profile(features: DataFrame, spec: FeatureSet) -> Profile:
-    """Varying predictors, mean and deviation of the scaled ones, and about how many ids there are."""
+    """Varying predictors, and mean and deviation of the scaled ones."""
     names = predictor_columns(spec)
     scaled = [c for c in SCALED_COLUMNS if c in names]
     row = features.agg(
-        F.approx_count_distinct("id", 0.02).alias("ids"),
         *[(F.min(c) < F.max(c)).alias(f"v_{c}") for c in names],
         *[F.avg(c).alias(f"m_{c}") for c in scaled],
         *[F.stddev_samp(c).alias(f"s_{c}") for c in scaled],
     ).first()
     columns = [c for c in names if row[f"v_{c}"]]
     scaling = {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in scaled if c in columns}
-    return Profile(columns, scaling, row["ids"])
+    return Profile(columns, scaling)
 
 
-def id_encoder(train: DataFrame, n_ids: int, max_one_hot: int = MAX_ONE_HOT) -> Model | FeatureHasher:
-    """One column per id while their number is small, a fixed-width hash beyond.
+def series_levels(features: DataFrame, season: int = LEVEL_SEASON) -> DataFrame:
+    """What tells one series from another, one row per id: mean, deviation and newest-season mean of its rows.
 
-    The label list the indexer brings to the driver is bounded by the check; the
-    hashed form keeps every row.
+    Three numbers at any number of series, and those of one series do not depend on
+    the others. The list folded per id is bounded by the calendar.
     """
-    if n_ids <= max_one_hot:
-        indexer = StringIndexer(inputCol="id", outputCol="id_index", handleInvalid="keep", stringOrderType="alphabetAsc")
-        return Pipeline(stages=[indexer, OneHotEncoder(inputCol="id_index", outputCol="id_vec")]).fit(train)
-    return FeatureHasher(inputCols=["id"], outputCol="id_vec", numFeatures=HASHED_WIDTH, categoricalCols=["id"])
+    newest = F.slice(F.sort_array(F.collect_list(F.struct("date", "value")), asc=False), 1, season)
+    recent = F.aggregate(newest, F.lit(0.0), lambda s, p: s + p["value"]) / F.size(newest)
+    spread = F.coalesce(F.stddev_samp("value"), F.lit(0.0))
+    return features.groupBy("id").agg(F.avg("value").alias("id_mean"), spread.alias("id_spread"), recent.alias("id_recent"))
 
 
 @dataclass
 class GlobalModel:
-    """A fitted regressor with everything needed to build its predictors again."""
+    """A fitted regressor with everything needed to build its predictors again.
+
+    A series without levels, unseen in training, takes their means.
+    """
 
     model_id: str
     spec: FeatureSet
-    encoder: Model | FeatureHasher
+    levels: DataFrame
+    common: dict[str, float]
     columns: list[str]
     scaling: dict[str, tuple[float, float]]
-    regressor: Model
+    regressor: Model | None = None
     assembler: VectorAssembler = field(init=False)
 
     def __post_init__(self):
-        self.assembler = VectorAssembler(inputCols=["id_vec", *self.columns], outputCol="features")
+        self.assembler = VectorAssembler(inputCols=[*LEVELS, *self.columns], outputCol="features")
+
+    def with_levels(self, df: DataFrame) -> DataFrame:
+        known = df.join(self.levels, "id", "left")
+        return known.withColumns({c: F.coalesce(c, F.lit(m)) for c, m in self.common.items()})
 
-    def with_id_vector(self, df: DataFrame) -> DataFrame:
-        return self.encoder.transform(df).drop("id_index")
+    def vectors(self, df: DataFrame) -> DataFrame:
+        """Rows with all predictors of the set, scaled and assembled as ``features``."""
+        scaled = self.with_levels(df).withColumns({c: (F.col(c) - m) / s for c, (m, s) in self.scaling.items()})
+        return self.assembler.transform(scaled)
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Predictions for rows that carry ``id_vec`` and the predictors."""
-        scaled = df.withColumns({c: (F.col(c) - m) / s for c, (m, s) in self.scaling.items()})
-        return self.regressor.transform(self.assembler.transform(scaled))
+        """Predictions for rows that carry the predictors."""
+        return self.regressor.transform(self.vectors(df))
 
     def save(self, path: str) -> None:
-        """Encoder, scaling, assembler and regressor as one Spark ML pipeline directory."""
+        """The levels as a table; scaling, assembler and regressor as a Spark ML pipeline directory."""
+        fill = [SQLTransformer(statement=f"SELECT *, coalesce({c}, {m!r}D) AS {c}_known FROM __THIS__") for c, m in self.common.items()]
         scale = [
-            SQLTransformer(statement=f"SELECT *, ({c} - {m!r}) / {s!r} AS {c}_scaled FROM __THIS__")
+            SQLTransformer(statement=f"SELECT *, ({c} - {m!r}D) / {s!r}D AS {c}_scaled FROM __THIS__")
             for c, (m, s) in self.scaling.items()
         ]
-        inputs = ["id_vec", *[f"{c}_scaled" if c in self.scaling else c for c in self.columns]]
-        stages = [self.encoder, *scale, VectorAssembler(inputCols=inputs, outputCol="features"), self.regressor]
-        PipelineModel(stages=stages).write().overwrite().save(path)
+        inputs = [*[f"{c}_known" for c in LEVELS], *[f"{c}_scaled" if c in self.scaling else c for c in self.columns]]
+        stages = [*fill, *scale, VectorAssembler(inputCols=inputs, outputCol="features"), self.regressor]
+        self.levels.write.mode("overwrite").parquet(f"{path}/levels")
+        PipelineModel(stages=stages).write().overwrite().save(f"{path}/pipeline")
 
 
-def fit_global(
-    features: DataFrame, spec: FeatureSet, estimator: Estimator, model_id: str, max_one_hot: int = MAX_ONE_HOT
-) -> GlobalModel:
-    """Fit one regressor on all series; constant predictors dropped, index and year scaled on train."""
+def load_global(spark: SparkSession, path: str) -> Callable[[DataFrame], DataFrame]:
+    """A stored model as a function from rows with predictors to rows with ``prediction``."""
+    levels, pipeline = spark.read.parquet(f"{path}/levels"), PipelineModel.load(f"{path}/pipeline")
+    return lambda rows: pipeline.transform(rows.join(levels, "id", "left"))
+
+
+def unfitted(features: DataFrame, spec: FeatureSet, model_id: str) -> GlobalModel:
+    """All of a model but its regressor."""
     seen = profile(features, spec)
-    encoder = id_encoder(features, seen.n_ids, max_one_hot)
-    shell = GlobalModel(model_id, spec, encoder, seen.columns, seen.scaling, None)
-    scaled = shell.with_id_vector(features).withColumns({c: (F.col(c) - m) / s for c, (m, s) in seen.scaling.items()})
-    shell.regressor = estimator.fit(shell.assembler.transform(scaled).select("value", "features"))
-    return shell
+    levels = materialize(series_levels(features), "levels")
+    row = levels.agg(*[F.avg(c).alias(c) for c in LEVELS]).first()
+    return GlobalModel(model_id, spec, levels, {c: row[c] or 0.0 for c in LEVELS}, seen.columns, seen.scaling)
+
+
+def fit_global(features: DataFrame, spec: FeatureSet, estimator: Estimator, model_id: str) -> GlobalModel:
+    """Fit one regressor on all series; constant predictors dropped, index and year scaled on train."""
+    model = unfitted(features, spec, model_id)
+    model.regressor = estimator.fit(model.vectors(features).select("value", "features"))
+    return model
 
 
 def score_rows(model: GlobalModel, features: DataFrame) -> DataFrame:
     """Predictions on rows whose predictors are already known."""
-    return model.predict(model.with_id_vector(features)).select(
+    return model.predict(features).select(
         "id", "date", F.lit(model.model_id).alias("model_id"), "prediction"
     )
 
@@ -283,7 +301,7 @@ def recursive_forecast(
     if not spec.use_lags:
         return direct_forecast(model, train, horizon, freq)
     tails = series_tails(train, spec.tail_length).filter(F.size("tail") >= spec.lags)
-    state = model.with_id_vector(tails).withColumn("calendar", _calendar_steps(model, horizon, freq))
+    state = model.with_levels(tails).withColumn("calendar", _calendar_steps(model, horizon, freq))
     if isinstance(model.regressor, LinearRegressionModel):
         done = _linear_path(model, state)
     else:
@@ -299,14 +317,14 @@ def recursive_forecast(
 
 def _chained_path(model: GlobalModel, state: DataFrame, horizon: int, steps_per_write: int) -> DataFrame:
     keep = model.spec.tail_length
-    assembler = VectorAssembler(inputCols=["id_vec", "dense"], outputCol="features")
+    assembler = VectorAssembler(inputCols=[*LEVELS, "dense"], outputCol="features")
     state = state.withColumn("path", F.array().cast("array<double>"))
     newest = F.array("prediction")
     for step in range(1, horizon + 1):
         dense = F.concat(_tail_predictors(model, F.col("tail")), F.get("calendar", F.lit(step - 1)))
         ahead = assembler.transform(state.withColumn("dense", array_to_vector(dense)))
         state = model.regressor.transform(ahead).select(
-            "id", "id_vec", "last_date", "calendar",
+            "id", *LEVELS, "last_date", "calendar",
             F.slice(F.concat(newest, "tail"), 1, keep).alias("tail"),
             F.concat("path", newest).alias("path"),
         )
@@ -316,13 +334,13 @@ def _chained_path(model: GlobalModel, state: DataFrame, horizon: int, steps_per_
 
 
 def _linear_path(model: GlobalModel, state: DataFrame) -> DataFrame:
-    """Intercept and id part from the model itself, the steps as a fold of dot products."""
+    """Intercept and level part from the model itself, the steps as a fold of dot products."""
     keep = model.spec.tail_length
     weights = model.regressor.coefficients.toArray()
     weights = weights[len(weights) - len(model.columns) :]
     n_tail = sum(c.startswith("value_lag") for c in model.columns)
     zeros = array_to_vector(F.array(*[F.lit(0.0)] * len(model.columns)))
-    base = VectorAssembler(inputCols=["id_vec", "dense"], outputCol="features").transform(state.withColumn("dense", zeros))
+    base = VectorAssembler(inputCols=[*LEVELS, "dense"], outputCol="features").transform(state.withColumn("dense", zeros))
     based = model.regressor.transform(base)
 
     def dot(values: Column, coefficients) -> Column:
@@ -355,7 +373,7 @@ def future_calendar(train: DataFrame, horizon: int, freq: Freq = MONTH) -> DataF
 def direct_forecast(model: GlobalModel, train: DataFrame, horizon: int, freq: Freq = MONTH) -> DataFrame:
     """All steps at once, for feature sets without lags."""
     ahead = future_calendar(train, horizon, freq).withColumns(_calendar_predictors())
-    return model.predict(model.with_id_vector(ahead)).select(
+    return model.predict(ahead).select(
         "id", F.lit(model.model_id).alias("model_id"), "step", "date", "prediction"
     )
 

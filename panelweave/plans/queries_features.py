@@ -56,49 +56,50 @@ def drop_by_pattern(spark, sf):
 
 
 def _assembled(spark, sf, spec: G.FeatureSet):
-    """Predictor vectors as a regressor sees them (encoded id, varying columns, scaled index and
-    year), shown by their width and the sum of their entries."""
+    """Predictors as a regressor sees them (levels of the series, varying columns, scaled index
+    and year): every entry of the assembled vector under its name."""
     train = splits.train_rows(regular(spark, sf, "PM"), HORIZON)
     table = materialize(G.feature_table(train, spec), f"features_{spec.name}")
-    seen = G.profile(table, spec)
-    rows = X.normalize(table, list(seen.scaling), table) if seen.scaling else table
-    encoded = G.id_encoder(table, seen.n_ids).transform(rows)
-    vectors = G.VectorAssembler(inputCols=["id_vec", *seen.columns], outputCol="features").transform(encoded)
-    entries = vector_to_array("features")
-    total = F.aggregate(entries, F.lit(0.0), lambda s, v: s + v)
-    return vectors.select(
-        "id", "date", big(F.size(entries)).alias("width"), F.round(total, 5).alias("total")
-    )
+    model = G.unfitted(table, spec, spec.name)
+    vectors = model.vectors(table).select("id", "date", vector_to_array("features").alias("entries"))
+    names = [*G.LEVELS, *model.columns]
+    return vectors.select("id", "date", *[F.round(F.get("entries", F.lit(i)), 6).alias(n) for i, n in enumerate(names)])
 
 
-_LAG_SUM = " + ".join(f"value_lag{k}" for k in range(1, 13))
+_LAGS = range(1, 25)
 _CAL_COLUMNS = ("date_half", "date_quarter", "date_month", "date_wday_sun1", "date_qday", "date_yday", "date_week", "date_week2", "date_week3", "date_week4")
 
 
 def _assembled_sql(lags: bool, calendar: bool) -> str:
-    """Width and sum of the predictors; constant calendar columns (day, week of month) are left out."""
-    lag_columns = ", ".join(f"lag(value, {k}) OVER (PARTITION BY id ORDER BY date) AS value_lag{k}" for k in range(1, 13))
-    table = f"SELECT id, date, {lag_columns} FROM pm_train"
-    rolled = "SELECT *, avg(value_lag12) OVER (PARTITION BY id ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS roll FROM ({})"
-    rows = f"SELECT * FROM ({rolled.format(table)}) WHERE value_lag12 IS NOT NULL" if lags else table
-    parts, width = ["1"], ["(SELECT count(DISTINCT id) FROM pm_train)"]
+    """Every predictor; constant calendar columns (day, week of month) are left out."""
+    by_id, by_date = "OVER (PARTITION BY id)", "OVER (PARTITION BY id ORDER BY date{})"
+    rows = "SELECT id, date, value FROM pm_train"
+    shown = {
+        "id_mean": f"avg(value) {by_id}",
+        "id_spread": f"coalesce(stddev_samp(value) {by_id}, 0)",
+        "id_recent": f"avg(value) FILTER (WHERE newest <= 12) {by_id}",
+    }
     if lags:
-        parts.append(f"{_LAG_SUM} + roll")
-        width.append("13")
+        lagged = ", ".join(f"lag(value, {k}) {by_date.format('')} AS value_lag{k}" for k in _LAGS)
+        roll = f"avg(value_lag12) {by_date.format(' ROWS BETWEEN 11 PRECEDING AND CURRENT ROW')} AS value_lag12_roll_12"
+        rows = f"SELECT * FROM (SELECT *, {roll} FROM (SELECT *, {lagged} FROM ({rows}))) WHERE value_lag24 IS NOT NULL"
+        shown |= {c: c for c in (*(f"value_lag{k}" for k in _LAGS), "value_lag12_roll_12")}
     if calendar:
-        parts.append(" + ".join(_CAL_COLUMNS) + " + 2")
-        parts += [f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()" for c in ("date_index_num", "date_year")]
-        width.append(f"{len(_CAL_COLUMNS)} + 12 + 7 + 2")
+        shown |= {c: f"{c}::DOUBLE" for c in _CAL_COLUMNS}
+        shown |= {f"date_month_is_{k}": f"(date_month = {k})::INT::DOUBLE" for k in range(1, 13)}
+        shown |= {f"date_wday_is_{k}": f"(date_wday_sun1 = {k})::INT::DOUBLE" for k in range(1, 8)}
+        shown |= {c: f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()" for c in ("date_index_num", "date_year")}
+    entries = ", ".join(f"round({sql}, 6) AS {name}" for name, sql in shown.items())
     return twin(
         "pm_train",
-        f"""SELECT id, date, ({' + '.join(width)})::BIGINT AS width, round({' + '.join(parts)}, 5) AS total
-  FROM (SELECT *, {_CALENDAR_SQL} FROM ({rows}))""",
+        f"""SELECT id, date, {entries} FROM
+  (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date DESC) AS newest, {_CALENDAR_SQL} FROM ({rows}))""",
     )
 
 
 @query("feat_lag", _assembled_sql(True, False))
 def feat_lag(spark, sf):
-    return _assembled(spark, sf, G.lag_set(HORIZON))
+    return _assembled(spark, sf, G.lag_set())
 
 
 @query("feat_calendar", _assembled_sql(False, True))
@@ -108,7 +109,7 @@ def feat_calendar(spark, sf):
 
 @query("feat_hybrid", _assembled_sql(True, True))
 def feat_hybrid(spark, sf):
-    return _assembled(spark, sf, G.hybrid_set(HORIZON))
+    return _assembled(spark, sf, G.hybrid_set())
 
 
 @query("calendar_signature", twin("pd", f"SELECT id, date, value, {_CALENDAR_SQL} FROM pd"))

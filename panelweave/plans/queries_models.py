@@ -25,7 +25,7 @@ from panelweave.plans.twins import HORIZON, twin
 from panelweave.session import materialize, side_by_side
 
 TREES, DEPTH = 10, 4
-FEATURE_SETS = (G.lag_set(HORIZON), G.calendar_set(), G.hybrid_set(HORIZON))
+FEATURE_SETS = (G.lag_set(), G.calendar_set(), G.hybrid_set())
 
 
 def _stored_train(spark, sf, panel: str = "PM") -> tuple[DataFrame, DataFrame]:
@@ -69,7 +69,7 @@ def fc_random_forest(spark, sf):
 def recursive_forecast(spark, sf):
     """Recursion over the supplier panel: the number of series grows with the data."""
     train, _ = _stored_train(spark, sf, "PS")
-    spec = G.lag_set(HORIZON)
+    spec = G.lag_set()
     table = materialize(G.feature_table(train, spec), "features_lag")
     return G.recursive_forecast(G.fit_global(table, spec, G.elastic_net(), "elastic_net_lag"), train, HORIZON)
 

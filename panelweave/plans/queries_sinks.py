@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from panelweave.operators import global_ml as G
@@ -110,11 +109,11 @@ def sink_tuning(spark, sf):
 def save_model(spark, sf):
     """A stored global model, loaded and applied; and the stored parameters of the per-series models."""
     train, _ = _stored_train(spark, sf)
-    spec = G.hybrid_set(HORIZON)
+    spec = G.hybrid_set()
     table = materialize(G.feature_table(train, spec), "features_hybrid")
     path = new_path(spark, "model")
     sinks.save_model(G.fit_global(table, spec, G.leaf_boosting(5, 0.1, SMALL_GRID[0][0]), "stored"), path)
-    fitted = PipelineModel.load(path).transform(table).select("id", "date", "value", "prediction")
+    fitted = G.load_global(spark, path)(table).select("id", "date", "value", "prediction")
     params = new_path(spark, "series_models")
     sinks.save_series_models(U.fit_per_series(train, HORIZON), params)
     chosen = spark.read.parquet(params).groupBy("id").agg(F.count("*").alias("n_series_models"))

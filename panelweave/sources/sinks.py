@@ -46,7 +46,7 @@ def write_tuning(metrics: DataFrame, best: DataFrame, path: str) -> None:
 
 
 def save_model(model: GlobalModel, path: str) -> None:
-    """Global model as a Spark ML pipeline directory."""
+    """Global model: the levels of its series and a Spark ML pipeline; ``load_global`` reads both."""
     model.save(path)
 
 

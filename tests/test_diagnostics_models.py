@@ -167,7 +167,7 @@ def test_linear_fold_equals_the_chained_steps(stored, linear):
     assert isinstance(linear.regressor, LinearRegressionModel)
     folded = G.recursive_forecast(linear, train, 8)
     tails = G.series_tails(train, linear.spec.tail_length)
-    state = linear.with_id_vector(tails).withColumn("calendar", G._calendar_steps(linear, 8, G.MONTH))
+    state = linear.with_levels(tails).withColumn("calendar", G._calendar_steps(linear, 8, G.MONTH))
     chained = {r["id"]: r["path"] for r in G._chained_path(linear, state, 8, 3).collect()}
     by_id: dict = {}
     for r in folded.orderBy("id", "step").collect():
@@ -201,12 +201,30 @@ def test_trees_recurse_over_a_write(stored):
     assert a.exceptAll(b).count() == 0 and a.count() == 15
 
 
-def test_many_ids_are_hashed_not_indexed(stored):
-    train, test = stored
-    spec = G.lag_set(12)
-    model = G.fit_global(materialize(G.feature_table(train, spec), "f"), spec, G.elastic_net(), "en", max_one_hot=2)
-    assert type(model.encoder).__name__ == "FeatureHasher"
-    assert G.recursive_forecast(model, train, 12).count() == 36
+def test_predictors_of_a_series_do_not_depend_on_the_panel(spark):
+    months = F.explode(F.sequence(F.lit(0), F.lit(15)))
+    every = spark.range(10_000).select(F.col("id").cast("string").alias("id"), months.alias("t"))
+    value = (F.xxhash64("id", "t") % 1000).cast("double")
+    wide = every.select("id", F.add_months(F.lit(month(0)), F.col("t")).alias("date"), value.alias("value"))
+    spec, seen = G.lag_set(3), []
+    for panel in (wide.filter("cast(id as int) < 10"), wide):
+        model = G.unfitted(G.feature_table(panel, spec), spec, "m")
+        rows = model.vectors(G.feature_table(panel, spec)).filter("id = '7'").orderBy("date").collect()
+        seen.append([list(r["features"]) for r in rows])
+        assert len(seen[-1]) == 13 and len(seen[-1][0]) == len(G.LEVELS) + 3
+    assert seen[0] == seen[1]
+
+
+def test_levels_of_a_series(make_panel):
+    values = [1.0, 5.0, 2.0, 8.0]
+    levels = {r["id"]: r for r in G.series_levels(make_panel({"a": values, "one": [3.0]}), season=2).collect()}
+    assert levels["a"]["id_mean"] == 4.0 and levels["a"]["id_recent"] == 5.0
+    assert levels["a"]["id_spread"] == pytest.approx(np.std(values, ddof=1)) and levels["one"]["id_spread"] == 0.0
+
+
+def test_unseen_series_takes_the_mean_levels(linear, make_panel):
+    got = linear.with_levels(make_panel({"new": [1.0]})).first()
+    assert {c: got[c] for c in G.LEVELS} == linear.common
 
 
 def test_short_series_is_left_to_the_completeness_check(stored, linear, make_panel):

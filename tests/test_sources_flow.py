@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from panelweave.operators import global_ml as G
@@ -51,7 +50,7 @@ def test_stored_model_predicts_the_same(spark, make_panel):
     model = G.fit_global(table, spec, G.leaf_boosting(3, 0.3, 2), "m")
     path = new_path(spark, "model")
     sinks.save_model(model, path)
-    again = PipelineModel.load(path).transform(table).select("id", "date", F.col("prediction").alias("p"))
+    again = G.load_global(spark, path)(table).select("id", "date", F.col("prediction").alias("p"))
     both = G.score_rows(model, table).join(again, ["id", "date"])
     assert both.filter(F.abs(F.col("p") - F.col("prediction")) > 1e-9).count() == 0 and both.count() == 72
 
