@@ -1,15 +1,16 @@
 """Nearest neighbours by a permutation index.
 
 Pivots are a hashed sample of distinct vectors, about the square root of the row count. A
-vector is represented by its nearest pivots in order and posted in the inverted files of the
-first ``POSTED`` of them. A query visits the files of its nearest third of the pivots; in each
-file the postings are ranked by the footrule distance between the two orders (a pivot missing
-from one counts as last), the best share of them is compared on the vectors, and the best of
-all files are the answer.
+vector is represented by its ``ORDER`` nearest pivots in order, so a posting is as long at any
+number of pivots, and posted in the inverted files of the first ``POSTED`` of them. A query
+visits the files of its nearest third of the pivots; in each file the postings are ranked by
+the footrule distance between the two orders (a pivot missing from one counts as last), the
+best share of them is compared on the vectors, and the best of all files are the answer.
 
 A file with many postings is dealt over cells, postings chunks times query chunks, so a very
 common vector costs no task more than a cell. Pivots are bounded by the parameter, the rest
-never leaves the executors.
+never leaves the executors. Vectors travel at the width they are stored in; distances are
+taken in doubles.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite
 components take no part, nor do rows without id. A repeated id counts once, at its nearest.
@@ -24,16 +25,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from panelweave.llm.common import quoted
 
 SEED = 77
 MOST_PIVOTS = 8192
 POSTED = 4
+ORDER = 96  # pivots of an order
 VISITED = 1 / 3
 RERANKED, LEAST_RERANKED = 0.2, 256
 CELL = 4096  # postings of a cell
-QUERIES = 2048  # queries of a cell
+QUERIES = 8192  # queries of a cell
+BLOCK = 1000  # vectors held against all pivots at a time
 ROW = "pivot int, salt int, chunk int, query boolean, id long, near binary, vec binary"
 
 
@@ -58,7 +62,11 @@ def choose_pivots(good: DataFrame, count: int) -> np.ndarray:
 def order_of(vecs: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """The nearest pivots of each vector, nearest first."""
     gap = (pivots**2).sum(axis=1)[None, :] - 2 * vecs @ pivots.T
-    return np.argsort(gap, axis=1, kind="stable")[:, :length].astype(np.int16)
+    if length >= gap.shape[1]:
+        return np.argsort(gap, axis=1, kind="stable").astype(np.int16)
+    some = np.sort(np.argpartition(gap, length, axis=1)[:, :length], axis=1)
+    inside = np.argsort(np.take_along_axis(gap, some, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(some, inside, axis=1).astype(np.int16)
 
 
 def footrule(query: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -69,7 +77,7 @@ def footrule(query: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.abs(place - np.arange(m)).sum(axis=1) + m * (m + 1) // 2 - shared
 
 
-def _answers(pivots: int, k: int, share: float, least: int):
+def _answers(pivots: int, k: int, share: float, least: int, width: str):
     def run(cell: pd.DataFrame) -> pd.DataFrame:
         asked, posted = cell[cell["query"]], cell[~cell["query"]]
         posted = posted.sort_values("id")
@@ -77,7 +85,7 @@ def _answers(pivots: int, k: int, share: float, least: int):
         if len(asked) and len(posted):
             ids = posted.id.to_numpy()
             near = np.stack([np.frombuffer(b, np.int16) for b in posted.near])
-            vecs = np.stack([np.frombuffer(b, np.float64) for b in posted.vec])
+            vecs = np.stack([np.frombuffer(b, width) for b in posted.vec]).astype(np.float64)
             m = near.shape[1]
             places = np.full((len(ids), pivots), m, np.int16)
             np.put_along_axis(places, near.astype(np.int64), np.arange(m, dtype=np.int16)[None, :], axis=1)
@@ -86,7 +94,7 @@ def _answers(pivots: int, k: int, share: float, least: int):
                 far = footrule(np.frombuffer(order, np.int16).astype(np.int64), places)
                 some = np.argsort(far, kind="stable")[:top]  # ids ascend, so ties go to the smaller
                 some = some[ids[some] != qid]
-                gap = np.sqrt(((vecs[some] - np.frombuffer(vec, np.float64)) ** 2).sum(axis=1))
+                gap = np.sqrt(((vecs[some] - np.frombuffer(vec, width).astype(np.float64)) ** 2).sum(axis=1))
                 best = pd.DataFrame({"query_id": qid, "vec_id": ids[some], "score": gap}).sort_values(["score", "vec_id"], kind="stable")
                 out.append(best.drop_duplicates("vec_id").head(k))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
@@ -101,6 +109,7 @@ def search(
     vec: str = "embedding",
     vec_id: str = "vec_id",
     posted: int = POSTED,
+    order: int = ORDER,
     visited: float = VISITED,
     share: float = RERANKED,
     least: int = LEAST_RERANKED,
@@ -113,13 +122,17 @@ def search(
     n, n_queries = good.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
     pivots = choose_pivots(good, max(1, min(most_pivots, int(n**0.5))))
     count = len(pivots)
-    length = min(count, max(16, int(np.ceil(count * visited))))
+    visits = min(count, max(16, int(np.ceil(count * visited))))
+    order, posted = min(count, max(order, posted)), min(count, posted)
+    element = vectors.schema[vec].dataType
+    single = isinstance(element, ArrayType) and isinstance(element.elementType, FloatType)
+    width = "<f4" if single else "<f8"  # of a vector between tasks
     shared = spark.sparkContext.broadcast(pivots)
 
     def first_pivots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                near = order_of(np.stack(batch.vec.to_numpy()), shared.value, posted)
+            for at in range(0, len(batch), BLOCK):
+                near = order_of(np.stack(batch.vec.iloc[at : at + BLOCK].to_numpy()), shared.value, posted)
                 yield pd.DataFrame({"pivot": near.ravel().astype(np.int32)})
 
     sizes = np.zeros(max(1, count), np.int64)  # one number per pivot
@@ -127,12 +140,12 @@ def search(
         for r in good.select("vec").mapInPandas(first_pivots, "pivot int").groupBy("pivot").count().collect():
             sizes[r["pivot"]] = r["count"]
     salts = np.maximum(1, -(-sizes // cell))
-    chunks = max(1, -(-int(n_queries) * length // max(1, count) // QUERIES))
+    chunks = max(1, -(-int(n_queries) * visits // max(1, count) // QUERIES))
 
     def rows(who: np.ndarray, pivot, salt, chunk, query: bool, ids, near, vecs) -> pd.DataFrame:
         return pd.DataFrame(
             {"pivot": pivot.astype(np.int32), "salt": salt.astype(np.int32), "chunk": chunk.astype(np.int32), "query": query, "id": ids[who],
-             "near": [near[i].tobytes() for i in who], "vec": [vecs[i].tobytes() for i in who]}
+             "near": [near[i].tobytes() for i in who], "vec": [vecs[i].astype(width).tobytes() for i in who]}
         )
 
     def spread(who, pivot, other, copies) -> tuple:
@@ -142,23 +155,23 @@ def search(
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                some = batch.iloc[at : at + 1000]
+            for at in range(0, len(batch), BLOCK):
+                some = batch.iloc[at : at + BLOCK]
                 ids, vecs = some.id.to_numpy(), np.stack(some.vec.to_numpy())
-                near = order_of(vecs, shared.value, length)
+                near = order_of(vecs, shared.value, order)
                 mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                who = np.repeat(np.arange(len(ids)), min(posted, count))
+                who = np.repeat(np.arange(len(ids)), posted)
                 pivot = near[:, :posted].ravel().astype(np.int64)
                 salt = (mixed[who] % salts[pivot].astype(np.uint64)).astype(np.int64)
                 yield rows(*_order(spread(who, pivot, salt, np.full(len(who), chunks)), False), False, ids, near, vecs)
                 asks = np.nonzero(ids % every == 0)[0]
-                who = np.repeat(asks, length)
-                pivot = near[asks].ravel().astype(np.int64)
+                who = np.repeat(asks, visits)
+                pivot = order_of(vecs[asks], shared.value, visits).ravel().astype(np.int64)
                 chunk = (mixed[who] % np.uint64(chunks)).astype(np.int64)
                 yield rows(*_order(spread(who, pivot, chunk, salts[pivot]), True), True, ids, near, vecs)
 
     cells = good.mapInPandas(post, ROW).groupBy("pivot", "salt", "chunk")
-    found = cells.applyInPandas(_answers(count, k, share, least), "query_id long, vec_id long, score double")
+    found = cells.applyInPandas(_answers(count, k, share, least, width), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
