@@ -70,34 +70,47 @@ def order_of(vecs: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
 
 
 def footrule(query: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Distance of a query's order to each posting's, given the postings' place of each pivot (its length if absent)."""
-    m = len(query)
-    place = places[:, query].astype(np.int32)
-    shared = (m - place).sum(axis=1)  # an absent pivot adds nothing here
-    return np.abs(place - np.arange(m)).sum(axis=1) + m * (m + 1) // 2 - shared
+    """Distance of a query's order to each posting's, given each pivot's place in the postings (their length if absent).
+
+    A pivot of the query adds how far its places are apart. The pivots the query lacks add as
+    much in total as the places of its own add up to, less a constant that is left out.
+    """
+    own = np.arange(len(query), dtype=np.int16)[:, None]
+    place = places[query]
+    return np.maximum(2 * place - own, own).sum(axis=0, dtype=np.int64)
 
 
 def _answers(pivots: int, k: int, share: float, least: int, width: str):
     def run(cell: pd.DataFrame) -> pd.DataFrame:
-        asked, posted = cell[cell["query"]], cell[~cell["query"]]
-        posted = posted.sort_values("id")
-        out = []
+        asked, posted = cell[cell["query"]], cell[~cell["query"]].sort_values("id")
+        posted = posted.drop_duplicates(["id", "vec"])
+        found: list[tuple] = []
         if len(asked) and len(posted):
             ids = posted.id.to_numpy()
-            near = np.stack([np.frombuffer(b, np.int16) for b in posted.near])
-            vecs = np.stack([np.frombuffer(b, width) for b in posted.vec]).astype(np.float64)
+            near = np.frombuffer(b"".join(posted.near), np.int16).reshape(len(ids), -1)
+            vecs = np.frombuffer(b"".join(posted.vec), width).reshape(len(ids), -1).astype(np.float64)
             m = near.shape[1]
-            places = np.full((len(ids), pivots), m, np.int16)
-            np.put_along_axis(places, near.astype(np.int64), np.arange(m, dtype=np.int16)[None, :], axis=1)
+            places = np.full((pivots, len(ids)), m, np.int16)
+            places[near, np.arange(len(ids))[:, None]] = np.arange(m, dtype=np.int16)
+            repeated = bool((ids[1:] == ids[:-1]).any())
             top = min(len(ids), max(least, int(np.ceil(share * len(ids)))) + 1)
+            number = np.arange(len(ids))  # ids ascend, so ties go to the smaller
             for qid, order, vec in zip(asked.id, asked.near, asked.vec):
-                far = footrule(np.frombuffer(order, np.int16).astype(np.int64), places)
-                some = np.argsort(far, kind="stable")[:top]  # ids ascend, so ties go to the smaller
+                some = number
+                if top < len(ids):
+                    far = footrule(np.frombuffer(order, np.int16), places) * len(ids) + number
+                    some = np.sort(np.argpartition(far, top - 1)[:top])
                 some = some[ids[some] != qid]
-                gap = np.sqrt(((vecs[some] - np.frombuffer(vec, width).astype(np.float64)) ** 2).sum(axis=1))
-                best = pd.DataFrame({"query_id": qid, "vec_id": ids[some], "score": gap}).sort_values(["score", "vec_id"], kind="stable")
-                out.append(best.drop_duplicates("vec_id").head(k))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+                gap = np.sqrt(((vecs[some] - np.frombuffer(vec, width)) ** 2).sum(axis=1))
+                best = np.argsort(gap, kind="stable")
+                if repeated:
+                    best = best[np.sort(np.unique(ids[some[best]], return_index=True)[1])]
+                best = best[:k]
+                found.append((qid, ids[some[best]], gap[best]))
+        if not found:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        asks, answers, gaps = zip(*found)
+        return pd.DataFrame({"query_id": np.repeat(asks, [len(a) for a in answers]), "vec_id": np.concatenate(answers), "score": np.concatenate(gaps)})
 
     return run
 
