@@ -84,7 +84,9 @@ def forecast_calendar(predictions: DataFrame, freq: Freq = MONTH) -> DataFrame:
 
 
 def with_history(panel: DataFrame, forecasts: DataFrame) -> DataFrame:
-    """Actual rows and predictions in one table, told apart by ``key``."""
-    history = panel.select("id", "date", "value", F.lit("actual").alias("key"), F.lit(None).cast("string").alias("model_id"))
-    ahead = forecasts.select("id", "date", F.col("prediction").alias("value"), F.lit("prediction").alias("key"), "model_id")
+    """Actual rows and predictions in one table, told apart by ``key``; bounds ``lo`` and ``hi`` stay where forecasts have them."""
+    bounds = [c for c in ("lo", "hi") if c in forecasts.columns]
+    none = [F.lit(None).cast("double").alias(c) for c in bounds]
+    history = panel.select("id", "date", "value", F.lit("actual").alias("key"), F.lit(None).cast("string").alias("model_id"), *none)
+    ahead = forecasts.select("id", "date", F.col("prediction").alias("value"), F.lit("prediction").alias("key"), "model_id", *bounds)
     return history.unionByName(ahead)

@@ -200,11 +200,14 @@ def residual_bands(calibrated: DataFrame, level: float = 0.95, by_id: bool = Tru
 
 
 def forecast_interval(forecasts: DataFrame, calibrated: DataFrame, level: float = 0.95, by_id: bool = True) -> DataFrame:
-    """Forecasts with ``lo`` and ``hi``; pooled bands are one row per model and broadcast."""
+    """Forecasts with ``lo`` and ``hi``; pooled bands are one row per model and broadcast.
+
+    A forecast of a model or series that has no residuals keeps its row, without bounds.
+    """
     bands = residual_bands(calibrated, level, by_id)
     keys = ["model_id", "id"] if by_id else ["model_id"]
     bands = bands if by_id else F.broadcast(bands)
-    return forecasts.join(bands, keys).select(
+    return forecasts.join(bands, keys, "left").select(
         *forecasts.columns,
         (F.col("prediction") - F.col("half_width")).alias("lo"),
         (F.col("prediction") + F.col("half_width")).alias("hi"),

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.ml import Estimator
 from pyspark.ml.regression import LinearRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.steps import MONTH, Freq
@@ -21,10 +21,11 @@ from panelweave.operators import ranking as R
 from panelweave.operators import scoring as S
 from panelweave.operators import splits
 from panelweave.operators.baselines import ROLLING_WINDOWS, baseline_forecasts, with_history
-from panelweave.operators.panel import regular_panel
+from panelweave.operators.panel import bucket_sum, regular_panel
 from panelweave.session import materialize, materialize_by, new_path, side_by_side
 from panelweave.sources import sinks
 from panelweave.sources.external import external_forecasts
+from panelweave.sources.tables import cast_date
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,8 @@ class BenchmarkConfig:
     trees: int = 500
     tuning_trees: int = G.TUNING_TREES
     tuning_grid: tuple = G.TUNING_GRID
+    panel_models: tuple = ("exp_smoothing", "decomp_smoothing", "harmonic", "autoregression")
+    boosted_models: tuple = ("harmonic", "autoregression")
     series_candidates: tuple = U.LOCAL_CANDIDATES
     fits_at_once: int = 4
 
@@ -89,6 +92,37 @@ def global_forecaster(model_id: str, spec: G.FeatureSet, estimator: Estimator, c
     return run
 
 
+def panel_model_id(name: str, boosted: bool = False) -> str:
+    """Id of a statistical model on the main board; the per-series candidates keep their plain names."""
+    return f"panel_{name}_boosted" if boosted else f"panel_{name}"
+
+
+def _panel_fits(train: DataFrame, names: Sequence[str], cfg: BenchmarkConfig) -> DataFrame:
+    """Statistical models of every series with their fitted rows, each series fitted once for all of them."""
+    return U.fit_per_series(train, cfg.horizon, names, cfg.freq, include_fitted=True).filter("status = 'ok'")
+
+
+def _panel_ahead(fits: DataFrame) -> DataFrame:
+    model_id = F.concat(F.lit(panel_model_id("")), "model_id").alias("model_id")
+    return U.ok_forecasts(fits).select("id", model_id, "step", "date", "prediction")
+
+
+def _boosted(train: DataFrame, fits: DataFrame, name: str, cfg: BenchmarkConfig) -> DataFrame:
+    """A statistical model plus boosted calendar effects of its residuals."""
+    base = fits.filter(F.col("model_id") == name)
+    return G.residual_boost(train, base, cfg.horizon, G.leaf_boosting(cfg.trees), panel_model_id(name, True), cfg.freq)
+
+
+def panel_forecaster(name: str, cfg: BenchmarkConfig, boosted: bool = False) -> Forecaster:
+    """One statistical model of every series on its own, for a refit or a replay on a slice."""
+
+    def run(train: DataFrame) -> DataFrame:
+        fits = _panel_fits(train, [name], cfg)
+        return _boosted(train, materialize(fits, f"fitted_{name}"), name, cfg) if boosted else _panel_ahead(fits)
+
+    return run
+
+
 def regressors(cfg: BenchmarkConfig) -> dict[str, tuple[G.FeatureSet, Estimator]]:
     """Every kind of regressor on every feature set."""
     kinds = {
@@ -105,13 +139,20 @@ def forecaster_book(cfg: BenchmarkConfig) -> dict[str, Forecaster]:
     """Every model that can be fitted again from training rows, by its id."""
     baselines = [f"rolling_mean_{n}" for n in ROLLING_WINDOWS] + [f"seasonal_naive_{cfg.freq.season}"]
     book = {name: baseline_forecaster(name, cfg) for name in baselines}
+    book |= {panel_model_id(name): panel_forecaster(name, cfg) for name in cfg.panel_models}
+    book |= {panel_model_id(name, True): panel_forecaster(name, cfg, boosted=True) for name in cfg.boosted_models}
     return book | {name: global_forecaster(name, spec, est, cfg) for name, (spec, est) in regressors(cfg).items()}
 
 
 def global_forecasts(train: DataFrame, cfg: BenchmarkConfig) -> DataFrame:
-    """All baselines in one query; the regressors share one feature table per set."""
+    """All baselines in one query; the regressors share one feature table per set, the statistical models one pass."""
     every = baseline_forecasts(train, cfg.horizon, cfg.freq, season=cfg.freq.season)
     parts = [every.select("id", "model_id", "step", "date", "prediction")]
+    names = list(dict.fromkeys([*cfg.panel_models, *cfg.boosted_models]))
+    if names:
+        fits = materialize(_panel_fits(train, names, cfg), "panel_fits")
+        parts.append(_panel_ahead(fits.filter(F.col("model_id").isin(*cfg.panel_models))))
+        parts += side_by_side(lambda name: _boosted(train, fits, name, cfg), cfg.boosted_models, cfg.fits_at_once)
     recipes = regressors(cfg)
     specs = {spec.name: spec for spec, _ in recipes.values()}
     tables = {name: materialize(G.feature_table(train, spec), f"features_{name}") for name, spec in specs.items()}
@@ -142,6 +183,25 @@ def tuned_forecaster(train: DataFrame, cfg: BenchmarkConfig, run: BenchmarkRun)
     return forecast
 
 
+def panel_from_raw(raw: DataFrame, by: Column, freq: Freq = MONTH, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Raw observations (``date``, ``value`` and whatever ``by`` reads) to bucketed ``(id, date, value)``.
+
+    ``by`` names the series: a column, a category rule or a constant for the total. Rows without
+    date, value or series go; ``since`` and ``until`` are inclusive days.
+    """
+    rows = cast_date(raw, "date").withColumn("_series", by)
+    if since is not None:
+        rows = rows.filter(F.col("date") >= F.lit(since).cast("date"))
+    if until is not None:
+        rows = rows.filter(F.col("date") <= F.lit(until).cast("date"))
+    return bucket_sum(rows.dropna(subset=["date", "value", "_series"]), [F.col("_series").alias("id")], "date", "value", freq)
+
+
+def run_raw(raw: DataFrame, by: Column, cfg: BenchmarkConfig = BenchmarkConfig(), outside: Mapping[str, DataFrame] | None = None, **span: str) -> BenchmarkRun:
+    """The whole benchmark from raw observations; ``span`` is ``since`` and ``until`` of :func:`panel_from_raw`."""
+    return run_benchmark(panel_from_raw(raw, by, cfg.freq, **span), cfg, outside)
+
+
 def run_benchmark(bucketed: DataFrame, cfg: BenchmarkConfig = BenchmarkConfig(), outside: Mapping[str, DataFrame] | None = None) -> BenchmarkRun:
     """From bucketed observations ``(id, date, value)`` to the final tables.
 
@@ -164,6 +224,7 @@ def run_benchmark(bucketed: DataFrame, cfg: BenchmarkConfig = BenchmarkConfig(),
         book[TUNED] = tuned_forecaster(train, cfg, run)
         parts.append(book[TUNED](train))
     forecasts = run.keep("forecasts", reduce(DataFrame.unionByName, parts))
+    run.keep("missing_forecasts", S.missing_forecasts(truth, forecasts, list(book)))
     calibrated = run.keep("calibrated", S.calibrate(forecasts, truth))
     sums = run.keep("series_sums", S.series_sums(calibrated))
     pooled = run.keep("global_accuracy", S.pool_series(sums))
@@ -185,7 +246,8 @@ def run_benchmark(bucketed: DataFrame, cfg: BenchmarkConfig = BenchmarkConfig(),
     best = run.keep("best_global", R.top_1(everyone, "rmse"))
     best_by_id = run.keep("best_global_by_series", R.keep_models(S.series_metrics(all_sums), best))
     ahead = refit_global(panel, best, candidates, book, stack)
-    run.keep("global_future_forecast", with_history(panel, ahead))
+    everything = calibrated.unionByName(S.calibrate(ensembles, truth), allowMissingColumns=True)
+    _future(run, "global_future_forecast", panel, ahead, everything)
     boards = [everyone]
     for name, delivered in (outside or {}).items():
         scored = materialize(S.calibrate(external_forecasts(delivered, name), truth), name)
@@ -195,11 +257,17 @@ def run_benchmark(bucketed: DataFrame, cfg: BenchmarkConfig = BenchmarkConfig(),
     sinks.write_comparison(R.head_n(board, "rmse", 10), f"{run.path}/top_models")
 
     if cfg.run_series_models:
-        everything = calibrated.unionByName(S.calibrate(ensembles, truth), allowMissingColumns=True)
         _series_models(panel, raw_train, truth, best_by_id, board, everything, cfg, run)
     return run
 
 
+def _future(run: BenchmarkRun, name: str, panel: DataFrame, ahead: DataFrame, calibrated: DataFrame) -> None:
+    """Future forecasts with bounds from the model's holdout residuals of the same series, kept and written."""
+    ahead = S.forecast_interval(ahead.select("id", "model_id", "date", "prediction"), calibrated)
+    future = run.keep(name, with_history(panel, ahead))
+    sinks.write_forecasts(future.filter(F.col("key") == "prediction").drop("key"), f"{run.path}/{name}")
+
+
 def replay(train: DataFrame, plan: DataFrame, models: Sequence[str], book: Mapping[str, Forecaster]) -> DataFrame:
     """Out-of-sample rows of the named models: refitted on every slice, kept inside its test dates."""
 
@@ -262,6 +330,7 @@ def _series_models(
     sinks.save_series_models(fits, f"{run.path}/models/series")
     own_rows = run.keep("series_calibrated", S.calibrate(U.ok_forecasts(fits).select("id", "model_id", "step", "date", "prediction"), truth))
     scores = run.keep("series_accuracy", S.accuracy_by_series(own_rows))
+    sinks.write_accuracy(scores, f"{run.path}/accuracy_by_series", "series_models")
     local = run.keep("best_local", R.best_per_series(scores))
     compared = run.keep("global_vs_local", C.global_vs_local(best_by_id, local))
     sinks.write_comparison(compared, f"{run.path}/global_vs_local")
@@ -271,5 +340,4 @@ def _series_models(
     run.keep("hybrid_accuracy", S.accuracy_pooled(C.policy_rows(policy, rows)))
     run.keep("summary", C.run_summary(board, compared))
     refitted = U.ok_forecasts(U.fit_per_series(panel, cfg.horizon, cfg.series_candidates, cfg.freq, only=local, by_id=True))
-    future = run.keep("local_future_forecast", with_history(panel, refitted))
-    sinks.write_forecasts(future.filter(F.col("key") == "prediction").drop("key"), f"{run.path}/local_future_forecast")
+    _future(run, "local_future_forecast", panel, refitted, own_rows)

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelweave.operators import global_ml as G
-from panelweave.plans.benchmark import BenchmarkConfig, run_benchmark
+from panelweave.functions.labels import PRODUCTION_RULES, classify
+from panelweave.plans.benchmark import BenchmarkConfig, panel_from_raw, run_benchmark
 from panelweave.session import materialize, new_path, work_dir
 from panelweave.sources import sinks
 from panelweave.sources import tables as T
@@ -69,11 +70,30 @@ def test_whole_benchmark(spark, make_panel):
     board = {r["model_id"]: r["rmse"] for r in run.tables["final_benchmark"].collect()}
     assert board["outside"] == 0
     assert {"ensemble_mean", "ensemble_median", "ensemble_weighted", "ensemble_stacked", "leaf_boosting_tuned"} <= set(board)
-    assert len(board) == 3 + 12 + 1 + 4 + 1
+    statistical = {f"panel_{m}" for m in ("exp_smoothing", "decomp_smoothing", "harmonic", "autoregression", "harmonic_boosted", "autoregression_boosted")}
+    assert statistical <= set(board) and len(board) == 3 + 6 + 12 + 1 + 4 + 1
+    assert run.tables["missing_forecasts"].count() == 0
     assert run.tables["global_vs_local"].count() == 3
     assert run.tables["local_future_forecast"].filter("key = 'prediction'").count() == 3 * 6
     assert run.tables["global_future_forecast"].filter("key = 'prediction'").count() == 3 * 6
+    for name in ("local_future_forecast", "global_future_forecast"):
+        ahead = run.tables[name].filter("key = 'prediction'")
+        assert ahead.filter("lo <= value and value <= hi").count() == 3 * 6
+        assert spark.read.parquet(f"{run.path}/{name}").count() == 3 * 6
+    assert spark.read.parquet(f"{run.path}/accuracy_by_series").count() == run.tables["series_accuracy"].count()
     hybrid = run.tables["hybrid_accuracy"].first()
     assert hybrid["n"] == 18 and hybrid["rmse"] <= run.tables["best_global"].first()["rmse"] + 1e-9
     assert run.tables["calibrated"].groupBy("model_id").count().select("count").distinct().count() == 1
     assert spark.read.parquet(f"{run.path}/accuracy").filter("run_id = 'ensembles'").count() == 4
+
+
+def test_panel_from_raw_rows(spark):
+    made = [("2020-01-05", "CLETPUS", "Coal", "GWh", 1.2345), ("2020-01-20", "CLETPUS", "Coal", "GWh", 2.0), ("2020-02-01", "WYETPUS", "Wind", "GWh", 4.0),
+            ("2020-03-01", "WYETPUS", "Wind", "GWh", None), (None, "WYETPUS", "Wind", "GWh", 8.0)]
+    raw = spark.createDataFrame(made, "day string, msn string, description string, unit string, value double")
+    raw = raw.select(F.col("day").cast("date").alias("date"), "msn", "description", "unit", "value")
+    assert raw.schema == spark.createDataFrame([], T.RAW_SCHEMA).schema
+    one = panel_from_raw(raw, F.col("description")).collect()
+    assert sorted((r["id"], str(r["date"]), r["value"]) for r in one) == [("Coal", "2020-01-01", 1.2345 + 2.0), ("Wind", "2020-02-01", 4.0)]
+    by_kind = panel_from_raw(raw, classify(F.col("description"), PRODUCTION_RULES), until="2020-01-31").collect()
+    assert [(r["id"], r["value"]) for r in by_kind] == [("Fossil Fuels Production", 1.2345 + 2.0)]
