@@ -41,19 +41,26 @@ CELL = 2048  # homes of an anchor compared in one cell
 PAIRS = 4_000_000  # comparisons held in memory at once
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """Signed 64-bit SimHash of the text's word shingles, repeats included."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """64-bit hashes of the text's word shingles, repeats included; a shorter text is one shingle."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = list(itertools.accumulate(map(len, words), lambda a, b: a + b + 1))
     starts = [0, *(e + 1 for e in ends[:-1])]
     last = ends[min(width, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:z], HASH_SEED) for a, z in zip(starts, last)), np.uint64, len(last))
+    return np.fromiter((digest(joined[a:z], HASH_SEED) for a, z in zip(starts, last)), np.uint64, len(last))
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """Signed 64-bit SimHash of the text's word shingles, repeats included."""
+    h = shingle_hashes(text, width)
+    if not len(h):
+        return 0
     bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    most = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(last), bitorder="little")
+    most = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(h), bitorder="little")
     return int(most.view("<i8")[0])
 
 
