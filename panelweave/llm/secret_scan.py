@@ -1,17 +1,19 @@
 """Secret scanning with a random forest that removes false positives.
 
-Candidates are long runs of token characters with a digit, or with both cases, in whole texts.
+Candidates are, in whole texts, values of ``SHORTEST`` characters or more assigned with = or : to a
+credential name, and elsewhere runs of 12 or more token characters with a digit or both cases.
 Each is described by its length, its character transitions and classes, how much of it
 dictionary words cover, what its path looks like, and the words beside it. A forest trained
 on labelled findings tells secrets from the rest.
 
 ``findings`` with a ``label`` column train it directly. Without labels, findings that a strict
-rule is sure of are used: a random value assigned in quotes to a credential name is a
-secret; addresses, numbers, hosts and dictionary compounds are not. Training takes at most about
+rule is sure of are used: a random value assigned to a credential name, a key with a known
+prefix and the body of a private key are secrets; addresses, numbers, hosts and dictionary compounds are not. Training takes at most about
 ``SAMPLE`` findings, chosen by hash; everything is scored.
 
 The dictionary is the words with at least ``WORD_SHARE`` of all words, at most 1/WORD_SHARE.
-Null and empty texts have no findings. If training sees one class only, every score is that class.
+Null and empty texts have no findings. If training sees one class only, the rule decides
+(with a warning), and random-looking values that it is not sure of count as secrets.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,7 +38,14 @@ from panelweave.session import materialize
 
 SAMPLE = 20_000
 WORD_SHARE = 2.0**-15
-CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.@:\-]{12,}")
+SHORTEST = 6
+CANDIDATE = re.compile(r"[A-Za-z0-9_+/.@:\-]{12,}={0,2}")
+ASSIGNED = re.compile(
+    r"(?i)(?:token|secret|passw|pwd|api_?key|credential|auth)\w{0,40}[\"']?[ \t]{0,8}[=:][ \t]{0,8}"
+    r"(?:\"([^\"\n]{6,512})\"|'([^'\n]{6,512})'|([^\s\"'`,;]{6,}))"
+)
+KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|[sr]k_live_[A-Za-z0-9]{16,}")
+PRIVATE = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----([A-Za-z0-9+/=\s]+)")
 NAMES = re.compile(r"(?i)(?:token|secret|passw|pwd|api_?key|credential|auth)\w*$")
 PLACES = re.compile(r"(?i)(?:test|example|sample|doc|spec|fixture)")
 ADDRESS = re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]+|(?:\d{1,3}\.){3}\d{1,3}|[\d\-:./+]+|(?:https?:)?/?/?[\w-]+(?:\.[\w-]+)+(?:[/:].*)?")
@@ -50,7 +60,7 @@ def classes(text: str) -> str:
     return "".join("d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in text)
 
 
-def describe(text: str, start: int, end: int, path: str, dictionary: set[str]) -> tuple[int, list[float]]:
+def describe(text: str, start: int, end: int, path: str, dictionary: set[str], private: bool = False) -> tuple[int, list[float]]:
     """The sure label of a candidate (1 secret, 0 not, -1 unknown) and its features."""
     value = text[start:end]
     n, kinds = len(value), classes(value)
@@ -71,7 +81,9 @@ def describe(text: str, start: int, end: int, path: str, dictionary: set[str]) -
         entropy, covered / n, max(map(len, runs), default=0), kinds.count("s"), "://" in before[-10:] + value, address,
         bool(PLACES.search(path)), named, assigned, in_quotes, len(word_before), len(word_after),
     ]
-    sure = 1 if named and assigned and in_quotes and entropy > 3 and not address else 0 if address or covered >= 0.8 * n else -1
+    random = in_quotes or (any(c.isdigit() for c in value) and covered < 0.5 * n)
+    given = named and assigned and random and entropy > 3 and not address
+    sure = 1 if given or private or KEY.fullmatch(value) else 0 if address or covered >= 0.8 * n else -1
     return sure, [float(f) for f in features]
 
 
@@ -79,6 +91,26 @@ def is_candidate(value: str) -> bool:
     return any(c.isdigit() for c in value) or (any(c.isupper() for c in value[1:]) and any(c.islower() for c in value))
 
 
+def candidates(text: str) -> Iterator[tuple[int, int, bool]]:
+    """Start, end and whether it lies in a private key, of each candidate; assigned values come whole."""
+    keys = [m.span(1) for m in PRIVATE.finditer(text)]
+
+    def runs(start: int, end: int) -> Iterator[tuple[int, int, bool]]:
+        for m in CANDIDATE.finditer(text, start, end):
+            private = any(a <= m.start() and m.end() <= z for a, z in keys)
+            if private or is_candidate(m[0]):
+                yield m.start(), m.end(), private
+
+    at = 0
+    for m in ASSIGNED.finditer(text):
+        start, end = m.span(m.lastindex)
+        if not text[start:end].isspace():
+            yield from runs(at, m.start())
+            yield start, end, False
+            at = end
+    yield from runs(at, len(text))
+
+
 def dictionary_of(docs: DataFrame, text: str, share: float = WORD_SHARE) -> set[str]:
     """Frequent words of all texts."""
 
@@ -111,11 +143,10 @@ def findings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path:
         for batch in batches:
             out = []
             for key, body, place in zip(batch["doc_id"], batch["text"], batch["path"]):
-                for m in CANDIDATE.finditer(body or ""):
-                    if is_candidate(m[0]):
-                        sure, features = describe(body, m.start(), m.end(), place or "", known)
-                        digest = hashlib.sha256(m[0].encode("utf-8", "replace")).hexdigest()
-                        out.append((key, m.start(), m.end() - m.start(), digest, sure, *features))
+                for start, end, private in candidates(body or ""):
+                    sure, features = describe(body, start, end, place or "", known, private)
+                    digest = hashlib.sha256(body[start:end].encode("utf-8", "replace")).hexdigest()
+                    out.append((key, start, end - start, digest, sure, *features))
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "start", "length", "sha256", "rule", *[f"f_{f}" for f in FEATURES]])
 
@@ -130,7 +161,9 @@ def score(found: DataFrame, labelled: DataFrame | None = None, sample: int = SAM
     per = train.groupBy("label").agg(F.count("*").alias("n"))
     counts = {r.label: r.n for r in per.collect()}
     if len(counts) < 2:
-        return found.withColumn("score", F.lit(float(next(iter(counts), 0.0))))
+        warnings.warn("findings of one class only: the rule decides instead of a forest")
+        likely = (F.col("f_entropy") > 3) & (F.col("f_coverage") < 0.3) & (F.col("f_in_address") == 0) & (F.col("f_in_url") == 0)
+        return found.withColumn("score", F.when(F.col("rule") >= 0, F.col("rule")).otherwise(likely.cast("int")).cast("double"))
     # Half of the sample for each class; the choice depends on the finding alone.
     point = F.pmod(F.xxhash64("doc_id", "start", "sha256"), F.lit(1 << 20)) / float(1 << 20)
     share = F.element_at(F.create_map(*[F.lit(float(x)) for k, n in counts.items() for x in (k, min(1.0, sample / 2 / n))]), F.col("label").cast("double"))
