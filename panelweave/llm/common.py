@@ -59,3 +59,27 @@ def id_key(doc_id: Column) -> Column:
 def held(doc_id: Column, parts: int, part: int) -> Column:
     """Whether ``crc32`` of the id's text leaves this remainder; a null id counts as the empty text."""
     return F.crc32(id_key(doc_id).cast("binary")) % parts == part
+
+
+FREQUENT = 4096  # keys that a spread join sends to every task, at most
+
+
+def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row per key, stored) added, whatever the skew of the keys.
+
+    ``weight`` is how many of ``rows`` have the key. Keys with more than 1/``FREQUENT`` of the weight, fewer than
+    ``FREQUENT`` of them by that bound, are broadcast; a task of the remaining join gets no key
+    with more. Rows already answered are dealt out there by their hash, where nothing matches them. No key is null.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    values = [c for c in table.columns if c not in keys]
+    often = F.col(weight) > total / FREQUENT
+    frequent = table.filter(often).select(*keys, F.struct(*values).alias("_often"))
+    seldom = table.filter(~often).select(*keys, F.lit(0).alias("_salt"), F.struct(*values).alias("_seldom"))
+    known = rows.join(F.broadcast(frequent), keys, "left")
+    spread = F.when(F.col("_often").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(FREQUENT)).cast("int"))
+    both = known.withColumn("_salt", spread).join(seldom, [*keys, "_salt"], "left")
+    found = F.coalesce("_often", "_seldom")
+    if how == "inner":
+        both = both.filter(found.isNotNull())
+    return both.select(*rows.columns, *[found[c].alias(c) for c in values])

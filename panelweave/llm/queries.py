@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import exact_dedup, langid, lm_score, mixing, packing, permutation_index, secret_scan, simhash, token_counts, token_shards
+from panelweave.llm import exact_dedup, langid, line_dedup, lm_score, mixing, packing, permutation_index, secret_scan, simhash, token_counts, token_shards
 from panelweave.llm.common import located
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,31 @@ def op9_lm_score(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_permutation_index(spark: SparkSession, sf: str) -> DataFrame:
     return permutation_index.search(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+@query
+def op11_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.line_digests(documents(spark, sf))
+
+
+SQL_TWINS["op11_line_dedup"] = r"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+    FROM documents
+), keyed AS (
+    SELECT doc_id, pos, line,
+        translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
+    FROM lines
+), shared AS (
+    SELECT line_key, max(doc_id) AS keeper FROM keyed WHERE length(line_key) >= 40
+    GROUP BY line_key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+    SELECT k.doc_id, k.pos, k.line, s.keeper IS NOT NULL AND s.keeper <> k.doc_id AS gone
+    FROM keyed k LEFT JOIN shared s USING (line_key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
