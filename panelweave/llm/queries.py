@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import exact_dedup, langid, line_dedup, lm_score, mixing, packing, permutation_index, secret_scan, simhash, token_counts, token_shards
+from panelweave.llm import exact_dedup, langid, lexical_search, line_dedup, lm_score, mixing, packing, permutation_index, prefix_trie, secret_scan, simhash, token_counts, token_shards
 from panelweave.llm.common import located
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,93 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.trie_digests(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
+# 3988292384 is the reversed polynomial of CRC-32.
+SQL_TWINS["op12_prefix_trie"] = """
+WITH turns AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS rank
+    FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+    SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY i) AS step
+    FROM range(256) r(i)
+), convs AS (
+    SELECT c, c - c % 5 AS base, xor(list_reduce(
+        list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda a, b: xor(a // 256, step[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h
+    FROM (SELECT DISTINCT c FROM turns), crc
+), given AS (
+    SELECT v.c, v.base, v.h, count(t.c) AS given
+    FROM convs v LEFT JOIN turns t ON t.c = v.base AND t.rank < v.h GROUP BY v.c, v.base, v.h
+), built AS (
+    SELECT g.c, t.rank + 1 AS depth, t.role, t.text FROM given g JOIN turns t ON t.c = g.base AND t.rank < g.given
+    UNION ALL
+    SELECT g.c, t.rank - g.h + g.given + 1, t.role, t.text FROM given g JOIN turns t ON t.c = g.c AND t.rank >= g.h
+), way AS (
+    SELECT c, depth, list({'role': role, 'text': text}) OVER (PARTITION BY c ORDER BY depth) AS prefix, strlen(text) AS bytes
+    FROM built
+    UNION ALL
+    SELECT c, 0, [], 0 FROM convs
+), named AS (
+    SELECT c, depth, bytes, min(c) OVER (PARTITION BY depth, prefix) AS node, depth = max(depth) OVER (PARTITION BY c) AS ends
+    FROM way
+), nodes AS (
+    SELECT node, depth, count(*) AS n_convs, any_value(bytes) AS bytes,
+        sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+    FROM named GROUP BY node, depth
+), linked AS (
+    SELECT n.*, a.node AS parent FROM nodes n LEFT JOIN named a ON a.c = n.node AND a.depth = n.depth - 1
+), counted AS (
+    SELECT l.*, coalesce(k.n_children, 0) AS n_children FROM linked l
+    LEFT JOIN (SELECT parent, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL) k
+        ON k.parent = l.node AND k.depth = l.depth
+), totals AS (
+    SELECT a.node, a.depth, count(*) FILTER (n.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.bytes)::BIGINT AS saved
+    FROM counted n JOIN named a ON a.c = n.node AND a.depth <= n.depth GROUP BY a.node, a.depth
+)
+SELECT node AS conv_id, depth::BIGINT AS depth, parent AS parent_conv_id, n_convs, n_children::BIGINT AS n_children, n_leaves,
+    saved AS saved_tokens, ends_sha256
+FROM counted JOIN totals USING (node, depth)
+"""
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+SQL_TWINS["op13_lexical_search"] = r"""
+WITH words AS (
+    SELECT 'd' AS kind, doc_id AS id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS word FROM documents
+    UNION ALL
+    SELECT 'i', item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) FROM benchmark
+), terms AS (
+    SELECT kind, id, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, count(*) AS tf
+    FROM words GROUP BY ALL
+), sizes AS (
+    SELECT id AS doc_id, sum(tf)::BIGINT AS n FROM terms WHERE kind = 'd' GROUP BY id
+), corpus AS (
+    SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes
+), held AS (
+    SELECT term, count(*) AS df FROM terms WHERE kind = 'd' GROUP BY term
+), gains AS (
+    SELECT t.id AS doc_id, t.term,
+        floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+            * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) AS gain
+    FROM terms t JOIN held USING (term) JOIN sizes s ON s.doc_id = t.id, corpus
+    WHERE t.kind = 'd'
+), scores AS (
+    SELECT i.id AS item_id, g.doc_id, sum(g.gain)::BIGINT AS score
+    FROM terms i JOIN gains g USING (term) WHERE i.kind = 'i' GROUP BY ALL HAVING sum(g.gain) > 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores
+)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked WHERE place <= 50
+"""
