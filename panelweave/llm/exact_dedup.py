@@ -3,8 +3,9 @@
 Arriving rows are reduced to a log of (digest, id, place); a structured stream folds
 the log into keyed state on disk (RocksDB, checkpointed to the shared folder) that never
 expires: per digest the smallest id with its place and the number of rows. Hits, digests
-seen more than once, are then checked on their full bytes; should two texts ever share a
-digest, their rows are decided again on the text itself.
+seen more than once, are then checked on their full bytes, those of earlier calls read again at
+their places; should two texts ever share a digest, it is remembered beside the state, and its
+rows are decided on the texts themselves, now and in later calls.
 
 Null text counts as empty; equal means identical after each run of white space became one
 space. Of equal rows the smallest id stays, a null id after all others, then the first
@@ -14,11 +15,12 @@ place. Repeated rows are copies like any other. Empty tables give no rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import SPACES, field, keep_places, located
+from panelweave.llm.common import SPACES, field, join_spread, keep_places, located, quoted
 from panelweave.session import materialize, new_path
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -48,7 +50,10 @@ def fold(spark: SparkSession, log: str, state: str, files_per_batch: int = 4096)
     own.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+    # Many small stores share one budget, and are closed soon after the stream has ended.
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "128")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB", "4")
+    own.conf.set("spark.sql.streaming.stateStore.maintenanceInterval", "10s")
     # Many small stores: without this each reserves megabytes of disk for its logs.
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
@@ -77,9 +82,10 @@ def dedup(
 ) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, digest, file, row``.
 
-    With ``state_dir`` the state outlives the call, and rows are also compared, by digest, with
-    all that arrived in earlier calls. ``digest`` may be any function of the text; the byte check makes
-    the result exact whatever it is.
+    With ``state_dir`` the state outlives the call, and rows are also compared with all that
+    arrived in earlier calls; the files of those calls must still be there and name the text the
+    same. ``digest`` may be any function of the text; the byte check makes the result exact whatever
+    it is.
     """
     return dedup_rows(located(docs), text, doc_id, digest, state_dir)
 
@@ -101,18 +107,17 @@ def dedup_rows(
     new = texts.select("digest", _arrival(F.col("doc_id")).alias("arrival"), F.lit(batch).alias("batch"))
     new.write.mode("append").parquet(f"{folder}/log")
     state = materialize(fold(spark, f"{folder}/log", f"{folder}/state"), "state")
-    log = spark.read.schema(new.schema).parquet(f"{folder}/log").filter(F.col("batch") == batch)
+    log = spark.read.schema(new.schema).parquet(f"{folder}/log")
+    own = log.filter(F.col("batch") == batch).select("digest", "arrival")
 
-    decided = log.join(state, "digest")
+    decided = join_spread(own, state, ["digest"], "n")
     clashes = _clashes(texts, state)
+    if state_dir:
+        earlier = log.filter(F.col("batch") != batch).select("digest", "arrival")
+        clashes = _remembered(clashes, texts, earlier, text, f"{folder}/clashes")
     if not clashes.isEmpty():
-        # Two texts with one digest: their rows of this arrival are decided on the bytes.
-        twisted = texts.join(clashes.select("digest").distinct(), "digest", "left_semi")
-        groups = twisted.groupBy("digest", "body").agg(F.min(_arrival(F.col("doc_id"))).alias("first"), F.count("*").alias("n"))
-        again = twisted.join(groups, ["digest", "body"])
-        again = again.select("digest", _arrival(F.col("doc_id")).alias("arrival"), "first", "n")
-        decided = decided.join(clashes.select("digest").distinct(), "digest", "left_anti")
-        decided = decided.select("digest", "arrival", "first", "n").unionByName(again)
+        decided = decided.join(clashes, "digest", "left_anti").select("digest", "arrival", "first", "n")
+        decided = decided.unionByName(_on_bytes(texts, clashes, earlier if state_dir else None, text))
     return decided.select(
         F.col("arrival.doc_id").alias("doc_id"),
         F.col("first.doc_id").alias("keep_id"),
@@ -125,7 +130,7 @@ def dedup_rows(
 
 
 def _clashes(texts: DataFrame, state: DataFrame) -> DataFrame:
-    """Digests whose rows differ in their bytes.
+    """Digests whose rows of this call differ in their bytes.
 
     Only hits are compared. A digest with a third of all rows is dealt over salted parts,
     and equal bodies fold to one row per task before they move on.
@@ -133,7 +138,41 @@ def _clashes(texts: DataFrame, state: DataFrame) -> DataFrame:
     hits = state.filter("n > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(HIT_SALTS - 1))).alias("salt"))
     salted = texts.select("digest", "body", F.pmod(F.xxhash64("file", "row"), F.lit(HIT_SALTS)).cast("int").alias("salt"))
     bodies = salted.join(hits, ["digest", "salt"], "left_semi").groupBy("digest", "body").agg(F.count("*").alias("n"))
-    return materialize(bodies.groupBy("digest").agg(F.count("*").alias("bodies")).filter("bodies > 1"), "clashes")
+    return materialize(bodies.groupBy("digest").agg(F.count("*").alias("bodies")).filter("bodies > 1").select("digest"), "clashes")
+
+
+def _contents(places: DataFrame, text: str) -> DataFrame:
+    """``places`` (with file and row) with the normalised text found there."""
+    spark = places.sparkSession
+    files = [unquote(r["file"]) for r in places.select("file").distinct().toLocalIterator()]
+    if not files:
+        return places.withColumn("body", F.lit(None).cast("string"))
+    kept = spark.read.schema(f"`{text.replace('`', '``')}` string").parquet(*files)
+    meta = kept.metadataColumn("_metadata")
+    kept = kept.select(normalised(quoted(text)).alias("body"), meta["file_path"].alias("file"), meta["row_index"].alias("row"))
+    return places.join(kept, ["file", "row"])
+
+
+def _remembered(clashes: DataFrame, texts: DataFrame, earlier: DataFrame, text: str, folder: str) -> DataFrame:
+    """All clashing digests among the new rows: these, those that differ from what earlier calls kept, those known before."""
+    spark = texts.sparkSession
+    new = texts.groupBy("digest").agg(F.min("body").alias("new"))  # if there are several, the digest clashes already
+    first = earlier.groupBy("digest").agg(F.min("arrival").alias("first")).join(new, "digest")
+    kept = _contents(first.select("digest", "new", "first.file", "first.row"), text)
+    found = clashes.unionByName(kept.filter("new <> body").select("digest")).distinct()
+    found.write.mode("append").parquet(folder)
+    return materialize(spark.read.schema(found.schema).parquet(folder).distinct().join(new, "digest", "left_semi"), "clashes")
+
+
+def _on_bytes(texts: DataFrame, clashes: DataFrame, earlier: DataFrame | None, text: str) -> DataFrame:
+    """The rows of clashing digests decided on digest and text, over all calls."""
+    twisted = texts.join(clashes, "digest", "left_semi").select("digest", "body", _arrival(F.col("doc_id")).alias("arrival"))
+    every = twisted
+    if earlier is not None:
+        before = earlier.join(clashes, "digest", "left_semi").select("digest", "arrival", "arrival.file", "arrival.row")
+        every = every.unionByName(_contents(before, text).select("digest", "body", "arrival"))
+    groups = every.groupBy("digest", "body").agg(F.min("arrival").alias("first"), F.count("*").alias("n"))
+    return twisted.join(groups, ["digest", "body"]).select("digest", "arrival", "first", "n")
 
 
 def unique_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -6,8 +6,8 @@ mean log frequency; if none is known at length 1 it says nothing. A document's s
 share of the best language among the languages' likelihoods.
 
 The model is fitted on at most about ``SAMPLE`` labelled documents per language, chosen by a
-hash of the id, and keeps entries with at least ``SHARE`` of a kind's occurrences (so at most
-1/SHARE of each kind). Everything is scored, whole.
+hash of the id, and keeps every word and n-gram of them: the sample bounds it. Everything is
+scored, whole.
 
 Null text and text without letters: ``und``, score 0. Without any labelled document there is
 nothing to predict: ``und``, score 0. Ties go to the first language by code point.
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from panelweave.llm.common import held, id_key, quoted
 
 SAMPLE = 1500  # labelled documents per language, about
-SHARE = 2.0**-18
 LONGEST = 5  # letters of the longest n-gram
 SMOOTH = 0.5
 MEMO = 200_000  # words whose scores a task remembers
@@ -140,12 +139,9 @@ class Scorer:
         return self.model.langs[best], float(odds[best] / odds.sum())
 
 
-def fit(docs: DataFrame, text: str, lang: str, doc_id: str, learn: Column, sample: int = SAMPLE, share: float = SHARE) -> Model:
-    """The bounded model; its tables come to the driver, at most 1/share entries of a kind and language."""
-    counts = learned_counts(docs, text, lang, doc_id, learn, sample)
-    by_kind = counts.groupBy("lang", "kind").agg((F.sum("n") * share).alias("least"))
-    kept = counts.join(by_kind, ["lang", "kind"]).filter("n >= least").select("lang", "kind", "item", "n")
-    return Model(kept.toPandas())
+def fit(docs: DataFrame, text: str, lang: str, doc_id: str, learn: Column, sample: int = SAMPLE) -> Model:
+    """The model, bounded by the sample; its tables come to the driver."""
+    return Model(learned_counts(docs, text, lang, doc_id, learn, sample).toPandas())
 
 
 def detector(model: Model, docs: DataFrame):

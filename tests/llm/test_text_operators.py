@@ -57,6 +57,18 @@ def test_dedup(docs, rows, none):
     assert exact_dedup.unique_rows(docs).count() == len(groups) and exact_dedup.dedup(none).count() == 0
 
 
+def test_dedup_checks_bytes_across_calls(spark, tmp_path):
+    """A digest that tells texts apart by length only: every call decides on the texts of all calls."""
+    calls = [[(5, "aa"), (2, "aa"), (9, "ccc")], [(3, "bb"), (1, "aa"), (4, "bb")], [(0, "bb"), (8, "aa"), (7, "ddd"), (6, "ccc")], [(10, "e" * 5)]]
+    seen: list = []
+    for rows in calls:
+        seen += rows
+        got = exact_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest=lambda c: F.length(c).cast("string"), state_dir=str(tmp_path))
+        alike = {i: [j for j, t in seen if t == text] for i, text in rows}
+        want = Counter((i, min(same), len(same), min(same) == i) for i, same in alike.items())
+        assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()) == want
+
+
 def test_simhash_components(spark, docs, rows, none):
     got = simhash.simhash(docs).collect()
     prints = np.array([simhash.fingerprint(r[1]) for r in rows], np.int64).view(np.uint64)
@@ -156,6 +168,49 @@ def test_language_id(spark, docs, none):
     assert langid.identified_rows(own).count() == 80 and langid.identified_rows(own.withColumn("lang", F.lit(None))).count() == 80
 
 
+def test_language_id_against_brute_force(spark, docs, rows):
+    """Word-first backoff worked out with plain counters over every learned document."""
+    got = Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in langid.identify(docs).collect())
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0
+    counts: dict = defaultdict(Counter)  # (kind, language) -> items
+    for i, text, lang, *_ in rows:
+        if lang and text and not held(i):
+            for w in langid.words_of(text):
+                counts[0, lang][w] += 1
+                for k in range(1, langid.LONGEST + 1):
+                    marked = f"^{w}$" if k > 1 else w
+                    for at in range(len(marked) - k + 1):
+                        counts[k, lang][marked[at : at + k]] += 1
+    langs = sorted({lang for _, lang in counts})
+    known = {k: set().union(*(counts[k, lang] for lang in langs)) for k in range(langid.LONGEST + 1)}
+
+    def log(kind, item, lang):
+        own = counts[kind, lang]
+        return np.log((own[item] + langid.SMOOTH) / (sum(own.values()) + langid.SMOOTH * len(known[kind])))
+
+    def word(w, lang):
+        if w in known[0]:
+            return log(0, w, lang)
+        for k in range(langid.LONGEST, 0, -1):
+            marked = f"^{w}$" if k > 1 else w
+            seen = [g for g in (marked[at : at + k] for at in range(len(marked) - k + 1)) if g in known[k]]
+            if seen:
+                return np.mean([log(k, g, lang) for g in seen])
+        return 0.0
+
+    want, memo = Counter(), {}
+    for i, text, *_ in rows:
+        words = Counter(langid.words_of(text))
+        score = np.zeros(len(langs))
+        for w, n in words.items():
+            memo.setdefault(w, np.array([word(w, lang) for lang in langs]))
+            score += n * memo[w]
+        odds = np.exp(score - score.max())
+        best = int(np.argmax(odds))
+        want[(i, held(i), langs[best], round(float(odds[best] / odds.sum()), 6)) if words else (i, held(i), "und", 0.0)] += 1
+    assert got == want
+
+
 def test_language_model(docs, rows, none):
     got = lm_score.lm_score(docs, share=0.0).collect()
     words = lambda t: [w.lower() for w in WORD.findall(t or "")]
