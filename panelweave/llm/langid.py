@@ -21,10 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import held, id_key, quoted
+from panelweave.session import materialize
 
 SAMPLE = 1500  # labelled documents per language, about
 LONGEST = 5  # letters of the longest n-gram
@@ -71,31 +73,53 @@ def learned_counts(docs: DataFrame, text: str, lang: str, doc_id: str, learn: Co
 
 
 class Model:
-    """Log frequencies per language of words and n-grams."""
+    """Log frequencies per language of words and n-grams, found by a 64-bit hash of (length, item).
 
-    def __init__(self, counts: pd.DataFrame, smooth: float = SMOOTH):
-        self.langs = sorted(counts.lang.unique())
-        column = {lang: i for i, lang in enumerate(self.langs)}
-        self.places: list[dict[str, int]] = []
+    Sorted arrays of numbers: a few dozen bytes an entry, on the driver and in every task.
+    """
+
+    def __init__(self, langs: list[str], kinds: np.ndarray, items: np.ndarray, columns: np.ndarray, n: np.ndarray, smooth: float = SMOOTH):
+        self.langs = langs
+        self.keys: list[np.ndarray] = []
         self.logs: list[np.ndarray] = []
         for kind in range(LONGEST + 1):
-            own = counts[counts.kind == kind]
-            items = {w: i for i, w in enumerate(dict.fromkeys(own["item"]))}
-            table = np.zeros((len(items), len(self.langs)))
-            np.add.at(table, (own["item"].map(items).to_numpy(np.int64), own.lang.map(column).to_numpy(np.int64)), own.n.to_numpy())
-            total = table.sum(axis=0) + smooth * max(1, len(items))
-            self.places.append(items)
+            own = kinds == kind
+            keys, place = np.unique(items[own], return_inverse=True)
+            table = np.zeros((len(keys), len(langs)))
+            np.add.at(table, (place, columns[own]), n[own])
+            total = table.sum(axis=0) + smooth * max(1, len(keys))
+            self.keys.append(keys)
             self.logs.append(np.log((table + smooth) / total))
 
-    def word(self, word: str) -> np.ndarray:
-        at = self.places[0].get(word)
-        if at is not None:
-            return self.logs[0][at]
+    def find(self, kind: int, items: list[str]) -> np.ndarray:
+        """The row of each item in ``logs[kind]``, -1 where it is unknown."""
+        keys = self.keys[kind]
+        hashes = np.fromiter((xxhash.xxh64_intdigest(i, 42) for i in items), np.uint64, len(items)).view(np.int64)
+        if not len(keys):
+            return np.full(len(items), -1)
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        return np.where(keys[at] == hashes, at, -1)
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """One row of log frequencies per word: its own, or the mean of its longest known n-grams."""
+        out = np.zeros((len(words), len(self.langs)))
+        place = self.find(0, words)
+        out[place >= 0] = self.logs[0][place[place >= 0]]
+        open_ = np.nonzero(place < 0)[0]
         for n in range(LONGEST, 0, -1):
-            known = [self.places[n][g] for g in ngrams(word, n) if g in self.places[n]]
-            if known:
-                return self.logs[n][known].mean(axis=0)
-        return np.zeros(len(self.langs))
+            if not len(open_):
+                break
+            grams = [ngrams(words[i], n) for i in open_]
+            owner = np.repeat(np.arange(len(open_)), [len(g) for g in grams])
+            place = self.find(n, [g for own in grams for g in own])
+            hit = place >= 0
+            times = np.bincount(owner[hit], minlength=len(open_))
+            total = np.zeros((len(open_), len(self.langs)))
+            np.add.at(total, owner[hit], self.logs[n][place[hit]])
+            known = times > 0
+            out[open_[known]] = total[known] / times[known, None]
+            open_ = open_[~known]
+        return out
 
 
 class Scorer:
@@ -112,12 +136,11 @@ class Scorer:
     def _learn(self, new: set[str]) -> None:
         if len(self.place) + len(new) > MEMO and self.place:
             raise OverflowError
-        for w in new:
-            at = len(self.place)
-            if at == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[at] = self.model.word(w)
-            self.place[w] = at
+        words, at = list(new), len(self.place)
+        while at + len(words) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[at : at + len(words)] = self.model.words(words)
+        self.place.update(zip(words, range(at, at + len(words))))
 
     def text(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
@@ -140,8 +163,12 @@ class Scorer:
 
 
 def fit(docs: DataFrame, text: str, lang: str, doc_id: str, learn: Column, sample: int = SAMPLE) -> Model:
-    """The model, bounded by the sample; its tables come to the driver."""
-    return Model(learned_counts(docs, text, lang, doc_id, learn, sample).toPandas())
+    """The model, bounded by the sample; only numbers come to the driver."""
+    counts = materialize(learned_counts(docs, text, lang, doc_id, learn, sample), "lang_counts")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in zip(langs, range(len(langs))) for x in pair]), F.col("lang")) if langs else F.lit(0)
+    table = counts.select("kind", F.xxhash64("item").alias("item"), named.alias("lang"), "n").toArrow()
+    return Model(langs, *(table.column(c).to_numpy() for c in ("kind", "item", "lang", "n")))
 
 
 def detector(model: Model, docs: DataFrame):
