@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.calendar import CALENDAR_NUMERIC, SCALED_COLUMNS, calendar_columns
 from panelweave.functions.steps import MONTH, Freq
+from panelweave.operators.boosting import BoostedTrees, Boosting
 from panelweave.operators.features import ROLL_PERIOD, ROLL_SOURCE_LAG, lag_features, prepared_rows
 from panelweave.operators.panel import by_time
 from panelweave.operators.scoring import mae, metric_summary, rmse
@@ -39,20 +40,18 @@ def elastic_net(penalty: float = 0.01, mixture: float = 0.99, **params) -> Linea
 
 
 def gradient_boosting(
-    trees: int = 500, learn_rate: float = 0.05, depth: int = 8, min_n: int = 5, loss_reduction: float = 0.001
-) -> GBTRegressor:
-    return GBTRegressor(
-        featuresCol="features", labelCol="value", maxIter=trees, stepSize=learn_rate, maxDepth=depth,
-        minInstancesPerNode=min_n, minInfoGain=loss_reduction, seed=SEED,
-    )
+    trees: int = 500, learn_rate: float = 0.05, depth: int = 8, min_n: int = 5, loss_reduction: float = 0.001, penalty: float = 1.0
+) -> Boosting:
+    """Second-order boosting, trees grown by depth."""
+    return Boosting(trees, learn_rate, depth, min_n, loss_reduction, penalty)
 
 
-def leaf_boosting(trees: int = 500, learn_rate: float = 0.05, depth: int = 6, min_n: int = 5) -> GBTRegressor:
-    """Second boosting parameter set: shallower, no minimum gain."""
-    return gradient_boosting(trees, learn_rate, depth, min_n, 0.0)
+def leaf_boosting(trees: int = 500, learn_rate: float = 0.05, depth: int = 6, min_n: int = 5, leaves: int = 31) -> Boosting:
+    """Second-order boosting, trees grown leaf by leaf, best gain first; no penalty."""
+    return Boosting(trees, learn_rate, depth, min_n, penalty=0.0, leaves=leaves)
 
 
-def series_boosting(trees: int = 200, learn_rate: float = 0.05, depth: int = 5, min_n: int = 5) -> GBTRegressor:
+def series_boosting(trees: int = 200, learn_rate: float = 0.05, depth: int = 5, min_n: int = 5) -> Boosting:
     """Smaller boosting for a panel of one or few series."""
     return gradient_boosting(trees, learn_rate, depth, min_n, 0.0)
 
@@ -182,7 +181,7 @@ class GlobalModel:
     common: dict[str, float]
     columns: list[str]
     scaling: dict[str, tuple[float, float]]
-    regressor: Model | None = None
+    regressor: Model | BoostedTrees | None = None
     assembler: VectorAssembler = field(init=False)
 
     def __post_init__(self):
@@ -202,22 +201,30 @@ class GlobalModel:
         return self.regressor.transform(self.vectors(df))
 
     def save(self, path: str) -> None:
-        """The levels as a table; scaling, assembler and regressor as a Spark ML pipeline directory."""
+        """The levels as a table; scaling, assembler and regressor as a Spark ML pipeline directory, boosted trees as a table."""
         fill = [SQLTransformer(statement=f"SELECT *, coalesce({c}, {m!r}D) AS {c}_known FROM __THIS__") for c, m in self.common.items()]
         scale = [
             SQLTransformer(statement=f"SELECT *, ({c} - {m!r}D) / {s!r}D AS {c}_scaled FROM __THIS__")
             for c, (m, s) in self.scaling.items()
         ]
         inputs = [*[f"{c}_known" for c in LEVELS], *[f"{c}_scaled" if c in self.scaling else c for c in self.columns]]
-        stages = [*fill, *scale, VectorAssembler(inputCols=inputs, outputCol="features"), self.regressor]
+        stages = [*fill, *scale, VectorAssembler(inputCols=inputs, outputCol="features")]
         self.levels.write.mode("overwrite").parquet(f"{path}/levels")
+        if isinstance(self.regressor, BoostedTrees):
+            self.regressor.save(self.levels.sparkSession, f"{path}/trees")
+        else:
+            stages.append(self.regressor)
         PipelineModel(stages=stages).write().overwrite().save(f"{path}/pipeline")
 
 
 def load_global(spark: SparkSession, path: str) -> Callable[[DataFrame], DataFrame]:
     """A stored model as a function from rows with predictors to rows with ``prediction``."""
     levels, pipeline = spark.read.parquet(f"{path}/levels"), PipelineModel.load(f"{path}/pipeline")
-    return lambda rows: pipeline.transform(rows.join(levels, "id", "left"))
+    assembled = lambda rows: pipeline.transform(rows.join(levels, "id", "left"))
+    if not isinstance(pipeline.stages[-1], VectorAssembler):
+        return assembled
+    trees = BoostedTrees.load(spark, f"{path}/trees")
+    return lambda rows: trees.transform(assembled(rows))
 
 
 def unfitted(features: DataFrame, spec: FeatureSet, model_id: str) -> GlobalModel:
@@ -291,9 +298,9 @@ def recursive_forecast(
 ) -> DataFrame:
     """Predict one step for every id, put it in front of the tail, repeat.
 
-    The state is one row per id and no step shuffles. A linear model needs no
-    loop: its steps are a fold over the tail inside one projection. Tree models
-    chain their transforms; every few steps the state is written, so the plan
+    The state is one row per id and no step shuffles. A linear model and boosted
+    trees need no loop: their steps are a fold over the tail inside one projection.
+    Forests chain their transforms; every few steps the state is written, so the plan
     stays short and a lost executor does not replay the whole chain. Series too
     short for the lags have no forecast (``missing_forecasts`` shows them).
     """
@@ -304,6 +311,8 @@ def recursive_forecast(
     state = model.with_levels(tails).withColumn("calendar", _calendar_steps(model, horizon, freq))
     if isinstance(model.regressor, LinearRegressionModel):
         done = _linear_path(model, state)
+    elif isinstance(model.regressor, BoostedTrees):
+        done = _boosted_path(model, state)
     else:
         done = _chained_path(model, state, horizon, steps_per_write)
     return done.select("id", "last_date", F.posexplode("path").alias("_pos", "prediction")).select(
@@ -333,6 +342,26 @@ def _chained_path(model: GlobalModel, state: DataFrame, horizon: int, steps_per_
     return state
 
 
+def _boosted_path(model: GlobalModel, state: DataFrame) -> DataFrame:
+    """The trees are constants of the projection; a step walks them with the tail as it stands."""
+    keep = model.spec.tail_length
+
+    def advance(acc: Column, step: Column) -> Column:
+        known = F.concat(F.array(*LEVELS), _tail_predictors(model, acc["tail"]), step)
+        return F.get(
+            F.transform(
+                F.array(model.regressor.value_of(known)),
+                lambda v: F.struct(
+                    F.slice(F.concat(F.array(v), acc["tail"]), 1, keep).alias("tail"), F.concat(acc["path"], F.array(v)).alias("path")
+                ),
+            ),
+            F.lit(0),
+        )
+
+    start = F.struct(F.col("tail").alias("tail"), F.array().cast("array<double>").alias("path"))
+    return state.select("id", "last_date", F.aggregate("calendar", start, advance)["path"].alias("path"))
+
+
 def _linear_path(model: GlobalModel, state: DataFrame) -> DataFrame:
     """Intercept and level part from the model itself, the steps as a fold of dot products."""
     keep = model.spec.tail_length
@@ -433,11 +462,17 @@ def tune_grid(
     """
     slices = plan.orderBy("slice_id").collect()
 
+    def rows(cut, part: str) -> DataFrame:
+        return features.filter(F.col("date").between(F.lit(cut[f"{part}_start"]), F.lit(cut[f"{part}_end"])))
+
+    # What does not depend on the grid point is worked out once per slice.
+    blanks = dict(zip(range(len(slices)), side_by_side(lambda cut: unfitted(rows(cut, "train"), spec, "tuning"), slices, parallelism)))
+
     def one(task) -> DataFrame:
-        number, (depth, rate), cut = task
-        train = features.filter(F.col("date").between(F.lit(cut["train_start"]), F.lit(cut["train_end"])))
-        test = features.filter(F.col("date").between(F.lit(cut["test_start"]), F.lit(cut["test_end"])))
-        model = fit_global(train, spec, leaf_boosting(trees, rate, depth), f"config_{number}")
+        number, (depth, rate), at = task
+        cut, test = slices[at], rows(slices[at], "test")
+        vectors = blanks[at].vectors(rows(cut, "train")).select("value", "features")
+        model = replace(blanks[at], model_id=f"config_{number}", regressor=leaf_boosting(trees, rate, depth).fit(vectors))
         scored = score_rows(model, test).join(test.select("id", "date", F.col("value").alias("actual")), ["id", "date"])
         return scored.agg(mae().alias("mae"), rmse().alias("rmse")).select(
             F.lit(f"config_{number}").alias("config"),
@@ -448,7 +483,7 @@ def tune_grid(
             "rmse",
         )
 
-    tasks = [(i, point, cut) for i, point in enumerate(grid, 1) for cut in slices]
+    tasks = [(i, point, at) for i, point in enumerate(grid, 1) for at in range(len(slices))]
     parts = side_by_side(one, tasks, parallelism)
     out = parts[0]
     for part in parts[1:]:

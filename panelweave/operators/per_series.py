@@ -125,14 +125,18 @@ def fit_level_smoothing(y: np.ndarray, h: int, m: int) -> Fit:
     return smooth_grid(y, h, m, "N", "N")[1]
 
 
+def fit_trend_smoothing(y: np.ndarray, h: int, m: int) -> Fit:
+    """Best of level, trend and damped trend, for series without a season."""
+    return min((smooth_grid(y, h, m, t, "N") for t in ("N", "A", "Ad")), key=lambda r: r[0])[1]
+
+
 def fit_decomp_smoothing(y: np.ndarray, h: int, m: int) -> Fit:
-    """Smooth the seasonally adjusted series, add the season back."""
+    """Smooth the series without its seasonal means, add them back."""
     season = seasonal_means(y, m)
     spot = np.arange(len(y) + h) % m
-    tried = [smooth_grid(y - season[spot[: len(y)]], h, m, t, "N") for t in ("N", "A", "Ad")]
-    inner = min(tried, key=lambda r: r[0])[1]
+    inner = fit_trend_smoothing(y - season[spot[: len(y)]], h, m)
     return Fit(
-        inner.fitted + season[spot[: len(y)]], inner.path + season[spot[len(y) :]], "STL," + inner.variant, inner.params
+        inner.fitted + season[spot[: len(y)]], inner.path + season[spot[len(y) :]], "means," + inner.variant, inner.params
     )
 
 
@@ -192,6 +196,7 @@ def fit_seasonal_naive(y: np.ndarray, h: int, m: int) -> Fit:
 CANDIDATES: dict[str, Callable[[np.ndarray, int, int], Fit]] = {
     "seasonal_naive": fit_seasonal_naive,
     "exp_smoothing": fit_exp_smoothing,
+    "trend_smoothing": fit_trend_smoothing,
     "decomp_smoothing": fit_decomp_smoothing,
     "harmonic": fit_harmonic,
     "autoregression": fit_autoregression,

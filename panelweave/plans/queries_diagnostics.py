@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.steps import DAY, MONTH
 from panelweave.operators import diagnostics as D
 from panelweave.operators import splits
+from panelweave.operators import stl as L
 from panelweave.operators.panel import MONEY_SCALE, bucket_sum
 from panelweave.operators.per_series import level_smoothing
 from panelweave.plans.panels import brand_month, lazy, regular, shipments
@@ -80,8 +81,8 @@ def pacf(spark, sf):
     return rounded(D.pacf(lazy(spark, sf, "PT")), 7, "pacf")
 
 
-_MONTH_CELL = "month(date)"
-_TREND_12 = """CASE WHEN count(*) OVER (PARTITION BY id ORDER BY date ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING) = 12
+MONTH_CELL = "month(date)"
+TREND_12 = """CASE WHEN count(*) OVER (PARTITION BY id ORDER BY date ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING) = 12
    AND count(*) OVER (PARTITION BY id ORDER BY date ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING) = 12 THEN
   (avg(value) OVER (PARTITION BY id ORDER BY date ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)
    + avg(value) OVER (PARTITION BY id ORDER BY date ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING)) / 2 END"""
@@ -98,13 +99,61 @@ def decompose_sql(panel: str, trend: str, cell: str) -> str:
 
 
 @query("decompose", twin("ps_full", f"""SELECT id, date, round(value, 6) AS value, round(trend, 6) AS trend, round(season / value, 9) AS season_share,
-  round(remainder / value, 9) AS remainder_share, round(seasadj / value, 9) AS seasadj_share FROM ({decompose_sql('ps_full', _TREND_12, _MONTH_CELL)})"""))
+  round(remainder / value, 9) AS remainder_share, round(seasadj / value, 9) AS seasadj_share FROM ({decompose_sql('ps_full', TREND_12, MONTH_CELL)})"""))
 def decompose(spark, sf):
     parts = D.decompose(lazy(spark, sf, "PS"))
     shares = [F.round(F.col(c) / F.col("value"), 9).alias(f"{c}_share") for c in ("season", "remainder", "seasadj")]
     return rounded(parts.select("id", "date", "value", "trend", *shares), 6, "value", "trend")
 
 
+def loess_sql(source: str, span: int) -> str:
+    """Local linear regression of ``y`` over ``pos`` (from 0) in each id of ``n`` rows."""
+    return f"""SELECT id, t AS pos, CASE WHEN sxx / sw - (sx / sw) ** 2 > (0.001 * (n - 1)) ** 2
+    THEN sy / sw - (sxy / sw - sx / sw * sy / sw) / (sxx / sw - (sx / sw) ** 2) * sx / sw ELSE sy / sw END AS fit
+  FROM (SELECT id, t, any_value(n) AS n, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy
+    FROM (SELECT a.id, a.t, a.n, b.y, (b.pos - a.t)::DOUBLE AS x, CASE WHEN abs(b.pos - a.t) / a.reach <= 0.001 THEN 1
+            WHEN abs(b.pos - a.t) / a.reach > 0.999 THEN 0 ELSE (1 - (abs(b.pos - a.t) / a.reach) ** 3) ** 3 END AS w
+      FROM (SELECT id, t, n, low, high, (greatest(t - low, high - t) + greatest({span} - n, 0) // 2)::DOUBLE AS reach
+            FROM (SELECT id, t, n, low, least(low + {span} - 1, n - 1) AS high
+                  FROM (SELECT id, pos AS t, n, greatest(0, least(pos - {(span - 1) // 2}, n - {span})) AS low FROM {source}))) a
+      JOIN {source} b ON b.id = a.id AND b.pos BETWEEN a.low AND a.high) GROUP BY id, t)"""
+
+
+@query("trend_loess", twin("ps_full", f""", src AS (SELECT id, date, pos - 1 AS pos, value AS y, count(*) OVER (PARTITION BY id) AS n FROM ps_full)
+  SELECT s.id, s.date, round(s.y, 6) AS value, round(f.fit, 4) AS smooth FROM src s JOIN ({loess_sql('src', 13)}) f ON f.id = s.id AND f.pos = s.pos"""))
+def trend_loess(spark, sf):
+    """Each series smoothed by local regression over 13 months."""
+    return rounded(rounded(L.loess(lazy(spark, sf, "PS"), 13), 6, "value"), 4, "smooth")
+
+
+@query("stl_pass", twin("ps_full", f""",
+  src AS (SELECT id, date, pos - 1 AS pos, value, count(*) OVER (PARTITION BY id) AS n FROM ps_full QUALIFY count(*) OVER (PARTITION BY id) >= 24),
+  cyc AS (SELECT id, pos % 12 AS k, avg(value) AS m FROM src GROUP BY 1, 2),
+  ext AS (SELECT e.id, e.i, c.m FROM (SELECT id, unnest(range(-12, n + 12)) AS i FROM (SELECT id, max(n) AS n FROM src GROUP BY id)) e
+    JOIN cyc c ON c.id = e.id AND c.k = (e.i + 12) % 12),
+  one AS (SELECT id, i, avg(m) OVER w AS m FROM ext WINDOW w AS (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) QUALIFY count(*) OVER w = 12),
+  two AS (SELECT id, i, avg(m) OVER w AS m FROM one WINDOW w AS (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) QUALIFY count(*) OVER w = 12),
+  low AS (SELECT id, i + 12 AS pos, avg(m) OVER w AS y, count(*) OVER (PARTITION BY id) - 2 AS n FROM two
+    WINDOW w AS (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) QUALIFY count(*) OVER w = 3),
+  cut AS (SELECT s.id, s.pos, s.n, s.date, s.value, c.m - f.fit AS season FROM src s JOIN cyc c ON c.id = s.id AND c.k = s.pos % 12
+    JOIN ({loess_sql('low', 13)}) f ON f.id = s.id AND f.pos = s.pos),
+  adj AS (SELECT id, pos, n, value - season AS y FROM cut)
+  SELECT c.id, c.date, round(c.value, 6) AS value, round(f.fit / c.value, 8) AS trend_share,
+    round(avg(c.season) OVER (PARTITION BY c.id, c.pos % 12) / c.value, 8) AS season_share
+  FROM cut c JOIN ({loess_sql('adj', 19)}) f ON f.id = c.id AND f.pos = c.pos"""))
+def stl_pass(spark, sf):
+    """One pass of the decomposition by local regression, the season the same in every cycle."""
+    parts = L.stl(lazy(spark, sf, "PS"), inner=1, outer=0).filter("trend is not null")
+    shares = [F.round(F.col(c) / F.col("value"), 8).alias(f"{c}_share") for c in ("trend", "season")]
+    return rounded(parts.select("id", "date", "value", *shares), 6, "value")
+
+
+@query("decompose_robust")
+def decompose_robust(spark, sf):
+    """Decomposition by local regression with points far off weighed down."""
+    return L.stl(lazy(spark, sf, "PS"))
+
+
 @query("anomalies", twin("pd_full", f"""SELECT id, date, round(remainder, 6) AS remainder, round(lo, 6) AS lo, round(hi, 6) AS hi,
   coalesce((remainder < lo OR remainder > hi) AND rn <= 0.2 * n, false) AS is_anomaly FROM
   (SELECT *, row_number() OVER (PARTITION BY id ORDER BY greatest(lo - remainder, remainder - hi) DESC NULLS LAST, date) AS rn,
@@ -121,8 +170,8 @@ def anomalies(spark, sf):
 _REST = f"""SELECT id, date, value, r - median(r) OVER (PARTITION BY id ORDER BY date ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS rest
   FROM (SELECT id, date, value, a - (regr_intercept(a, pos) OVER (PARTITION BY id) + regr_slope(a, pos) OVER (PARTITION BY id) * pos) AS r FROM
   (SELECT id, date, value, pos, value - median(off) OVER (PARTITION BY id, cell) AS a FROM
-   (SELECT id, date, value, row_number() OVER (PARTITION BY id ORDER BY date) AS pos, {_MONTH_CELL} AS cell,
-      value - {_TREND_12} AS off FROM ps_train)))"""
+   (SELECT id, date, value, row_number() OVER (PARTITION BY id ORDER BY date) AS pos, {MONTH_CELL} AS cell,
+      value - {TREND_12} AS off FROM ps_train)))"""
 _FLAGGED = f"""SELECT r.id, r.date, r.value AS value_raw, NOT (r.rest BETWEEN q.q1 - 3 * (q.q3 - q.q1) AND q.q3 + 3 * (q.q3 - q.q1)) AS is_cleaned,
   row_number() OVER (PARTITION BY r.id ORDER BY r.date) AS pos FROM ({_REST}) r
   JOIN (SELECT id, quantile_cont(rest, 0.25) AS q1, quantile_cont(rest, 0.75) AS q3 FROM ({_REST}) GROUP BY id) q ON q.id = r.id"""

@@ -1,6 +1,7 @@
-"""Queries: global Spark ML models, per-series models, tuning, stacking, refits.
+"""Queries: global models, per-series models, tuning, stacking, refits.
 
-Tree models run with few small trees here; the operator defaults carry the full sizes.
+Boosted models run with the depth, leaves and limits of the full ensembles but with fewer trees, and a higher
+rate to match; the operator defaults carry the full number. The README has the time of a tree.
 """
 
 from __future__ import annotations
@@ -11,20 +12,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.steps import DAY
+from panelweave.operators import arma as A
 from panelweave.operators import global_ml as G
 from panelweave.operators import per_series as U
 from panelweave.operators import ranking as R
 from panelweave.operators import scoring as S
 from panelweave.operators import splits
+from panelweave.operators import stl as L
 from panelweave.operators.baselines import baseline_forecasts, with_history
 from panelweave.plans.panels import regular
+from panelweave.plans.queries_diagnostics import MONTH_CELL, TREND_12, decompose_sql
 from panelweave.plans.queries_panel import rolling_plan
 from panelweave.plans.queries_scoring import WINDOWS, backtest_on, backtest_rows, calibrated_on, slice_long_sql, train_test
 from panelweave.plans.registry import query, rounded
 from panelweave.plans.twins import HORIZON, twin
-from panelweave.session import materialize, side_by_side
+from panelweave.session import materialize, new_path, side_by_side
 
-TREES, DEPTH = 10, 4
+TREES, RATE = 8, 0.3
+FOREST, DEPTH = 30, 12
 FEATURE_SETS = (G.lag_set(), G.calendar_set(), G.hybrid_set())
 
 
@@ -35,7 +40,7 @@ def _stored_train(spark, sf, panel: str = "PM") -> tuple[DataFrame, DataFrame]:
 
 def _on_every_feature_set(spark, sf, name: str, estimator) -> DataFrame:
     """Holdout forecasts of one kind of model on the lag, calendar and hybrid predictors."""
-    train, test = _stored_train(spark, sf)
+    train, test = _stored_train(spark, sf, "PS")
 
     def one(spec: G.FeatureSet) -> DataFrame:
         table = materialize(G.feature_table(train, spec), f"features_{spec.name}")
@@ -52,17 +57,18 @@ def fc_elastic_net(spark, sf):
 
 @query("fc_gbt")
 def fc_gbt(spark, sf):
-    return _on_every_feature_set(spark, sf, "gbt", G.gradient_boosting(TREES, 0.1, DEPTH))
+    return _on_every_feature_set(spark, sf, "gbt", G.gradient_boosting(TREES, RATE))
 
 
 @query("fc_gbt_leaf")
 def fc_gbt_leaf(spark, sf):
-    return _on_every_feature_set(spark, sf, "gbt_leaf", G.leaf_boosting(TREES, 0.1, DEPTH - 1))
+    """Leaf by leaf, best gain first."""
+    return _on_every_feature_set(spark, sf, "gbt_leaf", G.leaf_boosting(TREES, RATE))
 
 
 @query("fc_random_forest")
 def fc_random_forest(spark, sf):
-    return _on_every_feature_set(spark, sf, "random_forest", G.random_forest(TREES, 5, DEPTH))
+    return _on_every_feature_set(spark, sf, "random_forest", G.random_forest(FOREST, 5, DEPTH))
 
 
 @query("recursive_forecast")
@@ -86,7 +92,10 @@ def fc_exp_smoothing(spark, sf):
 
 @query("fc_decomp_ets")
 def fc_decomp_ets(spark, sf):
-    return _per_series(spark, sf, "decomp_smoothing")
+    """Robust decomposition by local regression; the adjusted series smoothed, the last season repeated."""
+    train, test = _stored_train(spark, sf, "PS")
+    smooth = lambda adjusted: U.ok_forecasts(U.fit_per_series(adjusted, HORIZON, ["trend_smoothing"]))
+    return S.calibrate(L.decomposed_forecast(train, HORIZON, smooth), test)
 
 
 @query("fc_harmonic")
@@ -96,20 +105,66 @@ def fc_harmonic(spark, sf):
 
 @query("fc_autoregressive")
 def fc_autoregressive(spark, sf):
-    return _per_series(spark, sf, "autoregression")
+    """Seasonal ARMA of the order that each series' normal equations speak for."""
+    train, test = _stored_train(spark, sf, "PS")
+    return S.calibrate(A.arma_forecast(A.arma_models(train), HORIZON), test)
+
+
+@query("arma_state")
+def arma_state(spark, sf):
+    """Models of all but the last year, stored, read again, advanced by it without a refit, and used ahead."""
+    train, test = _stored_train(spark, sf, "PS")
+    path = new_path(spark, "arma_models")
+    A.arma_models(train).write.parquet(path)
+    now = A.advance(spark.read.parquet(path), test)
+    return A.arma_forecast(now, HORIZON)
+
+
+@query("unit_root", twin("ps_train", """SELECT a.id, max(n.n) AS n, round(max(n.ss) / (max(n.n) * (max(n.e2) + 2 * sum((1 - k / (n.l + 1.0)) * a.p))), 8) AS statistic
+  FROM (SELECT id, count(*) AS n, floor(4 * power(count(*) / 100.0, 0.25)) AS l, sum(e * e) AS e2, sum(s * s) AS ss
+        FROM (SELECT id, e, sum(e) OVER (PARTITION BY id ORDER BY date) AS s
+              FROM (SELECT id, date, value - avg(value) OVER (PARTITION BY id) AS e FROM ps_train)) GROUP BY id) n
+  JOIN (SELECT b.id, k, sum(b.e * c.e) AS p FROM (SELECT unnest(range(1, 13)) AS k) CROSS JOIN
+        (SELECT id, row_number() OVER (PARTITION BY id ORDER BY date) AS pos, value - avg(value) OVER (PARTITION BY id) AS e FROM ps_train) b
+        JOIN (SELECT id, row_number() OVER (PARTITION BY id ORDER BY date) AS pos, value - avg(value) OVER (PARTITION BY id) AS e FROM ps_train) c
+          ON c.id = b.id AND c.pos = b.pos - k GROUP BY 1, 2) a ON a.id = n.id AND a.k <= n.l GROUP BY a.id"""))
+def unit_root(spark, sf):
+    """KPSS statistic of every series with three rows or more."""
+    train, _ = train_test(spark, sf)
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("date", "value"))), lambda p: p["value"])
+    arrays = train.groupBy("id").agg(ordered.alias("y"))
+    found = arrays.select("id", F.size("y").cast("bigint").alias("n"), A.level_statistic(F.col("y")).alias("statistic"))
+    return rounded(found.filter("n > 2"), 8, "statistic")
+
+
+@query("season_strength", twin("ps_train", f"""SELECT id, round(greatest(0, 1 - var_pop(remainder) / nullif(var_pop(season + remainder), 0)), 8) AS strength
+  FROM ({decompose_sql('ps_train', TREND_12, MONTH_CELL)}) WHERE remainder IS NOT NULL GROUP BY id"""))
+def season_strength(spark, sf):
+    return rounded(A.season_strength(train_test(spark, sf)[0]), 8, "strength")
+
+
+@query("arma_normal_equations", twin("ps_train", """SELECT id, i AS "row", j AS col, count(*) AS n, round(sum(x[i + 1] * x[j + 1]) / 1e6, 3) AS total
+  FROM (SELECT id, [1, lag(z, 1) OVER w, lag(z, 2) OVER w, lag(z, 3) OVER w, lag(z, 12) OVER w, z] AS x, lag(z, 12) OVER w AS far
+        FROM (SELECT id, date, value - lag(value, 12) OVER (PARTITION BY id ORDER BY date) AS z FROM ps_train)
+        WHERE z IS NOT NULL WINDOW w AS (PARTITION BY id ORDER BY date))
+  CROSS JOIN (SELECT unnest(range(6)) AS i) CROSS JOIN (SELECT unnest(range(6)) AS j) WHERE far IS NOT NULL GROUP BY 1, 2, 3"""))
+def arma_normal_equations(spark, sf):
+    """What the lag coefficients of the seasonally differenced series are solved from."""
+    sums = A.lag_products(train_test(spark, sf)[0], (1, 2, 3, 12), 12).filter("n > 0")
+    return sums.withColumn("total", F.round(F.col("total") / 1e6, 3))
 
 
 @query("fc_residual_boost")
 def fc_residual_boost(spark, sf):
     """Harmonic and autoregressive bases, each with its residuals boosted on the calendar."""
-    train, test = _stored_train(spark, sf)
+    train, test = _stored_train(spark, sf, "PS")
     fits = materialize(
         U.fit_per_series(train, HORIZON, ["harmonic", "autoregression"], include_fitted=True), "fits"
     )
 
     def one(name: str) -> DataFrame:
         base = fits.filter(F.col("model_id") == name)
-        return G.residual_boost(train, base, HORIZON, G.leaf_boosting(TREES, 0.1, DEPTH), f"{name}_boosted")
+        return G.residual_boost(train, base, HORIZON, G.leaf_boosting(TREES, RATE), f"{name}_boosted")
 
     parts = side_by_side(one, ("harmonic", "autoregression"))
     return S.calibrate(reduce(DataFrame.unionByName, parts), test)
