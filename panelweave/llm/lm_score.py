@@ -3,13 +3,15 @@
 Text is lower-cased (A-Z), white space becomes one space, and a closing byte ends it. A trie
 of byte contexts up to ``ORDER`` long is counted over all training documents. A symbol is
 coded in the longest context seen; where the context does not hold it, an escape is coded
-(its chance estimated from the distinct symbols, method C, and from what was pruned) and the
-next shorter context follows, with the symbols of the longer one excluded. The code length
-is the document's log10 probability.
+(its chance estimated from the distinct symbols, method C) and the next shorter context
+follows, with the symbols of the longer one excluded. The code length is the document's log10
+probability.
 
-Counts cover every training byte. For scoring, the trie keeps nodes whose share of the
-corpus is at least ``SHARE``: at most 1/SHARE per order whatever the input, so it is small
-enough to send to every task; the rest stays as mass of the escapes.
+The trie is a table of all its nodes; nothing is pruned, so what is learned grows with the text. The
+chance of a symbol depends on it and its context alone: each distinct gram (a symbol with ``ORDER`` bytes of
+context) is worked out once. A gram seen in training is answered by its own node; grams that only held-out
+texts have climb down the orders by joins, a round each. The ``MOST`` most frequent grams
+at most travel to every task with their chances; a document's other grams are joined and added up.
 
 The base score needs the count of every word. Words with at least ``WORD_SHARE`` of all
 tokens, at most 1/WORD_SHARE of them, are looked up in the task; the others are joined.
@@ -27,14 +29,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import held, quoted
+from panelweave.llm.common import held, join_spread, quoted
 from panelweave.session import materialize
 
 ORDER = 5  # bytes of context
-SHARE = 2.0**-22
+MOST = 1 << 20  # grams that every task is sent; the others are joined
 WORD_SHARE = 2.0**-20
 EDGE = 10  # the byte before and after a text; never inside one
 CHUNK = 2_000_000  # positions sorted at a time
@@ -154,79 +156,87 @@ def count_corpus(train: DataFrame) -> DataFrame:
     return materialize(found.groupBy("kind", "gram", "word").agg(F.sum("n").alias("n")).filter("n > 0"), "lm_counts")
 
 
-class Trie:
-    """Static context trie in sorted arrays, with every chance worked out beforehand."""
-
-    def __init__(self, table: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.grams, self.log_n, self.contexts = [], [], []
-        self.alone, self.alone_escape = [], []  # log denominators and escapes where a context is entered first
-        self.after, self.after_escape = [], []  # by context one longer, with its symbols excluded
-        total, kept, distinct, starts = [], [], [], []
-        for k in range(ORDER + 1):
-            gram, n = table.get(k, (np.empty(0, np.uint64), np.empty(0, np.int64)))
-            order = np.argsort(gram)
-            gram, n = gram[order], n[order].astype(np.float64)
-            context = gram >> np.uint64(8)
-            at = np.nonzero(np.concatenate([[True], context[1:] != context[:-1]]))[0] if len(gram) else np.empty(0, np.int64)
-            nodes = context[at]
-            own = np.add.reduceat(n, at) if len(gram) else np.empty(0)
-            full = own
-            if k and len(nodes):  # occurrences of the context as a string; what was pruned is the difference
-                place, hit = find(self.grams[k - 1], nodes)
-                full = np.where(hit, np.maximum(own, np.exp(self.log_n[k - 1][place])), own)
-            size = np.diff(at, append=len(gram)).astype(np.float64)
-            self.grams.append(gram)
-            self.log_n.append(np.log(n))
-            self.contexts.append(nodes)
-            total.append(full), kept.append(own), distinct.append(size), starts.append(at)
-            den, esc = self._chance(own, full - own, size)
-            self.alone.append(den), self.alone_escape.append(esc)
-            if k == 0 or not len(nodes):
-                self.after.append(np.empty(0)), self.after_escape.append(np.empty(0))
-                continue
+def _low(gram: Column, size: int) -> Column:
+    """The last ``size`` bytes of a gram."""
+    return gram.bitwiseAND(F.lit((1 << (8 * size)) - 1))
+
+
+def contexts(counts: DataFrame) -> list[DataFrame]:
+    """Per order k the table ``context, den, escape, next_den, next_escape`` of natural logs.
+
+    ``den`` and ``escape`` hold where a text enters the trie in this context; ``next_*`` are those of
+    the context one shorter once the symbols of this one are excluded.
+    """
+    tables = []
+    for k in range(ORDER + 1):
+        own = counts.filter(F.col("kind") == k).select("gram", "n", F.shiftright("gram", 8).alias("context"))
+        if k:
             # The same symbols one order lower: their counts there are what exclusion takes away.
-            low, _ = find(self.grams[k - 1], gram & np.uint64((1 << (8 * k)) - 1))
-            gone = np.add.reduceat(np.exp(self.log_n[k - 1][low]), at)
-            node, _ = find(self.contexts[k - 1], nodes & np.uint64((1 << (8 * (k - 1))) - 1))
-            rest = np.maximum(0, np.rint(kept[k - 1][node] - gone))
-            unseen = total[k - 1][node] - kept[k - 1][node]
-            den, esc = self._chance(rest, unseen, distinct[k - 1][node] - size)
-            self.after.append(den), self.after_escape.append(esc)
-        for part in (self.log_n, self.alone, self.alone_escape, self.after, self.after_escape):
-            part[:] = [a.astype(np.float32) for a in part]
-        left = 256 - (distinct[0][0] if len(distinct[0]) else 0)
-        self.floor = -np.log(max(1, left))
-
-    @staticmethod
-    def _chance(kept: np.ndarray, unseen: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        den = kept + unseen + distinct
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(distinct > 0, np.log((unseen + distinct) / den), 0.0)
-            return np.log(den), escape
-
-    def log_chance(self, full: np.ndarray) -> np.ndarray:
-        """Natural log chance of the last byte of each gram after the others."""
-        out = np.zeros(len(full))
-        open_ = np.arange(len(full))
-        before = np.full(len(full), -1)
-        for k in range(ORDER, -1, -1):
-            gram = full[open_] & np.uint64((1 << (8 * (k + 1))) - 1)
-            node, known = find(self.contexts[k], gram >> np.uint64(8))
-            place, hit = find(self.grams[k], gram)
-            up = before[open_]
-            entered = up < 0
-            if k < ORDER and len(self.after[k + 1]):
-                den = np.where(entered, pick(self.alone[k], node), pick(self.after[k + 1], up))
-                esc = np.where(entered, pick(self.alone_escape[k], node), pick(self.after_escape[k + 1], up))
-            else:
-                den, esc = pick(self.alone[k], node), pick(self.alone_escape[k], node)
-            out[open_[hit]] += self.log_n[k][place[hit]] - den[hit]
-            missed = known & ~hit
-            out[open_[missed]] += esc[missed]
-            before[open_] = np.where(known, node, -1)
-            open_ = open_[~hit]
-        out[open_] += self.floor
-        return out
+            shorter = counts.filter(F.col("kind") == k - 1).select(F.col("gram").alias("low"), F.col("n").alias("low_n"))
+            own = own.withColumn("low", _low(F.col("gram"), k)).join(shorter, "low")
+        sums = [F.sum("n").alias("total"), F.count("*").alias("distinct")]
+        table = own.groupBy("context").agg(*sums, *([F.sum("low_n").alias("gone")] if k else []))
+        table = table.withColumns({"den": F.log(F.col("total") + F.col("distinct")), "escape": F.log(F.col("distinct") / (F.col("total") + F.col("distinct")))})
+        if k:
+            above = tables[-1].select(F.col("context").alias("suffix"), F.col("total").alias("t"), F.col("distinct").alias("d"))
+            table = table.withColumn("suffix", _low(F.col("context"), k - 1)).join(above, "suffix")
+            left = F.col("d") - F.col("distinct")
+            rest = F.col("t") - F.col("gone") + left
+            table = table.withColumns({"next_den": F.when(rest > 0, F.log(rest)), "next_escape": F.when(left > 0, F.log(left / rest)).otherwise(F.lit(0.0))})
+        else:
+            table = table.withColumns({"next_den": F.lit(None).cast("double"), "next_escape": F.lit(None).cast("double")})
+        tables.append(materialize(table.select("context", "total", "distinct", "den", "escape", "next_den", "next_escape"), f"lm_contexts_{k}"))
+    return tables
+
+
+def known_chances(counts: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """``gram, n, log_chance`` of every gram of full length seen in training."""
+    own = counts.filter(F.col("kind") == ORDER).select("gram", "n", F.shiftright("gram", 8).alias("context"))
+    return own.join(tables[ORDER].select("context", "den"), "context").select("gram", "n", (F.log("n") - F.col("den")).alias("log_chance"))
+
+
+def unseen_chances(wanted: DataFrame, counts: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """``gram, log_chance`` of grams of full length that training does not have.
+
+    A round per order: the context and the gram are looked up; contexts of up to two bytes, and grams of
+    two, are so few that they are sent along.
+    """
+    none = F.lit(None).cast("double")
+    open_ = wanted.select("gram", F.lit(0.0).alias("log_chance"), F.lit(False).alias("entered"), none.alias("next_den"), none.alias("next_escape"), F.lit(False).alias("done"))
+    for k in range(ORDER, -1, -1):
+        few = (lambda t, size: F.broadcast(t) if size <= 2 else t)
+        table = tables[k].select("context", "den", "escape", F.col("next_den").alias("after_den"), F.col("next_escape").alias("after_escape"), F.lit(True).alias("known"))
+        gram = _low(F.col("gram"), k + 1)
+        rows = open_.withColumn("context", F.shiftright(gram, 8)).join(few(table, k), "context", "left")
+        if k < ORDER:
+            own = counts.filter(F.col("kind") == k).select(F.col("gram").alias("node"), "n")
+            rows = rows.withColumn("node", gram).join(few(own, k + 1), "node", "left")
+        else:
+            rows = rows.withColumn("n", F.lit(None).cast("bigint"))
+        den = F.when(F.col("entered"), F.col("next_den")).otherwise(F.col("den"))
+        escape = F.when(F.col("entered"), F.col("next_escape")).otherwise(F.col("escape"))
+        known = F.col("known").isNotNull()
+        step = F.when(F.col("n").isNotNull(), F.log("n") - den).when(known, escape).otherwise(F.lit(0.0))
+        rows = rows.select(
+            "gram",
+            F.when(F.col("done"), F.col("log_chance")).otherwise(F.col("log_chance") + step).alias("log_chance"),
+            (F.col("entered") | known).alias("entered"),
+            F.col("after_den").alias("next_den"),
+            F.col("after_escape").alias("next_escape"),
+            (F.col("done") | F.col("n").isNotNull()).alias("done"),
+        )
+        open_ = materialize(rows, f"lm_unseen_{k}")
+    symbols = tables[0].agg(F.max("distinct")).first()[0] or 0
+    floor = -float(np.log(max(1, 256 - symbols)))
+    return open_.select("gram", F.when(F.col("done"), F.col("log_chance")).otherwise(F.col("log_chance") + floor).alias("log_chance"))
+
+
+class Frequent:
+    """Grams that a task can answer itself, in sorted arrays."""
+
+    def __init__(self, gram: np.ndarray, log_chance: np.ndarray):
+        order = np.argsort(gram)
+        self.gram, self.log_chance = gram[order], log_chance[order]
 
 
 def find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,20 +249,38 @@ def find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.where(hit, at, 0), hit
 
 
-def pick(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return values[at] if len(values) else np.zeros(len(at))
-
-
-def text_scores(trie: Trie, texts: list[bytes]) -> np.ndarray:
-    """log10 probability of each spelled text."""
+def text_scores(known: Frequent, texts: list[bytes]) -> tuple[np.ndarray, list, list]:
+    """Natural log probability of what is known of each text, and its other grams with how often they occur."""
     out = np.zeros(len(texts))
+    other: list[list[np.ndarray]] = [[] for _ in texts]
+    times_of: list[list[np.ndarray]] = [[] for _ in texts]
     for keys, first, size in grams(texts):
         pairs, times = runs(keys)
-        gram, start = pairs >> np.uint64(DOC_BITS), pairs & np.uint64((1 << DOC_BITS) - 1)
-        distinct, each = runs(gram)
-        logs = np.repeat(trie.log_chance(distinct), each) * times
-        out[first : first + size] += np.bincount(start.astype(np.int64), logs, size)
-    return out / np.log(10)
+        gram, owner = (pairs >> np.uint64(DOC_BITS)).view(np.int64), (pairs & np.uint64((1 << DOC_BITS) - 1)).astype(np.int64)
+        place, hit = find(known.gram, gram)
+        if hit.any():
+            out[first : first + size] += np.bincount(owner[hit], known.log_chance[place[hit]] * times[hit], size)
+        missed = np.nonzero(~hit)[0]
+        missed = missed[np.argsort(owner[missed], kind="stable")]
+        at = np.searchsorted(owner[missed], np.arange(size + 1))
+        for i in np.nonzero(np.diff(at))[0]:
+            own = missed[at[i] : at[i + 1]]
+            other[first + i].append(gram[own])
+            times_of[first + i].append(times[own])
+    joined = lambda parts: [np.concatenate(p) if p else np.empty(0, np.int64) for p in parts]
+    return out, joined(other), joined(times_of)
+
+
+def most_frequent(known: DataFrame, most: int) -> Frequent:
+    """The grams of the highest counts, whole powers of two at a time, ``most`` at most."""
+    sizes = known.groupBy((F.length(F.bin("n")) - 1).alias("power")).count().collect()
+    room, least = most, 64
+    for r in sorted(sizes, key=lambda r: -r["power"]):
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["power"]
+    table = known.filter(F.col("n") >= F.lit(1 << least if least < 63 else (1 << 63) - 1)).select("gram", "log_chance").toArrow()
+    return Frequent(table.column("gram").to_numpy(), table.column("log_chance").to_numpy())
 
 
 def lm_score(
@@ -261,7 +289,7 @@ def lm_score(
     doc_id: str = "doc_id",
     parts: int = 7,
     part: int = 2,
-    share: float = SHARE,
+    most: int = MOST,
     word_share: float = WORD_SHARE,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per document."""
@@ -273,22 +301,19 @@ def lm_score(
     sums = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == "", F.col("n")))).first()
     n_train, n_distinct, n_ends = (int(x or 0) for x in sums)
 
-    def bounded(df: DataFrame, least: float) -> pd.DataFrame:
-        return df.filter(F.col("n") >= F.lit(float(least))).toPandas()
-
-    positions = counts.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
-    kept = bounded(counts.filter("kind >= 0").select("kind", "gram", "n"), share * positions)
-    table = {int(k): (g.gram.to_numpy().astype(np.uint64), g.n.to_numpy()) for k, g in kept.groupby("kind")}
-    frequent = bounded(words.filter("word <> ''").select("word", "n"), word_share * n_train)
-    del kept
-    trie = spark.sparkContext.broadcast(Trie(table))
-    del table
+    tables = contexts(counts)
+    known = materialize(known_chances(counts, tables), "lm_known")
+    answered = spark.sparkContext.broadcast(most_frequent(known, most))
+    frequent = words.filter((F.col("word") != "") & (F.col("n") >= F.lit(word_share * n_train))).select("word", "n").toPandas()
     common = spark.sparkContext.broadcast(dict(zip((w.encode() for w in frequent.word), np.log10(frequent.n.to_numpy() + 1.0).tolist())))
     end_log = float(np.log10(n_ends + 1))
-    schema = "uid long, doc_id string, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>, rare_n array<int>"
+    schema = (
+        "uid long, doc_id string, held_out boolean, n_tokens long, n_known long, base double, score double, "
+        "rare array<string>, rare_n array<int>, grams array<long>, grams_n array<long>"
+    )
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        logs, model = common.value, trie.value
+        logs, model = common.value, answered.value
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = [spelled(t) for t in batch["text"]]
@@ -304,9 +329,10 @@ def lm_score(
                 base.append(sum(a * n for a, n in sure) + end_log)
                 rare.append([w.decode("utf-8", "replace") for w in other])
                 rare_n.append(list(seldom.values()))
+            found, other, times = text_scores(model, texts)
             yield pd.DataFrame(
                 {"uid": np.arange(uid, uid + len(texts)), "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": tokens,
-                 "n_known": known, "base": base, "score": text_scores(model, texts), "rare": rare, "rare_n": rare_n}
+                 "n_known": known, "base": base, "score": found, "rare": rare, "rare_n": rare_n, "grams": other, "grams_n": times}
             )
             uid += len(texts)
 
@@ -318,13 +344,27 @@ def lm_score(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("rest"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("rest_known"),
     )
+    climbed = _other_grams(scored, known, counts, tables)
     total = float(np.log10(n_train + n_distinct + 1))
-    return scored.drop("rare", "rare_n").join(rest, "uid", "left").select(
+    both = scored.drop("rare", "rare_n", "grams", "grams_n").join(rest, "uid", "left").join(climbed, "uid", "left")
+    return both.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("rest_known", F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(n_train).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0)) - F.col("n_tokens") * F.lit(total)).alias("base_score"),
-        "score",
+        ((F.col("score") + F.coalesce("climbed", F.lit(0.0))) / F.lit(float(np.log(10)))).alias("score"),
     )
+
+
+def _other_grams(scored: DataFrame, known: DataFrame, counts: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """``uid, climbed``: the log chances of the grams that the tasks could not answer, added up per document."""
+    seldom = scored.select("uid", F.explode(F.arrays_zip("grams", "grams_n")).alias("g")).select("uid", F.col("g.grams").alias("gram"), F.col("g.grams_n").alias("times"))
+    wanted = seldom.groupBy("gram").agg(F.count("*").alias("weight")).join(known.select("gram", "log_chance"), "gram", "left")
+    wanted = materialize(wanted, "lm_wanted")
+    unseen = unseen_chances(wanted.filter("log_chance is null"), counts, tables)
+    unseen = unseen.join(wanted.select("gram", "weight"), "gram").select("gram", "weight", "log_chance")
+    chances = materialize(wanted.filter("log_chance is not null").select("gram", "weight", "log_chance").unionByName(unseen), "lm_chances")
+    joined = join_spread(seldom, chances, ["gram"], "weight")
+    return joined.groupBy("uid").agg(F.sum(F.col("times") * F.col("log_chance")).alias("climbed"))

@@ -211,35 +211,84 @@ def test_language_id_against_brute_force(spark, docs, rows):
     assert got == want
 
 
-def test_language_model(docs, rows, none):
-    got = lm_score.lm_score(docs, share=0.0).collect()
+def learned(texts: list[bytes]) -> dict:
+    """Context (0 to ORDER bytes) to symbol counts."""
+    counts: dict = defaultdict(Counter)
+    for t in texts:
+        whole = bytes([lm_score.EDGE]) * lm_score.ORDER + t + bytes([lm_score.EDGE])
+        for at in range(lm_score.ORDER, len(whole)):
+            for k in range(lm_score.ORDER + 1):
+                counts[whole[at - k : at]][whole[at]] += 1
+    return counts
+
+
+def partial_matching(counts: dict, text: bytes) -> float:
+    """log10 probability, symbol by symbol, with the exclusions spelled out."""
+    whole = bytes([lm_score.EDGE]) * lm_score.ORDER + text + bytes([lm_score.EDGE])
+    out, memo = 0.0, {}
+    for at in range(lm_score.ORDER, len(whole)):
+        gram = whole[at - lm_score.ORDER : at + 1]
+        if gram not in memo:
+            log, gone = 0.0, set()
+            for k in range(lm_score.ORDER, -1, -1):
+                seen = counts.get(gram[lm_score.ORDER - k : lm_score.ORDER], {})
+                open_ = {s: n for s, n in seen.items() if s not in gone}
+                if gram[-1] in open_:
+                    log += np.log10(open_[gram[-1]] / (sum(open_.values()) + len(open_)))
+                    break
+                if open_:
+                    log += np.log10(len(open_) / (sum(open_.values()) + len(open_)))
+                gone |= set(seen)
+            else:
+                log -= np.log10(max(1, 256 - len(counts.get(b"", {}))))
+            memo[gram] = log
+        out += memo[gram]
+    return out
+
+
+@pytest.mark.parametrize("settings", [{}, {"most": 0, "word_share": 1.0}, {"most": 200}])
+def test_language_model(docs, rows, none, settings):
+    got = lm_score.lm_score(docs, **settings).collect()
     words = lambda t: [w.lower() for w in WORD.findall(t or "")]
     train = [r for r in rows if zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 7 != 2]
+    assert len(train) < len(rows)
     counts = Counter(w for r in train for w in words(r[1]))
     counts[""] = len(train)
     n, v = sum(counts.values()), len(counts)
+    model = learned([lm_score.spelled(r[1]) for r in train])
     want = Counter()
     for r in rows:
         own = [*words(r[1]), ""]
         base = sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in own)
-        want[(r[0], len(own), sum(counts[w] > 0 for w in own), n, round(base, 4))] += 1
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    assert all(r.score < 0 for r in got) and lm_score.lm_score(none).count() == 0
-
-
-def test_trie_chances_add_up():
-    grams = [lm_score.spelled("the cat sat on the mat. the hat.")]
-    keys, n = lm_score.runs(next(lm_score.grams(grams))[0] >> np.uint64(lm_score.DOC_BITS))
-    table = {}
-    for k in range(lm_score.ORDER, -1, -1):
-        table[k] = (keys, n)
-        low = keys & np.uint64((1 << (8 * k)) - 1)
-        order = np.argsort(low, kind="stable")
-        keys, n = lm_score.runs(low[order], n[order])
-    trie = lm_score.Trie(table)
+        score = partial_matching(model, lm_score.spelled(r[1]))
+        want[(r[0], len(own), sum(counts[w] > 0 for w in own), n, round(base, 4), round(score, 4))] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in got) == want
+    assert lm_score.lm_score(none).count() == 0
+
+
+def test_language_model_of_unseen_text(spark):
+    """Held-out texts with contexts and symbols that training lacks; and nothing to learn from."""
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, "the cat sat on the mat") for i in range(200) if i not in held] + [(held[0], "the mat sat"), (held[1], "Zürich 日本!"), (held[2], None)]
+    got = {r.doc_id: r.score for r in lm_score.lm_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    model = learned([lm_score.spelled(t) for i, t in rows if i not in held])
+    for i in held[:3]:
+        assert abs(got[i] - partial_matching(model, lm_score.spelled(dict(rows)[i]))) < 1e-9
+    alone = lm_score.lm_score(spark.createDataFrame([(held[0], "ab")], "doc_id long, text string")).first()
+    assert abs(alone.score + 3 * np.log10(256)) < 1e-9
+
+
+def test_chances_add_up(spark):
+    train = spark.createDataFrame([("the cat sat on the mat. the hat.",)], "text string")
+    counts = lm_score.count_corpus(train)
+    tables = lm_score.contexts(counts)
+    known = {r.gram: r.log_chance for r in lm_score.known_chances(counts, tables).collect()}
     for context in (b"the h", b"zzthe", b"zzzzz"):
-        every = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
-        assert abs(np.exp(trie.log_chance(every)).sum() - 1) < 1e-5
+        every = [int.from_bytes(context + bytes([b]), "big") for b in range(256)]
+        wanted = spark.createDataFrame([(g,) for g in every if g not in known], "gram long")
+        rest = {r.gram: r.log_chance for r in lm_score.unseen_chances(wanted, counts, tables).collect()}
+        assert len(rest) + sum(g in known for g in every) == 256
+        assert abs(sum(np.exp(rest.get(g, known.get(g))) for g in every) - 1) < 1e-9
 
 
 def test_nearest_neighbours(spark):
