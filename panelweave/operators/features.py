@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.operators.panel import by_time
+from panelweave.session import materialize
 
 HORIZON = 24
 ROLL_SOURCE_LAG = 12
@@ -82,6 +83,29 @@ def one_hot(df: DataFrame, column: str, levels: Sequence[str]) -> DataFrame:
     return df.withColumns(flags)
 
 
+def level_index(df: DataFrame, column: str) -> DataFrame:
+    """``(column, level)``: every value with its place in order, from 0, however many there are.
+
+    Values are sorted in ranges; a range numbers its own and is told how many lie before it. Null is no level.
+    """
+    values = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    lined = values.repartitionByRange(column).sortWithinPartitions(column)
+    lined = materialize(lined.select(column, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_line")), "levels")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    parts = lined.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_line").alias("_first"))
+    parts = parts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    return lined.join(F.broadcast(parts), "_part").select(column, (F.col("_ahead") + F.col("_line") - F.col("_first")).alias("level"))
+
+
+def one_hot_sparse(df: DataFrame, column: str, levels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The non-zero cells of the 0/1 columns, ``(keys, level, cell)``; ``levels`` is the :func:`level_index` of training.
+
+    An unseen value and null have no cell. The levels have one row per value; the planner sends them along where
+    they are small and splits a value that many rows share where they are not.
+    """
+    return df.select(*keys, column).join(levels, column).select(*keys, "level", F.lit(1).cast("bigint").alias("cell"))
+
+
 def normalize(df: DataFrame, columns: Sequence[str], train: DataFrame) -> DataFrame:
     """Centre and scale with the mean and sample deviation of ``train``; a constant column becomes null.
 

@@ -527,14 +527,33 @@ def wide_members(forecasts: DataFrame, models: Sequence[str], keys: Sequence[str
     return complete.withColumn("features", array_to_vector(F.array(*[F.col(f"`{m}`") for m in models])))
 
 
+def time_folds(rows: DataFrame, blocks: int = STACK_FOLDS) -> DataFrame:
+    """Adds ``fold`` (from 0): the slice of a row, or its block of consecutive dates where all rows are of one slice.
+
+    Rows of one date never lie in two folds of the same slice. The slices and dates collected are bounded by the calendar.
+    """
+    slices = sorted(r["slice_id"] for r in rows.select("slice_id").distinct().collect())
+    if len(slices) > 1:
+        return rows.withColumn("fold", F.array_position(F.array(*map(F.lit, slices)), F.col("slice_id")).cast("int") - 1)
+    dates = sorted(r["date"] for r in rows.select("date").distinct().collect())
+    blocks = max(2, min(blocks, len(dates)))
+    starts = [dates[len(dates) * i // blocks] for i in range(1, blocks)]
+    return rows.withColumn("fold", sum((F.col("date") >= F.lit(d)).cast("int") for d in starts))
+
+
 def fit_stack(out_of_sample: DataFrame, models: Sequence[str], folds: int = STACK_FOLDS):
-    """Elastic-net meta model on out-of-sample member predictions ``(slice_id, id, date, model_id, prediction, actual)``."""
-    rows = wide_members(out_of_sample, models, ["slice_id", "id", "date", "actual"]).select("features", F.col("actual").alias("value"))
+    """Elastic-net meta model on out-of-sample member predictions ``(slice_id, id, date, model_id, prediction, actual)``.
+
+    Its penalty is chosen by leaving out one block of time after another, so no row is judged by a fit that saw its slice.
+    """
+    wide = wide_members(out_of_sample, models, ["slice_id", "id", "date", "actual"])
+    rows = materialize(time_folds(wide, folds).select("features", F.col("actual").alias("value"), "fold"), "stack_rows")
+    n_folds = (rows.agg(F.max("fold")).first()[0] or 0) + 1
     base = LinearRegression(featuresCol="features", labelCol="value")
     grid = ParamGridBuilder().addGrid(base.regParam, STACK_GRID[0]).addGrid(base.elasticNetParam, STACK_GRID[1]).build()
     judge = RegressionEvaluator(labelCol="value", metricName="rmse")
-    tuner = CrossValidator(estimator=base, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=SEED, parallelism=4)
-    return tuner.fit(materialize(rows, "stack_rows")).bestModel
+    tuner = CrossValidator(estimator=base, estimatorParamMaps=grid, evaluator=judge, numFolds=n_folds, foldCol="fold", parallelism=4)
+    return tuner.fit(rows).bestModel
 
 
 def stacked_forecast(meta, forecasts: DataFrame, models: Sequence[str], model_id: str = "ensemble_stacked") -> DataFrame:

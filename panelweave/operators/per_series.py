@@ -151,6 +151,52 @@ def fit_harmonic(y: np.ndarray, h: int, m: int) -> Fit:
     return Fit(line[: len(y)], line[len(y) :], f"K={k}", " ".join(f"{c:.6g}" for c in coef))
 
 
+def segment_costs(y: np.ndarray) -> np.ndarray:
+    """Squared error of a straight line through rows i to j - 1, for all i < j, from prefix sums."""
+    n = len(y)
+    t = np.arange(n) - (n - 1) / 2
+    sums = [np.concatenate([[0.0], np.cumsum(v)]) for v in (np.ones(n), t, y, t * t, t * y, y * y)]
+    c, st, sy, stt, sty, syy = (s[None, :] - s[:, None] for s in sums)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        vt, vy, cov = stt - st * st / c, syy - sy * sy / c, sty - st * sy / c
+        return np.maximum(vy - np.where(vt > 1e-9, cov * cov / vt, 0.0), 0.0)
+
+
+def change_points(y: np.ndarray, least: int, penalty: float) -> list[int]:
+    """First rows of the later segments of the cheapest cut into straight lines: dynamic programming over the last cut."""
+    n, cost = len(y), segment_costs(y)
+    best, last = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+    best[0] = -penalty
+    for j in range(least, n + 1):
+        starts = np.arange(0, j - least + 1)
+        total = best[starts] + cost[starts, j] + penalty
+        last[j] = starts[np.argmin(total)]
+        best[j] = total.min()
+    cuts, j = [], n
+    while last[j] > 0:
+        j = last[j]
+        cuts.append(int(j))
+    return cuts[::-1]
+
+
+def fit_piecewise(y: np.ndarray, h: int, m: int) -> Fit:
+    """A line that bends where the series does, with sine and cosine pairs; the last slope goes on."""
+    n = len(y)
+    adjusted = y - seasonal_means(y, m)[np.arange(n) % m] if n >= 2 * m else y
+    least = max(6, m // 2)
+    steps = np.diff(adjusted)
+    noise = np.median(np.abs(steps - np.median(steps))) / 0.6745 / np.sqrt(2) if n > 2 else 0.0
+    cuts = change_points(adjusted, least, max(4 * noise**2 * np.log(n), 1e-12)) if n >= 2 * least else []
+    t = np.arange(n + h)
+    k = min(HARMONICS, m // 2, max(0, (n - 3 - len(cuts)) // 2))
+    waves = [f(2 * np.pi * j * t / m) for j in range(1, k + 1) for f in (np.sin, np.cos)]
+    bends = [np.maximum(t - c, 0) / n for c in cuts]
+    x = np.column_stack([np.ones_like(t, dtype=float), t / n, *bends, *waves])
+    coef, *_ = np.linalg.lstsq(x[:n], y, rcond=None)
+    line = x @ coef
+    return Fit(line[:n], line[n:], f"bends={len(cuts)},K={k}", " ".join(map(str, cuts)))
+
+
 def fit_autoregression(y: np.ndarray, h: int, m: int) -> Fit:
     """AR(p) with intercept on the seasonally (else once) differenced series; p by corrected AIC."""
     d = m if len(y) >= 3 * m else 1
@@ -199,6 +245,7 @@ CANDIDATES: dict[str, Callable[[np.ndarray, int, int], Fit]] = {
     "trend_smoothing": fit_trend_smoothing,
     "decomp_smoothing": fit_decomp_smoothing,
     "harmonic": fit_harmonic,
+    "piecewise": fit_piecewise,
     "autoregression": fit_autoregression,
 }
 LOCAL_CANDIDATES = ("seasonal_naive", "exp_smoothing", "autoregression")

@@ -117,6 +117,17 @@ def calendar_signature(spark, sf):
     return with_calendar(user_day(spark, sf)).select("id", "date", "value", *CALENDAR_NUMERIC, *CALENDAR_LABELS)
 
 
+@query(
+    "one_hot_sparse",
+    """SELECT l_orderkey, l_linenumber, level, 1::BIGINT AS cell FROM lineitem
+  JOIN (SELECT l_suppkey, row_number() OVER (ORDER BY l_suppkey) - 1 AS level FROM (SELECT DISTINCT l_suppkey FROM lineitem)) USING (l_suppkey)""",
+)
+def one_hot_sparse(spark, sf):
+    """Suppliers as indicator cells: as many levels as there are suppliers."""
+    lines = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return X.one_hot_sparse(lines, "l_suppkey", X.level_index(lines, "l_suppkey"), ["l_orderkey", "l_linenumber"])
+
+
 @query(
     "one_hot",
     "SELECT event_id, event_type, "

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.steps import DAY
 from panelweave.operators import arma as A
+from panelweave.operators import ensembles as E
 from panelweave.operators import global_ml as G
 from panelweave.operators import per_series as U
 from panelweave.operators import ranking as R
@@ -20,6 +21,7 @@ from panelweave.operators import scoring as S
 from panelweave.operators import splits
 from panelweave.operators import stl as L
 from panelweave.operators.baselines import baseline_forecasts, with_history
+from panelweave.plans.benchmark import replay
 from panelweave.plans.panels import regular
 from panelweave.plans.queries_diagnostics import MONTH_CELL, TREND_12, decompose_sql
 from panelweave.plans.queries_panel import rolling_plan
@@ -156,17 +158,17 @@ def arma_normal_equations(spark, sf):
 
 @query("fc_residual_boost")
 def fc_residual_boost(spark, sf):
-    """Harmonic and autoregressive bases, each with its residuals boosted on the calendar."""
+    """A bending line with a season, and an autoregression, each with its residuals boosted on the calendar."""
     train, test = _stored_train(spark, sf, "PS")
     fits = materialize(
-        U.fit_per_series(train, HORIZON, ["harmonic", "autoregression"], include_fitted=True), "fits"
+        U.fit_per_series(train, HORIZON, ["piecewise", "autoregression"], include_fitted=True), "fits"
     )
 
     def one(name: str) -> DataFrame:
         base = fits.filter(F.col("model_id") == name)
         return G.residual_boost(train, base, HORIZON, G.leaf_boosting(TREES, RATE), f"{name}_boosted")
 
-    parts = side_by_side(one, ("harmonic", "autoregression"))
+    parts = side_by_side(one, ("piecewise", "autoregression"))
     return S.calibrate(reduce(DataFrame.unionByName, parts), test)
 
 
@@ -250,12 +252,26 @@ def finalize_and_fit(spark, sf):
     return S.calibrate(G.direct_forecast(model, train, HORIZON), test)
 
 
-STACKED = ("rolling_mean_6", "rolling_mean_12", "seasonal_naive_12")
+def stack_book() -> dict:
+    """The forecasters a stack may choose from, each fitted from training rows alone."""
+
+    def lagged(train: DataFrame) -> DataFrame:
+        spec = G.lag_set()
+        table = materialize(G.feature_table(train, spec), "stack_features")
+        return G.recursive_forecast(G.fit_global(table, spec, G.elastic_net(), "elastic_net_lag"), train, HORIZON)
+
+    names = ("rolling_mean_6", "rolling_mean_12", "seasonal_naive_12")
+    one = lambda name: lambda train: baseline_forecasts(train, HORIZON).filter(F.col("model_id") == name)
+    return {name: one(name) for name in names} | {"elastic_net_lag": lagged}
 
 
 @query("ensemble_stacked")
 def ensemble_stacked(spark, sf):
-    """Meta model on the slices' out-of-sample rows, applied to the members' holdout forecasts."""
+    """The three best members on the holdout, refitted on every slice; their meta model over their holdout forecasts."""
     train, test = _stored_train(spark, sf, "PS")
-    meta = G.fit_stack(backtest_on(train), STACKED)
-    return S.calibrate(G.stacked_forecast(meta, baseline_forecasts(train, HORIZON), STACKED), test)
+    book = stack_book()
+    ahead = materialize(reduce(DataFrame.unionByName, side_by_side(lambda name: book[name](train).select("id", "model_id", "step", "date", "prediction"), book)), "members")
+    board = S.accuracy_pooled(S.calibrate(ahead, test))
+    chosen = sorted(r["model_id"] for r in E.stack_base(board, desc="model_id").select("model_id").collect())
+    replayed = materialize(replay(train, rolling_plan(train), chosen, book), "stack_slices")
+    return S.calibrate(G.stacked_forecast(G.fit_stack(replayed, chosen), ahead, chosen), test)

@@ -252,6 +252,35 @@ def test_published_tuning_table_selects_depth_3(spark):
     assert best["tree_depth"] == 3 and best["learn_rate"] == pytest.approx(0.316228, abs=1e-6)
 
 
+def test_change_points_are_found():
+    draw = np.random.default_rng(2)
+    t = np.arange(120)
+    line = 5 + 0.5 * t - 1.2 * np.maximum(t - 40, 0) + 1.6 * np.maximum(t - 85, 0)
+    y = line + 3 * np.sin(2 * np.pi * t / 12) + 0.4 * draw.normal(size=120)
+    fit = U.fit_piecewise(y, 24, 12)
+    cuts = list(map(int, fit.params.split()))
+    assert len(cuts) == 2 and abs(cuts[0] - 40) <= 3 and abs(cuts[1] - 85) <= 3
+    ahead = np.arange(120, 144)
+    truth = 5 + 0.5 * ahead - 1.2 * (ahead - 40) + 1.6 * (ahead - 85) + 3 * np.sin(2 * np.pi * ahead / 12)
+    assert np.abs(fit.path - truth).max() < 4 < np.abs(U.fit_harmonic(y, 24, 12).path - truth).max()
+    cost = U.segment_costs(y)
+    for i, j in ((0, 30), (17, 23), (50, 52), (0, 120)):
+        own = np.polyfit(t[i:j], y[i:j], 1)
+        assert abs(cost[i, j] - ((y[i:j] - np.polyval(own, t[i:j])) ** 2).sum()) < 1e-6
+    for n in (1, 2, 5, 13, 24):
+        short = U.fit_piecewise(y[:n], 3, 12)
+        assert len(short.path) == 3 and np.isfinite(short.path).all()
+
+
+def test_time_folds_keep_a_slice_together(spark):
+    rows = [(s, month(6 * s + t), f"s{i}") for s in (2, 5, 9) for t in range(12) for i in range(3)]
+    table = spark.createDataFrame(rows, "slice_id bigint, date date, id string")
+    found = G.time_folds(table).groupBy("slice_id").agg(F.min("fold").alias("a"), F.max("fold").alias("b")).collect()
+    assert {r.slice_id: (r.a, r.b) for r in found} == {2: (0, 0), 5: (1, 1), 9: (2, 2)}
+    one = G.time_folds(table.filter("slice_id = 2"), 4).groupBy("date").agg(F.min("fold").alias("a"), F.max("fold").alias("b")).orderBy("date").collect()
+    assert [r.a for r in one] == [r.b for r in one] == [i // 3 for i in range(12)]
+
+
 def test_stack_learns_the_better_member(spark):
     rng = np.random.default_rng(9)
     rows = []

@@ -122,3 +122,14 @@ def test_nest_and_split(make_panel):
 
 def test_panel_tail(make_panel, values_of):
     assert values_of(splits.panel_tail(make_panel({"a": [1, 2, 3], "b": [4]}), 2)) == {"a": [2, 3], "b": [4]}
+
+
+def test_sparse_levels(spark):
+    rows = [(i, [None, "b", "a", "zz", "a"][i % 5]) for i in range(400)] + [(1000 + i, f"u{i:04d}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, c string")
+    levels = X.level_index(df, "c")
+    got = {r.c: r.level for r in levels.collect()}
+    assert got == {v: i for i, v in enumerate(sorted({c for _, c in rows if c is not None}))}
+    cells = X.one_hot_sparse(df.union(spark.createDataFrame([(9, "new")], "k long, c string")), "c", levels, ["k"])
+    assert sorted(tuple(r) for r in cells.collect()) == sorted((k, got[c], 1) for k, c in rows if c is not None)
+    assert X.level_index(df.limit(0), "c").count() == 0
