@@ -61,13 +61,13 @@ def learned_counts(docs: DataFrame, text: str, lang: str, doc_id: str, learn: Co
             for lang_, body in zip(batch["lang"], batch["text"]):
                 tables.setdefault(lang_, Counter()).update(words_of(body))
         for lang_, own in tables.items():
-            found = Counter()
-            for w, n in own.items():
-                found[0, w] += n
-                for k in range(1, LONGEST + 1):
+            for k in range(LONGEST + 1):  # one length at a time is held
+                found: Counter = own if k == 0 else Counter()
+                for w, n in own.items() if k else ():
                     for g in ngrams(w, k):
-                        found[k, g] += n
-            yield pd.DataFrame({"lang": lang_, "kind": [k for k, _ in found], "item": [g for _, g in found], "n": list(found.values())})
+                        found[g] += n
+                if found:
+                    yield pd.DataFrame({"lang": lang_, "kind": k, "item": list(found), "n": list(found.values())})
 
     return chosen.mapInPandas(count, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
