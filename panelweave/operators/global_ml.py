@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
+import numpy as np
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -447,6 +450,57 @@ TUNING_GRID = (
 TUNING_TREES = 300
 
 
+def space_filling(
+    n: int, depths: tuple[int, int] = (1, 15), rates: tuple[float, float] = (0.001, 10**-0.5), tries: int = 200, seed: int = SEED
+) -> list[tuple[int, float]]:
+    """Latin hypercube of ``n`` (depth, rate) points, the rate on a log scale: of ``tries`` designs the one whose closest points are farthest apart."""
+    draw = np.random.default_rng(seed)
+    cells = (np.arange(n) + 0.5) / n
+    designs = [np.column_stack([draw.permutation(cells), draw.permutation(cells)]) for _ in range(tries)]
+
+    def closest(points: np.ndarray) -> float:
+        gap = ((points[:, None] - points[None]) ** 2).sum(axis=2)
+        return gap[~np.eye(len(points), dtype=bool)].min() if n > 1 else 0.0
+
+    best = max(designs, key=closest)
+    low, high = np.log10(rates[0]), np.log10(rates[1])
+    points = [(int(round(depths[0] + a * (depths[1] - depths[0]))), float(10 ** (low + b * (high - low)))) for a, b in best]
+    return sorted(points)
+
+
+@dataclass(frozen=True)
+class _Slices:
+    """Training and test rows of each slice with what does not depend on a grid point, worked out once."""
+
+    features: DataFrame
+    cuts: list
+    blanks: list[GlobalModel]
+
+    @staticmethod
+    def of(features: DataFrame, plan: DataFrame, spec: FeatureSet, parallelism: int) -> "_Slices":
+        cuts = plan.orderBy("slice_id").collect()
+        part = _Slices(features, cuts, [])
+        return replace(part, blanks=side_by_side(lambda at: unfitted(part.rows(at, "train"), spec, "tuning"), range(len(cuts)), parallelism))
+
+    def rows(self, at: int, part: str) -> DataFrame:
+        return self.features.filter(F.col("date").between(F.lit(self.cuts[at][f"{part}_start"]), F.lit(self.cuts[at][f"{part}_end"])))
+
+    def score(self, number: int, point: tuple[int, float], at: int, trees: int) -> DataFrame:
+        depth, rate = point
+        blank, test = self.blanks[at], self.rows(at, "test")
+        vectors = blank.vectors(self.rows(at, "train")).select("value", "features")
+        model = replace(blank, model_id=f"config_{number}", regressor=leaf_boosting(trees, rate, depth).fit(vectors))
+        scored = score_rows(model, test).join(test.select("id", "date", F.col("value").alias("actual")), ["id", "date"])
+        return scored.agg(mae().alias("mae"), rmse().alias("rmse")).select(
+            F.lit(f"config_{number}").alias("config"),
+            F.lit(depth).cast("bigint").alias("tree_depth"),
+            F.lit(float(rate)).alias("learn_rate"),
+            F.lit(self.cuts[at]["slice_id"]).cast("bigint").alias("slice_id"),
+            "mae",
+            "rmse",
+        )
+
+
 def tune_grid(
     features: DataFrame,
     plan: DataFrame,
@@ -460,35 +514,39 @@ def tune_grid(
     ``features`` is read once per fit, so pass a written table. A few fits run
     side by side on the cluster; scores stay distributed until the last row.
     """
-    slices = plan.orderBy("slice_id").collect()
-
-    def rows(cut, part: str) -> DataFrame:
-        return features.filter(F.col("date").between(F.lit(cut[f"{part}_start"]), F.lit(cut[f"{part}_end"])))
+    slices = _Slices.of(features, plan, spec, parallelism)
+    tasks = [(i, point, at) for i, point in enumerate(grid, 1) for at in range(len(slices.cuts))]
+    return reduce(DataFrame.unionByName, side_by_side(lambda task: slices.score(*task, trees), tasks, parallelism))
 
-    # What does not depend on the grid point is worked out once per slice.
-    blanks = dict(zip(range(len(slices)), side_by_side(lambda cut: unfitted(rows(cut, "train"), spec, "tuning"), slices, parallelism)))
 
-    def one(task) -> DataFrame:
-        number, (depth, rate), at = task
-        cut, test = slices[at], rows(slices[at], "test")
-        vectors = blanks[at].vectors(rows(cut, "train")).select("value", "features")
-        model = replace(blanks[at], model_id=f"config_{number}", regressor=leaf_boosting(trees, rate, depth).fit(vectors))
-        scored = score_rows(model, test).join(test.select("id", "date", F.col("value").alias("actual")), ["id", "date"])
-        return scored.agg(mae().alias("mae"), rmse().alias("rmse")).select(
-            F.lit(f"config_{number}").alias("config"),
-            F.lit(depth).cast("bigint").alias("tree_depth"),
-            F.lit(float(rate)).alias("learn_rate"),
-            F.lit(cut["slice_id"]).cast("bigint").alias("slice_id"),
-            "mae",
-            "rmse",
-        )
+def tune_halving(
+    features: DataFrame,
+    plan: DataFrame,
+    spec: FeatureSet,
+    grid: Sequence[tuple[int, float]] = TUNING_GRID,
+    trees: int = TUNING_TREES,
+    share: int = 3,
+    parallelism: int = 4,
+) -> DataFrame:
+    """Successive halving: all points with few trees, the best of them with ``share`` times as many, until one round has ``trees``.
 
-    tasks = [(i, point, at) for i, point in enumerate(grid, 1) for at in range(len(slices))]
-    parts = side_by_side(one, tasks, parallelism)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    Rows as of :func:`tune_grid`, with ``round`` and ``trees``; points are judged by their mean RMSE over
+    the slices. The last round holds the finalists at full size.
+    """
+    slices = _Slices.of(features, plan, spec, parallelism)
+    open_ = list(enumerate(grid, 1))
+    rounds = max(1, math.ceil(math.log(len(open_), share)) if len(open_) > 1 else 1)
+    parts = []
+    for number in range(rounds):
+        budget = max(1, trees // share ** (rounds - 1 - number))
+        tasks = [(i, point, at) for i, point in open_ for at in range(len(slices.cuts))]
+        scored = reduce(DataFrame.unionByName, side_by_side(lambda task: slices.score(*task, budget), tasks, parallelism))
+        scored = materialize(scored.withColumns({"round": F.lit(number + 1).cast("bigint"), "trees": F.lit(budget).cast("bigint")}), "halving")
+        parts.append(scored)
+        order = [r["config"] for r in scored.groupBy("config").agg(F.avg("rmse").alias("mean")).orderBy("mean", "config").collect()]
+        kept = set(order[: max(1, math.ceil(len(open_) / share))])
+        open_ = [(i, point) for i, point in open_ if f"config_{i}" in kept]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def tune_metrics(per_slice: DataFrame, params: Sequence[str] = ("tree_depth", "learn_rate")) -> DataFrame:

@@ -221,6 +221,14 @@ def tune_grid(spark, sf):
     return _tuning(_stored_train(spark, sf)[0])[1]
 
 
+@query("tune_halving")
+def tune_halving(spark, sf):
+    """A space-filling design of six points over depth and rate, two thirds of them dropped after each round."""
+    train, _ = _stored_train(spark, sf, "PS")
+    table = materialize(G.feature_table(train, G.calendar_set()), "features_calendar")
+    return G.tune_halving(table, rolling_plan(train), G.calendar_set(), G.space_filling(6, depths=(1, 6)), trees=4)
+
+
 def window_scores(spark, sf) -> DataFrame:
     """Slice scores of a grid over the rolling-mean window, in the layout of a tuning run."""
     rows = backtest_rows(spark, sf, windows=WINDOWS, season=None)

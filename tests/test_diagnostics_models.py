@@ -252,6 +252,25 @@ def test_published_tuning_table_selects_depth_3(spark):
     assert best["tree_depth"] == 3 and best["learn_rate"] == pytest.approx(0.316228, abs=1e-6)
 
 
+def test_space_filling_design():
+    points = G.space_filling(6)
+    depths, rates = sorted(d for d, _ in points), sorted(np.log10(r) for _, r in points)
+    assert len(set(depths)) == 6 and 1 <= depths[0] and depths[-1] <= 15 and points == G.space_filling(6)
+    assert np.allclose(np.diff(rates), 2.5 / 6) and G.space_filling(1)[0][0] == 8
+
+
+def test_halving_keeps_the_best(spark, make_panel):
+    rng = np.random.default_rng(4)
+    panel = make_panel({f"s{i}": [10 * i + 5 * np.sin(t / 2) + rng.normal(0, 0.1) for t in range(60)] for i in range(4)})
+    table = materialize(G.feature_table(panel, G.calendar_set()), "halving_features")
+    plan = splits.cv_plan(panel, 30, 6, 6, 2)
+    grid = [(1, 0.001), (3, 0.5), (1, 0.002), (2, 0.001)]
+    rows = G.tune_halving(table, plan, G.calendar_set(), grid, trees=4, share=2).collect()
+    by_round = {n: sorted({r.config for r in rows if r["round"] == n}) for n in (1, 2)}
+    assert by_round[1] == [f"config_{i}" for i in range(1, 5)] and "config_2" in by_round[2] and len(by_round[2]) == 2
+    assert {(r["round"], r.trees) for r in rows} == {(1, 2), (2, 4)} and len({r.slice_id for r in rows}) == 2
+
+
 def test_change_points_are_found():
     draw = np.random.default_rng(2)
     t = np.arange(120)
