@@ -1,13 +1,14 @@
 """Secret scanning with a random forest that removes false positives.
 
-Candidates are, in whole texts, values of ``SHORTEST`` characters or more assigned with = or : to a
-credential name, and elsewhere runs of 12 or more token characters with a digit or both cases.
+Candidates are, in whole texts, keys of a known form wherever they stand, values of 6 characters
+or more, of any length, assigned with = or : to a credential name, and elsewhere runs of 12 or more
+token characters with a digit or both cases.
 Each is described by its length, its character transitions and classes, how much of it
 dictionary words cover, what its path looks like, and the words beside it. A forest trained
 on labelled findings tells secrets from the rest.
 
-``findings`` with a ``label`` column train it directly. Without labels, findings that a strict
-rule is sure of are used: a random value assigned to a credential name, a key with a known
+A table of labelled findings (``doc_id, start, label``) trains it; see :func:`scan_secrets`. Without one,
+findings that a strict rule is sure of are used: a random value assigned to a credential name, a key with a known
 prefix and the body of a private key are secrets; addresses, numbers, hosts and dictionary compounds are not. Training takes at most about
 ``SAMPLE`` findings, chosen by hash; everything is scored.
 
@@ -18,6 +19,7 @@ Null and empty texts have no findings. If training sees one class only, the rule
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -38,15 +40,19 @@ from panelweave.session import materialize
 
 SAMPLE = 20_000
 WORD_SHARE = 2.0**-15
-SHORTEST = 6
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/.@:\-]{12,}={0,2}")
+CREDENTIAL = r"token|secret|passw|passphrase|passcode|pwd|api_?key|private_?key|access_?key|credential|auth"
 ASSIGNED = re.compile(
-    r"(?i)(?:token|secret|passw|pwd|api_?key|credential|auth)\w{0,40}[\"']?[ \t]{0,8}[=:][ \t]{0,8}"
-    r"(?:\"([^\"\n]{6,512})\"|'([^'\n]{6,512})'|([^\s\"'`,;]{6,}))"
+    rf"(?i)(?:(?:{CREDENTIAL})\w{{0,40}}|(?<![a-z])pass)[\"']?[ \t]{{0,8}}[=:][ \t]{{0,8}}"
+    r"(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|([^\s\"'`,;]{6,}))"
+)
+# Public forms of keys.
+KEY = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}"
+    r"|[sr]k_live_[A-Za-z0-9]{16,})(?![A-Za-z0-9])"
 )
-KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|[sr]k_live_[A-Za-z0-9]{16,}")
 PRIVATE = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----([A-Za-z0-9+/=\s]+)")
-NAMES = re.compile(r"(?i)(?:token|secret|passw|pwd|api_?key|credential|auth)\w*$")
+NAMES = re.compile(rf"(?i)(?:{CREDENTIAL})\w*$|(?<![a-z])pass$")
 PLACES = re.compile(r"(?i)(?:test|example|sample|doc|spec|fixture)")
 ADDRESS = re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]+|(?:\d{1,3}\.){3}\d{1,3}|[\d\-:./+]+|(?:https?:)?/?/?[\w-]+(?:\.[\w-]+)+(?:[/:].*)?")
 FEATURES = (
@@ -101,13 +107,21 @@ def candidates(text: str) -> Iterator[tuple[int, int, bool]]:
             if private or is_candidate(m[0]):
                 yield m.start(), m.end(), private
 
+    # Known keys stand for themselves, whatever surrounds them; values that hold one give way to it.
+    whole = [m.span() for m in KEY.finditer(text)]
+    given = [m.span(m.lastindex) for m in ASSIGNED.finditer(text)]
+    starts = [a for a, _ in whole]
+
+    def clear(start: int, end: int) -> bool:
+        at = bisect.bisect_right(starts, start) - 1
+        before = at >= 0 and whole[at][1] > start
+        return not before and not (at + 1 < len(whole) and whole[at + 1][0] < end)
+
     at = 0
-    for m in ASSIGNED.finditer(text):
-        start, end = m.span(m.lastindex)
-        if not text[start:end].isspace():
-            yield from runs(at, m.start())
-            yield start, end, False
-            at = end
+    for start, end in sorted(whole + [s for s in given if clear(*s) and not text[s[0] : s[1]].isspace()]):
+        yield from runs(at, start)
+        yield start, end, False
+        at = end
     yield from runs(at, len(text))
 
 
@@ -174,8 +188,23 @@ def score(found: DataFrame, labelled: DataFrame | None = None, sample: int = SAM
     return scored.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = "source", least: float = 0.5) -> DataFrame:
-    """``doc_id, start, length, sha256, score, is_secret`` for every candidate; ``start`` counts characters."""
+def scan_secrets(
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    path: str | None = "source",
+    least: float = 0.5,
+    labelled: DataFrame | None = None,
+) -> DataFrame:
+    """``doc_id, start, length, sha256, score, is_secret`` for every candidate; ``start`` counts characters.
+
+    ``labelled`` holds findings people have judged: ``doc_id``, ``start`` and ``label`` (1 secret, 0 not). The forest
+    learns from the candidates at those places; labels at other places are of no use to it.
+    """
     found = materialize(findings(docs, text, doc_id, path), "findings")
-    out = score(found)
+    judged = None
+    if labelled is not None:
+        places = labelled.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("start").cast("bigint").alias("start"), F.col("label").cast("double").alias("label"))
+        judged = materialize(found.join(places.filter("label is not null").dropDuplicates(["doc_id", "start"]), ["doc_id", "start"]), "judged")
+    out = score(found, judged)
     return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), "start", "length", "sha256", "score", (F.col("score") >= least).alias("is_secret"))
