@@ -146,21 +146,28 @@ def shock_equations(series: DataFrame, m: int) -> DataFrame:
     long_fit = solve(restricted(normal_equations(outer_sums(upto(first, n - 1), long_row, width), width), used), width - 1)
     fitted = series.withColumn("_long", long_fit)
 
-    def shock(v: Column, t: Column) -> Column:
-        known = F.slice(long_row(t), 1, width - 1)
-        return F.when(t >= first, F.coalesce(v - dot(known, F.col("_long")), F.lit(0.0))).otherwise(F.lit(0.0))
+    # Columns used inside a fold are bound: the planner may put their expression in their place.
+    def shocks(coef: Column) -> Column:
+        def shock(v: Column, t: Column) -> Column:
+            known = F.slice(long_row(t), 1, LONG + 2)
+            return F.when(t >= first, F.coalesce(v - dot(known, coef), F.lit(0.0))).otherwise(F.lit(0.0))
 
-    fitted = fitted.withColumn("_e", F.transform(z, shock))
-    e, start = F.col("_e"), F.when(n > 3 * m, F.lit(m)).otherwise(F.lit(MAX_P))
-
-    def row(t: Column) -> Column:
-        return F.array(
-            F.lit(1.0), *_lags(z, t, range(1, MAX_P + 1)), seasonal_lag(t), *_lags(e, t, range(1, MAX_Q + 1)),
-            F.when(n > 3 * m, F.coalesce(F.get(e, t - m), F.lit(0.0))).otherwise(F.lit(0.0)), F.get(z, t),
-        )
+        return F.transform(z, shock)
 
+    start = F.when(n > 3 * m, F.lit(m)).otherwise(F.lit(MAX_P))
     width = MAX_P + MAX_Q + 4
-    summed = fitted.withColumn("sums", outer_sums(upto(start, n - 1), row, width))
+
+    def summed(e: Column) -> Column:
+        def row(t: Column) -> Column:
+            return F.array(
+                F.lit(1.0), *_lags(z, t, range(1, MAX_P + 1)), seasonal_lag(t), *_lags(e, t, range(1, MAX_Q + 1)),
+                F.when(n > 3 * m, F.coalesce(F.get(e, t - m), F.lit(0.0))).otherwise(F.lit(0.0)), F.get(z, t),
+            )
+
+        return outer_sums(upto(start, n - 1), row, width)
+
+    fitted = fitted.withColumn("_e", bind(F.col("_long"), shocks))
+    summed = fitted.withColumn("sums", bind(F.col("_e"), summed))
     return summed.withColumn("n_rows", F.greatest(n - start, F.lit(0))).drop("_long", "_e")
 
 
@@ -250,12 +257,15 @@ def _shocks(m: int) -> Column:
     """Each difference minus its one-step forecast, the shocks before the first full row of lags taken as 0."""
     begin = F.when(F.size("z") > 3 * m, F.lit(m)).otherwise(F.lit(MAX_P))
 
-    def step(state: Column, v: Column) -> Column:
-        t = F.size(state["e"])
-        miss = F.when(t < begin, F.lit(0.0)).otherwise(v - _ahead(F.col("coef"), state["zs"], F.slice(F.reverse(state["e"]), 1, m), m))
-        return F.struct(F.slice(F.concat(F.array(v), state["zs"]), 1, m).alias("zs"), F.concat(state["e"], F.array(miss)).alias("e"))
+    def folded(coef: Column) -> Column:
+        def step(state: Column, v: Column) -> Column:
+            t = F.size(state["e"])
+            miss = F.when(t < begin, F.lit(0.0)).otherwise(v - _ahead(coef, state["zs"], F.slice(F.reverse(state["e"]), 1, m), m))
+            return F.struct(F.slice(F.concat(F.array(v), state["zs"]), 1, m).alias("zs"), F.concat(state["e"], F.array(miss)).alias("e"))
+
+        return F.aggregate("z", F.struct(doubles().alias("zs"), doubles().alias("e")), step)["e"]
 
-    return F.aggregate("z", F.struct(doubles().alias("zs"), doubles().alias("e")), step)["e"]
+    return bind(F.col("coef"), folded)
 
 
 def arma_forecast(models: DataFrame, horizon: int, freq: Freq = MONTH, season: int | None = None, model_id: str = "arma") -> DataFrame:
