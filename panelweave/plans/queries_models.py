@@ -35,14 +35,14 @@ FOREST, DEPTH = 30, 12
 FEATURE_SETS = (G.lag_set(), G.calendar_set(), G.hybrid_set())
 
 
-def _stored_train(spark, sf, panel: str = "PM") -> tuple[DataFrame, DataFrame]:
+def _stored_train(spark, sf, panel: str = "PS") -> tuple[DataFrame, DataFrame]:
     train, test = train_test(spark, sf, panel)
     return materialize(train, "train"), test
 
 
 def _on_every_feature_set(spark, sf, name: str, estimator) -> DataFrame:
     """Holdout forecasts of one kind of model on the lag, calendar and hybrid predictors."""
-    train, test = _stored_train(spark, sf, "PS")
+    train, test = _stored_train(spark, sf)
 
     def one(spec: G.FeatureSet) -> DataFrame:
         table = materialize(G.feature_table(train, spec), f"features_{spec.name}")
@@ -76,7 +76,7 @@ def fc_random_forest(spark, sf):
 @query("recursive_forecast")
 def recursive_forecast(spark, sf):
     """Recursion over the supplier panel: the number of series grows with the data."""
-    train, _ = _stored_train(spark, sf, "PS")
+    train, _ = _stored_train(spark, sf)
     spec = G.lag_set()
     table = materialize(G.feature_table(train, spec), "features_lag")
     return G.recursive_forecast(G.fit_global(table, spec, G.elastic_net(), "elastic_net_lag"), train, HORIZON)
@@ -95,7 +95,7 @@ def fc_exp_smoothing(spark, sf):
 @query("fc_decomp_ets")
 def fc_decomp_ets(spark, sf):
     """Robust decomposition by local regression; the adjusted series smoothed, the last season repeated."""
-    train, test = _stored_train(spark, sf, "PS")
+    train, test = _stored_train(spark, sf)
     smooth = lambda adjusted: U.ok_forecasts(U.fit_per_series(adjusted, HORIZON, ["trend_smoothing"]))
     return S.calibrate(L.decomposed_forecast(train, HORIZON, smooth), test)
 
@@ -108,14 +108,14 @@ def fc_harmonic(spark, sf):
 @query("fc_autoregressive")
 def fc_autoregressive(spark, sf):
     """Seasonal ARMA of the order that each series' normal equations speak for."""
-    train, test = _stored_train(spark, sf, "PS")
+    train, test = _stored_train(spark, sf)
     return S.calibrate(A.arma_forecast(A.arma_models(train), HORIZON), test)
 
 
 @query("arma_state")
 def arma_state(spark, sf):
     """Models of all but the last year, stored, read again, advanced by it without a refit, and used ahead."""
-    train, test = _stored_train(spark, sf, "PS")
+    train, test = _stored_train(spark, sf)
     path = new_path(spark, "arma_models")
     A.arma_models(train).write.parquet(path)
     now = A.advance(spark.read.parquet(path), test)
@@ -159,7 +159,7 @@ def arma_normal_equations(spark, sf):
 @query("fc_residual_boost")
 def fc_residual_boost(spark, sf):
     """A bending line with a season, and an autoregression, each with its residuals boosted on the calendar."""
-    train, test = _stored_train(spark, sf, "PS")
+    train, test = _stored_train(spark, sf)
     fits = materialize(
         U.fit_per_series(train, HORIZON, ["piecewise", "autoregression"], include_fitted=True), "fits"
     )
@@ -224,7 +224,7 @@ def tune_grid(spark, sf):
 @query("tune_halving")
 def tune_halving(spark, sf):
     """A space-filling design of six points over depth and rate, two thirds of them dropped after each round."""
-    train, _ = _stored_train(spark, sf, "PS")
+    train, _ = _stored_train(spark, sf)
     table = materialize(G.feature_table(train, G.calendar_set()), "features_calendar")
     return G.tune_halving(table, rolling_plan(train), G.calendar_set(), G.space_filling(6, depths=(1, 6)), trees=4)
 
@@ -276,7 +276,7 @@ def stack_book() -> dict:
 @query("ensemble_stacked")
 def ensemble_stacked(spark, sf):
     """The three best members on the holdout, refitted on every slice; their meta model over their holdout forecasts."""
-    train, test = _stored_train(spark, sf, "PS")
+    train, test = _stored_train(spark, sf)
     book = stack_book()
     ahead = materialize(reduce(DataFrame.unionByName, side_by_side(lambda name: book[name](train).select("id", "model_id", "step", "date", "prediction"), book)), "members")
     board = S.accuracy_pooled(S.calibrate(ahead, test))
