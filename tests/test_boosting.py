@@ -111,3 +111,38 @@ def test_nothing_to_learn(spark):
     assert model.trees == [] and {r["prediction"] for r in model.transform(table).collect()} == {2.0}
     with pytest.raises(ValueError, match="no rows"):
         B.Boosting(1).fit(table.limit(0))
+
+
+def test_rows_lie_in_blocks_and_levels_go_in_passes(spark, rows, monkeypatch):
+    x, y, table = rows
+    s = SETTINGS["by_depth"]
+    binned = s.prepare(table)
+    assert binned.blocks.count() < len(y) / 4  # what a level reads and binds: blocks, not rows or cells
+    monkeypatch.setattr(B, "CELLS_HELD", 2 * binned.n_features * binned.width)  # two leaves a pass
+    got = np.array([r["prediction"] for r in s.fit_binned(binned).transform(table).collect()])
+    assert np.abs(got - brute(x, y, binned.edges, s)).max() < 1e-8
+
+
+def test_edges_are_values_at_ranks(spark, monkeypatch):
+    monkeypatch.setattr(B, "QUANTILE_ROWS", 300)
+    draw = np.random.default_rng(2).normal(size=1000)
+    known = spark.createDataFrame([([float(v), float(int(v))],) for v in draw], "x array<double>").coalesce(1)
+    line = np.sort(draw)
+    want = sorted({float(line[int(np.ceil(1000 * i / 8)) - 1]) for i in range(1, 8)})
+    edges = B.quantile_edges(known, None, 8)
+    assert edges[0] == want and set(edges[1]) <= {float(int(v)) for v in draw}
+
+
+def test_tuning_bins_a_slice_once(spark, monkeypatch):
+    import datetime
+
+    from panelweave.operators import global_ml as G
+
+    days = [datetime.date(2000 + i // 12, i % 12 + 1, 1) for i in range(30)]
+    panel = spark.createDataFrame([(k, d, float(i * (k == "a") + i % 12)) for k in ("a", "b") for i, d in enumerate(days)], "id string, date date, value double")
+    table = G.feature_table(panel, G.calendar_set()).cache()
+    plan = spark.createDataFrame([(1, days[0], days[19], days[20], days[24])], "slice_id long, train_start date, train_end date, test_start date, test_end date")
+    calls, prepare = [], B.Boosting.prepare
+    monkeypatch.setattr(B.Boosting, "prepare", lambda self, rows: calls.append(1) or prepare(self, rows))
+    found = G.tune_grid(table, plan, G.calendar_set(), ((1, 0.1), (2, 0.1)), trees=1).collect()
+    assert len(calls) == 1 and len(found) == 2 and all(r["rmse"] > 0 for r in found)
