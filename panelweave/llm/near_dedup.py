@@ -1,13 +1,15 @@
 """Near-duplicates by the Jaccard similarity of word shingles.
 
 Two texts link if their sets of ``WIDTH``-word shingles have a Jaccard similarity of ``LEAST``
-or more; of each connected group one document stays. At 0.8 two SimHash fingerprints of 64 bits
-differ in about ten bits, too many for anchors of a covering code to tell copies from other
-texts, so candidates come from MinHash bands instead: ``ROWS`` minima a band, ``BANDS`` bands. A
-pair at 0.8 shares no band with a chance of (1 - 0.8^4)^24, about three in a million, and less
+or more; of each connected group one document stays. Candidates are the links of :mod:`simhash`
+between fingerprints of the same shingles, found by anchors of a covering code at ``BITS`` or
+fewer differing bits. At 0.8 two fingerprints differ in about ten bits, too many for anchors to tell
+copies from other texts, so MinHash bands propose as well: ``ROWS`` minima a band, ``BANDS`` bands.
+A pair at 0.8 shares no band with a chance of (1 - 0.8^4)^24, about three in a million, and less
 above. Texts with equal sets become one node first.
 
-Nodes that share a band are joined into blocks, a star of links for each band. A block is
+Nodes whose fingerprints link or that share a band are joined into blocks, a star of links for
+each fingerprint and band. A block is
 only a place to look: its whole texts are fetched and every link is verified on the full
 shingle sets. A block of more than ``CHUNK`` shingles is dealt over cells, each pair of its
 chunks in one cell. A cell reports a forest that spans what it linked, never the pairs.
@@ -26,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.llm import simhash
 from panelweave.llm.common import field, keep_places, located
 from panelweave.llm.components import connected
-from panelweave.llm.simhash import shingle_hashes
+from panelweave.llm.simhash import majority, shingle_hashes
 from panelweave.session import materialize
 
 WIDTH, LEAST = 5, 0.8
+BITS = 4  # differing bits at which fingerprints link
 BANDS, ROWS = 24, 4
 CHUNK = 150_000  # shingles of a block's chunk; a cell holds two
 STEP = 2048  # shingles hashed at a time
@@ -62,22 +66,24 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """``(doc_id, file, row, node, size, bands)`` of located rows; equal sets have the same node."""
+    """``(doc_id, file, row, node, size, fp, bands)`` of located rows; equal sets have the same node."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            nodes, sizes, found = [], [], []
+            nodes, sizes, prints, found = [], [], [], []
             for t in batch.text:
-                hashes = shingle_set(t, width)
+                every = shingle_hashes(t, width)
+                hashes = np.unique(every)
+                prints.append(majority(every))
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()))
                 sizes.append(len(hashes))
                 found.append(bands(hashes))
-            yield batch[["doc_id", "file", "row"]].assign(node=np.array(nodes, np.uint64).view(np.int64), size=sizes, bands=found)
+            yield batch[["doc_id", "file", "row"]].assign(node=np.array(nodes, np.uint64).view(np.int64), size=sizes, fp=prints, bands=found)
 
     slim = rows.select(field(rows, doc_id).cast("bigint").alias("doc_id"), "file", "row", field(rows, text).cast("string").alias("text"))
     # Nullable ids would turn into floats in pandas: they travel as text.
     slim = slim.withColumn("doc_id", F.col("doc_id").cast("string"))
-    out = slim.mapInPandas(of, "doc_id string, file string, row long, node long, size long, bands array<long>")
+    out = slim.mapInPandas(of, "doc_id string, file string, row long, node long, size long, fp long, bands array<long>")
     return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
@@ -134,18 +140,29 @@ def _verify(width: int, least: float):
     return run
 
 
+def print_links(nodes: DataFrame, threshold: int = BITS) -> DataFrame:
+    """``(u, v)`` between nodes of equal or linked fingerprints: a star each, and one link between the stars of linked ones."""
+    held = nodes.filter("size > 0")
+    prints = materialize(held.groupBy("fp").agg(F.min("node").alias("low")), "near_prints")
+    same = held.select("fp", "node").join(prints, "fp").filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    low = lambda side: prints.select(F.col("fp").alias(side), F.col("low").alias(f"{side}_low"))
+    near = simhash.links(prints, threshold).join(low("u"), "u").join(low("v"), "v")
+    return same.unionByName(near.select(F.col("u_low").alias("u"), F.col("v_low").alias("v")))
+
+
 def blocks(nodes: DataFrame) -> DataFrame:
-    """``(node, block)`` of the nodes that share a band with another, directly or through others."""
+    """``(node, block)`` of the nodes whose fingerprint links to, or that share a band with, another, directly or through others."""
     posted = nodes.select(F.explode("bands").alias("band"), "node")
     shared = posted.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    stars = connected(posted.join(shared.select("band", "low"), "band").select(F.col("node").alias("u"), F.col("low").alias("v")))
+    banded = posted.join(shared.select("band", "low"), "band").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    stars = connected(banded.unionByName(print_links(nodes)))
     roots = stars.select(F.col("root").alias("node"), F.col("root").alias("block")).distinct()
     return stars.select("node", F.col("root").alias("block")).unionByName(roots)
 
 
 def links(rows: DataFrame, nodes: DataFrame, text: str = "text", width: int = WIDTH, least: float = LEAST, chunk: int = CHUNK) -> DataFrame:
     """Verified ``(u, v)`` between ``nodes``: they connect what the similarity connects."""
-    inside = materialize(nodes.drop("bands").join(blocks(nodes), "node"), "near_blocks")
+    inside = materialize(nodes.drop("bands", "fp").join(blocks(nodes), "node"), "near_blocks")
     parts = inside.groupBy("block").agg(F.ceil(F.sum("size") / chunk).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: (k != part) | (F.col("parts") == 1))
@@ -162,10 +179,10 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     """The rows of ``docs`` with one document of each group of near-duplicates, the smallest id (null last)."""
     rows = located(docs)
     prints = materialize(sketches(rows, text, doc_id, width), "sketches")
-    nodes = prints.groupBy("node").agg(F.min(F.struct("file", "row")).alias("at"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes.select("node", "at.file", "at.row", "size", "bands"), "near_nodes")
+    nodes = prints.groupBy("node").agg(F.min(F.struct("file", "row")).alias("at"), F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.select("node", "at.file", "at.row", "size", "fp", "bands"), "near_nodes")
     stars = connected(links(rows, nodes, text, width, least, chunk))
-    placed = prints.drop("bands", "size").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = prints.drop("bands", "size", "fp").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "file", "row")
     best = placed.groupBy("root").agg(F.min(order).alias("best")).select("best.file", "best.row")
     return keep_places(rows, best)

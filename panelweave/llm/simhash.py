@@ -56,7 +56,11 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 4) -> int:
     """Signed 64-bit SimHash of the text's word shingles, repeats included."""
-    h = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed number."""
     if not len(h):
         return 0
     bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

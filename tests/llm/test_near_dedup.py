@@ -70,3 +70,15 @@ def test_pipeline_stage_drops_copies_of_eight_tenths(spark):
     rows = [(1, a), (2, b), (3, " ".join(other))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 3}
+
+
+def test_stage_takes_candidates_from_fingerprints(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(3000)}" for _ in range(2000)]
+    near = [*base[:1000], "x", *base[1001:]]
+    other = [f"w{rng.randrange(3000)}" for _ in range(2000)]
+    rows = [(i, " ".join(words)) for i, words in enumerate((base, near, other), 1)]
+    assert (simhash.fingerprint(rows[0][1], 5) ^ simhash.fingerprint(rows[1][1], 5)).bit_count() <= 4
+    monkeypatch.setattr(near_dedup, "bands", lambda hashes: hashes[:0].view("int64"))  # the anchors alone
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in near_dedup.one_of_each(docs).collect()} == {1, 3}
