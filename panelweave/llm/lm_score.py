@@ -42,6 +42,7 @@ EDGE = 10  # the byte before and after a text; never inside one
 CHUNK = 2_000_000  # positions sorted at a time
 HELD_GRAMS, HELD_WORDS = 2_000_000, 400_000  # counts a task holds before it sends them on
 ROWS = 100_000  # rows handed over at a time
+TEXTS = 250  # texts scored at a time
 DOC_BITS = 16  # documents of a chunk, beside a gram of ORDER + 1 bytes
 
 
@@ -315,7 +316,7 @@ def lm_score(
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         logs, model = common.value, answered.value
         uid = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in (whole[at : at + TEXTS] for whole in batches for at in range(0, len(whole), TEXTS)):
             texts = [spelled(t) for t in batch["text"]]
             tokens, known, base, rare, rare_n = [], [], [], [], []
             for t in texts:
