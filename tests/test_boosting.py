@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from panelweave.operators import boosting as B
@@ -146,3 +147,26 @@ def test_tuning_bins_a_slice_once(spark, monkeypatch):
     monkeypatch.setattr(B.Boosting, "prepare", lambda self, rows: calls.append(1) or prepare(self, rows))
     found = G.tune_grid(table, plan, G.calendar_set(), ((1, 0.1), (2, 0.1)), trees=1).collect()
     assert len(calls) == 1 and len(found) == 2 and all(r["rmse"] > 0 for r in found)
+
+
+def test_first_tree_is_shared_and_points_are_judged_together(spark):
+    """A shallower first tree is the top of a deeper one, whatever the rate; blocks give the errors of the rows."""
+    from panelweave.operators import global_ml as G
+
+    rows = spark.createDataFrame([(float((i * 7) % 23) + (i % 4) * 3.0, Vectors.dense([i % 11, (i * 5) % 17])) for i in range(400)], ["value", "features"])
+    test = spark.createDataFrame([(float(i % 19), Vectors.dense([i % 13 - 0.5, (i * 3) % 19])) for i in range(90)], ["value", "features"])
+    deep = G.leaf_boosting(1, 0.1, 4)
+    binned = deep.prepare(rows)
+    first = deep.first_cuts(binned)
+    models = [G.leaf_boosting(3, rate, depth).fit_binned(binned, first) for depth, rate in ((1, 0.5), (2, 0.1), (4, 0.3))]
+    for (depth, rate), model in zip(((1, 0.5), (2, 0.1), (4, 0.3)), models):
+        assert model.trees == G.leaf_boosting(3, rate, depth).fit_binned(binned).trees
+    sums = B.block_errors(models, binned.pack(test), binned).groupBy("model").agg(
+        F.sum("absolute").alias("a"), F.sum("squared").alias("s"), F.sum("n").alias("n")
+    )
+    found = {r["model"]: (r["a"], r["s"], r["n"]) for r in sums.collect()}
+    for i, model in enumerate(models):
+        miss = [r["value"] - r["prediction"] for r in model.transform(test).collect()]
+        assert found[i] == pytest.approx((sum(map(abs, miss)), sum(m * m for m in miss), 90))
+    nothing = {r["model"]: r["n"] for r in B.block_errors(models, binned.pack(test.limit(0)), binned).collect()}
+    assert nothing == {0: 0, 1: 0, 2: 0}
