@@ -269,13 +269,17 @@ def _future(run: BenchmarkRun, name: str, panel: DataFrame, ahead: DataFrame, ca
 
 
 def replay(train: DataFrame, plan: DataFrame, models: Sequence[str], book: Mapping[str, Forecaster]) -> DataFrame:
-    """Out-of-sample rows of the named models: refitted on every slice, kept inside its test dates."""
+    """Out-of-sample rows of the named models: refitted on every slice, kept inside its test dates.
+
+    A part is written on its own: in one plan, parts that lie alike by id are read together, all of them in a task.
+    """
 
     def one(task) -> DataFrame:
         cut, name = task
         seen = train.filter(F.col("date").between(F.lit(cut["train_start"]), F.lit(cut["train_end"])))
         later = train.filter(F.col("date").between(F.lit(cut["test_start"]), F.lit(cut["test_end"])))
-        return S.calibrate(book[name](seen), later).withColumn("slice_id", F.lit(cut["slice_id"]).cast("bigint"))
+        rows = S.calibrate(book[name](seen), later).withColumn("slice_id", F.lit(cut["slice_id"]).cast("bigint"))
+        return materialize(rows, "replayed")
 
     tasks = [(cut, name) for cut in plan.collect() for name in models]
     return reduce(DataFrame.unionByName, side_by_side(one, tasks))

@@ -312,3 +312,18 @@ def test_stack_learns_the_better_member(spark):
     assert weights[1] > 0.9 > 10 * abs(weights[0])
     out = G.stacked_forecast(meta, df.drop("actual"), ["bad", "good"])
     assert out.count() == 60
+
+
+def test_replayed_parts_are_written_on_their_own(spark):
+    """The union of all parts has nothing left to shuffle, so no task reads every part."""
+    from panelweave.operators.baselines import baseline_forecasts
+    from panelweave.plans.benchmark import replay
+
+    days = [dt.date(2000 + i // 12, i % 12 + 1, 1) for i in range(30)]
+    panel = spark.createDataFrame([(k, d, float(i)) for k in ("a", "b") for i, d in enumerate(days)], "id string, date date, value double")
+    plan = spark.createDataFrame([(s, days[0], days[11 + s], days[12 + s], days[14 + s]) for s in (1, 2)], "slice_id long, train_start date, train_end date, test_start date, test_end date")
+    one = lambda name: lambda train: baseline_forecasts(train, 12).filter(F.col("model_id") == name)
+    names = ("rolling_mean_6", "seasonal_naive_12")
+    rows = replay(panel, plan, names, {name: one(name) for name in names})
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.groupBy("slice_id", "model_id").count().filter("count = 6").count() == 4
