@@ -314,6 +314,37 @@ def test_stack_learns_the_better_member(spark):
     assert out.count() == 60
 
 
+def test_series_fitted_side_by_side_keep_their_numbers(spark, monkeypatch):
+    """Series of all lengths, signs and gaps: rows of a joint call are those of one call per series."""
+    draw = np.random.default_rng(5)
+    known = {f"s{i}": draw.normal(50, 20 + 30 * (i % 2), 1 + 7 * (i % 7)) for i in range(14)}
+    known["gap"] = np.append(known["s6"], np.nan)
+    rows = [(k, dt.date(2000 + i // 12, i % 12 + 1, 1), None if np.isnan(v) else float(v)) for k, y in known.items() for i, v in enumerate(y)]
+    panel = spark.createDataFrame(rows, "id string, date date, value double")
+    names = ["exp_smoothing", "decomp_smoothing", "autoregression"]
+    calls = []
+    monkeypatch.setitem(U.TOGETHER, "exp_smoothing", lambda ys, h, m: calls.append(len(ys)) or U.exp_smoothings(ys, h, m))
+    U._attempts(U.fit_exp_smoothing, U.TOGETHER["exp_smoothing"], list(known.values()), 3, 12)
+    assert sorted(calls) == [2] * 7  # one call for all series of a length
+    monkeypatch.undo()
+    got = {(r["id"], r["model_id"], r["step"]): r for r in U.fit_per_series(panel, 3, names, include_fitted=True).collect()}
+    n = 0
+    for k, y in known.items():
+        for name in names:
+            try:
+                if np.isnan(y).any():
+                    raise ValueError("series has missing values")
+                fit = U.CANDIDATES[name](y, 3, 12)
+            except Exception as problem:
+                row, n = got[k, name, 0], n + 1
+                assert (row["status"], row["error"], row["date"]) == ("error", f"{type(problem).__name__}: {problem}", None)
+                continue
+            for step, value in zip(range(1 - len(y), 4), [*fit.fitted, *fit.path]):
+                row, n = got[k, name, step], n + 1
+                assert row["prediction"] == (None if np.isnan(value) else value) and (row["variant"], row["params"]) == (fit.variant, fit.params)
+    assert n == len(got)
+
+
 def test_replayed_parts_are_written_on_their_own(spark):
     """The union of all parts has nothing left to shuffle, so no task reads every part."""
     from panelweave.operators.baselines import baseline_forecasts
