@@ -358,3 +358,16 @@ def test_replayed_parts_are_written_on_their_own(spark):
     rows = replay(panel, plan, names, {name: one(name) for name in names})
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     assert rows.groupBy("slice_id", "model_id").count().filter("count = 6").count() == 4
+
+
+def test_forecasts_of_a_feature_set_are_written_on_their_own(spark, tmp_path):
+    """What is left of a model query reads written forecasts: no window or vector of any set stands in its plan."""
+    from panelweave.plans.queries_models import _on_every_feature_set
+
+    days = [dt.datetime(2000 + i // 12, i % 12 + 1, 3) for i in range(60)]
+    rows = [(1, k, d, 100.0 * k + i % 12 + i * k) for k in (1, 2, 3) for i, d in enumerate(days)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_shipdate timestamp, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = _on_every_feature_set(spark, str(tmp_path), "elastic_net", G.elastic_net())
+    assert {r["model_id"]: r["count"] for r in found.groupBy("model_id").count().collect()} == {f"elastic_net_{s}": 36 for s in ("lag", "calendar", "hybrid")}
+    plan = found.filter("prediction is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and "aggregate(" not in plan
