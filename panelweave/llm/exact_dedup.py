@@ -50,9 +50,9 @@ def fold(spark: SparkSession, log: str, state: str, files_per_batch: int = 4096)
     own.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    # Many small stores share one budget, and are closed soon after the stream has ended.
+    # Many small stores share one budget, write from small buffers, and are closed soon after the stream has ended.
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "128")
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB", "4")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB", "1")
     own.conf.set("spark.sql.streaming.stateStore.maintenanceInterval", "10s")
     # Many small stores: without this each reserves megabytes of disk for its logs.
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import held, id_key, quoted
-from panelweave.session import materialize
+from panelweave.session import materialize, small_batches
 
 SAMPLE = 1500  # labelled documents per language, about
 LONGEST = 5  # letters of the longest n-gram
@@ -164,6 +164,7 @@ class Scorer:
 
 def fit(docs: DataFrame, text: str, lang: str, doc_id: str, learn: Column, sample: int = SAMPLE) -> Model:
     """The model, bounded by the sample; only numbers come to the driver."""
+    small_batches(docs.sparkSession)
     counts = materialize(learned_counts(docs, text, lang, doc_id, learn, sample), "lang_counts")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     named = F.element_at(F.create_map(*[F.lit(x) for pair in zip(langs, range(len(langs))) for x in pair]), F.col("lang")) if langs else F.lit(0)

@@ -32,7 +32,7 @@ from panelweave.llm import simhash
 from panelweave.llm.common import field, keep_places, located
 from panelweave.llm.components import connected
 from panelweave.llm.simhash import majority, shingle_hashes
-from panelweave.session import materialize
+from panelweave.session import materialize, small_batches
 
 WIDTH, LEAST = 5, 0.8
 BITS = 4  # differing bits at which fingerprints link
@@ -177,6 +177,7 @@ def links(rows: DataFrame, nodes: DataFrame, text: str = "text", width: int = WI
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, least: float = LEAST, chunk: int = CHUNK) -> DataFrame:
     """The rows of ``docs`` with one document of each group of near-duplicates, the smallest id (null last)."""
+    small_batches(docs.sparkSession)
     rows = located(docs)
     prints = materialize(sketches(rows, text, doc_id, width), "sketches")
     nodes = prints.groupBy("node").agg(F.min(F.struct("file", "row")).alias("at"), F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.common import quoted
 from panelweave.llm.tokens import task_tokenizer
+from panelweave.session import small_batches
 
 END = 0
 CAPACITY = 1024
@@ -148,6 +149,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary
             yield table(pieces)
         yield table(packer.flush())
 
+    small_batches(docs.sparkSession)
     # Ids travel as text: a long column with nulls would pass through floating point.
     slim = docs.select(quoted(doc_id).cast("bigint").cast("string").alias("doc_id"), quoted(text).cast("string").alias("text"))
     return slim.mapInPandas(run, PIECES)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.common import field, keep_places, located
 from panelweave.llm.components import connected
-from panelweave.session import materialize
+from panelweave.session import materialize, small_batches
 
 HASH_SEED = 42
 BLOCK = 15  # bits of a Hamming word
@@ -75,6 +75,7 @@ def fingerprints(rows: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
 
+    small_batches(rows.sparkSession)
     return rows.select(
         field(rows, doc_id).cast("bigint").alias("doc_id"), "file", "row", of(field(rows, text).cast("string")).alias("fp")
     )

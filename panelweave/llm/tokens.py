@@ -14,11 +14,12 @@ import os
 import re
 import sys
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 
-MEMO = 400_000  # pieces remembered before the memory starts afresh
-TOGETHER = 200_000  # pieces looked up at a time
+MEMO = 200_000  # pieces remembered before the memory starts afresh
+TOGETHER = 50_000  # pieces looked up at a time
 HEAD = "\x00"  # before a piece that no blank precedes
 PLAIN = bytes([9, 10, 13, *range(32, 127)])
 NOT_LATIN = re.compile(r"[^¡-¬®-ɏ]")
@@ -55,11 +56,9 @@ class PieceTokenizer:
     def __init__(self, name: str = "byte_bpe_50k.json"):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        path = vocabulary_path(name)
-        self.exact = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
+        self.path = vocabulary_path(name)
+        with open(self.path, encoding="utf-8") as file:
             vocab = json.load(file)["model"]["vocab"]
         byte = _byte_of()
         ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if all(c in byte for c in t) and t != "<|endoftext|>"}
@@ -68,6 +67,13 @@ class PieceTokenizer:
         assert len(self.mark) == 2
         self.forget()
 
+    @cached_property
+    def exact(self):
+        """Read when the first unusual text comes: a worker without any does not hold the vocabulary twice."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def forget(self) -> None:
         self.code: dict[str, int] = {}
         self.flat = np.empty(1 << 20, np.uint32)
