@@ -25,7 +25,7 @@ def connected(links: DataFrame) -> DataFrame:
         if now == before or now[0] == 0:
             return edges.select(u.alias("node"), v.alias("root"))
         before = now
-        edges = materialize(_small_star(_large_star(edges)), "links")
+        edges = materialize(_small_star(_large_star(edges)), "links", now[0])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

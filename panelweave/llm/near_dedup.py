@@ -143,7 +143,7 @@ def _verify(width: int, least: float):
 def print_links(nodes: DataFrame, threshold: int = BITS) -> DataFrame:
     """``(u, v)`` between nodes of equal or linked fingerprints: a star each, and one link between the stars of linked ones."""
     held = nodes.filter("size > 0")
-    prints = materialize(held.groupBy("fp").agg(F.min("node").alias("low")), "near_prints")
+    prints = materialize(held.groupBy("fp").agg(F.min("node").alias("low")), "near_prints", nodes.count())
     same = held.select("fp", "node").join(prints, "fp").filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
     low = lambda side: prints.select(F.col("fp").alias(side), F.col("low").alias(f"{side}_low"))
     near = simhash.links(prints, threshold).join(low("u"), "u").join(low("v"), "v")
@@ -162,7 +162,7 @@ def blocks(nodes: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame, nodes: DataFrame, text: str = "text", width: int = WIDTH, least: float = LEAST, chunk: int = CHUNK) -> DataFrame:
     """Verified ``(u, v)`` between ``nodes``: they connect what the similarity connects."""
-    inside = materialize(nodes.drop("bands", "fp").join(blocks(nodes), "node"), "near_blocks")
+    inside = materialize(nodes.drop("bands", "fp").join(blocks(nodes), "node"), "near_blocks", nodes.count())
     parts = inside.groupBy("block").agg(F.ceil(F.sum("size") / chunk).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: (k != part) | (F.col("parts") == 1))
@@ -181,7 +181,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     rows = located(docs)
     prints = materialize(sketches(rows, text, doc_id, width), "sketches")
     nodes = prints.groupBy("node").agg(F.min(F.struct("file", "row")).alias("at"), F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes.select("node", "at.file", "at.row", "size", "fp", "bands"), "near_nodes")
+    nodes = materialize(nodes.select("node", "at.file", "at.row", "size", "fp", "bands"), "near_nodes", prints.count())
     stars = connected(links(rows, nodes, text, width, least, chunk))
     placed = prints.drop("bands", "size", "fp").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "file", "row")

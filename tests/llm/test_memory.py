@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from panelweave.llm import langid, near_dedup, packing, simhash, tokens
 from panelweave.llm.common import located
-from panelweave.session import BATCH_BYTES, BATCH_LIMIT
+from panelweave.llm.components import connected
+from panelweave.session import BATCH_BYTES, BATCH_LIMIT, FILE_ROWS, materialize
 
 OPERATORS = {
     "language_id": langid.identified_rows,
@@ -84,3 +85,27 @@ def test_a_worker_remembers_a_bounded_number_of_pieces():
     for start in range(0, 300_000, 100_000):
         list(tokenizer.all_ids([f"p{i} p{i + 1}" for i in range(start, start + 100_000, 2)]))
     assert len(tokenizer.code) <= 250_000
+
+
+def files(df) -> int:
+    return df.select(F.input_file_name()).distinct().count()
+
+
+def test_small_tables_do_not_have_a_file_for_each_shuffle_partition(spark):
+    at_once = spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 60)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        chains = spark.range(0, 4000).filter("id % 8 > 0").select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
+        found = connected(chains)
+        assert files(found) <= at_once
+        assert {(r.node, r.root) for r in found.collect()} == {(i, i - i % 8) for i in range(4000) if i % 8}
+        counted = spark.range(0, 4000).groupBy((F.col("id") % 3999).alias("key")).count()
+        assert files(materialize(counted, "few", 4000)) <= at_once
+        assert files(materialize(counted, "many", 20 * FILE_ROWS)) == max(20, at_once)  # more rows, more files
+        assert files(materialize(counted, "unknown")) == 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
