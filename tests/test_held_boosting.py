@@ -126,3 +126,9 @@ def test_fc_gbt_asks_for_the_full_ensembles(asked):
     rows, found = asked("fc_gbt")
     assert found == [B.Boosting(500, 0.05, 8, 5, 0.001, 1.0)] * 3
     assert {r.model_id for r in rows} == {"gbt_lag", "gbt_calendar", "gbt_hybrid"}
+
+
+def test_fc_gbt_leaf_asks_for_the_full_ensembles(asked):
+    rows, found = asked("fc_gbt_leaf")
+    assert found == [B.Boosting(500, 0.05, 6, 5, penalty=0.0, leaves=31)] * 3
+    assert {r.model_id for r in rows} == {"gbt_leaf_lag", "gbt_leaf_calendar", "gbt_leaf_hybrid"}
