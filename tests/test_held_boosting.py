@@ -132,3 +132,9 @@ def test_fc_gbt_leaf_asks_for_the_full_ensembles(asked):
     rows, found = asked("fc_gbt_leaf")
     assert found == [B.Boosting(500, 0.05, 6, 5, penalty=0.0, leaves=31)] * 3
     assert {r.model_id for r in rows} == {"gbt_leaf_lag", "gbt_leaf_calendar", "gbt_leaf_hybrid"}
+
+
+def test_fc_residual_boost_asks_for_the_full_ensembles(asked):
+    rows, found = asked("fc_residual_boost")
+    assert found == [B.Boosting(500, 0.05, 6, 5, penalty=0.0, leaves=31)] * 2
+    assert {r.model_id for r in rows} == {"piecewise_boosted", "autoregression_boosted"}
