@@ -138,3 +138,17 @@ def test_fc_residual_boost_asks_for_the_full_ensembles(asked):
     rows, found = asked("fc_residual_boost")
     assert found == [B.Boosting(500, 0.05, 6, 5, penalty=0.0, leaves=31)] * 2
     assert {r.model_id for r in rows} == {"piecewise_boosted", "autoregression_boosted"}
+
+
+def test_tune_grid_asks_for_every_point(asked):
+    rows, found = asked("tune_grid")
+    slices = {r.slice_id for r in rows}
+    assert len(slices) > 1 and len(rows) == len(found) == 6 * len(slices)
+    assert {(b.depth, b.learn_rate) for b in found} == {(r.tree_depth, r.learn_rate) for r in rows} == set(G.TUNING_GRID)
+    assert {b.trees for b in found} == {300} and all(r.rmse > 0 for r in rows)
+
+
+def test_finalize_and_fit_asks_for_the_full_ensemble(asked):
+    rows, found = asked("finalize_and_fit")
+    assert rows and len(found) % 6 == 1 and {b.trees for b in found} == {300}
+    assert (found[-1].depth, found[-1].learn_rate) in G.TUNING_GRID
