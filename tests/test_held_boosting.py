@@ -152,3 +152,11 @@ def test_finalize_and_fit_asks_for_the_full_ensemble(asked):
     rows, found = asked("finalize_and_fit")
     assert rows and len(found) % 6 == 1 and {b.trees for b in found} == {300}
     assert (found[-1].depth, found[-1].learn_rate) in G.TUNING_GRID
+
+
+def test_tune_halving_asks_for_the_whole_box_and_all_trees(asked):
+    rows, found = asked("tune_halving")
+    points = set(G.space_filling(6))
+    assert {(r.tree_depth, r.learn_rate) for r in rows if r["round"] == 1} == points == {(b.depth, b.learn_rate) for b in found if b.trees == 100}
+    assert {r.trees for r in rows} == {100, 300} == {b.trees for b in found} and max(d for d, _ in points) > 6
+    assert len({b.depth for b in found if b.trees == 300}) == 2
